@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.once import compute_once
 
 EXTRACTION_RULES = (
     "Read the text and list the entities it names and how they relate. "
@@ -162,13 +163,6 @@ ENTITY_KEYS = ("name", "type", "description")
 RELATION_KEYS = ("source", "target", "type")
 
 
-def _barrier(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """Project through a generator, so that costly columns are computed once
-    and not copied into every later lambda."""
-    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
-    return df.select(*keep, F.inline(packed))
-
-
 def parse_extractions(df: DataFrame, response: str = "response") -> DataFrame:
     """Responses to ``entities`` and ``relations`` arrays.
 
@@ -181,7 +175,7 @@ def parse_extractions(df: DataFrame, response: str = "response") -> DataFrame:
     text = F.coalesce(F.col(response), F.lit(""))
     braces = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
     root = F.coalesce(F.try_parse_json(braces), F.try_parse_json(_fenced(text)))
-    one = _barrier(df, df.columns, _root=root)
+    one = compute_once(df, df.columns, _root=root)
 
     v = F.col("_root")
     relations_kind = _kind(v, "$.relations")
@@ -193,10 +187,10 @@ def parse_extractions(df: DataFrame, response: str = "response") -> DataFrame:
     entities = F.when(
         _kind(v, "$.entities").startswith("ARRAY"), F.try_variant_get(v, "$.entities", "array<variant>")
     )
-    two = _barrier(one, df.columns, _entities=entities, _listed=listed)
+    two = compute_once(one, df.columns, _entities=entities, _listed=listed)
 
     kept = F.filter(F.col("_listed"), lambda r: _has_keys(r, RELATION_KEYS))
-    three = _barrier(
+    three = compute_once(
         two,
         df.columns,
         _entities=F.col("_entities"),

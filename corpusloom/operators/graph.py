@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import similarity as sim
+from corpusloom.session import cut_lineage
 
 ENTRY_LIMIT = 3
 ENTRY_THRESHOLD = 0.75
@@ -73,25 +74,26 @@ def new_edges(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(existing.select(*EDGE), EDGE, "left_anti")
 
 
-def edge_positions(edges: DataFrame, seq: str = "seq", span: int = 1 << 16) -> DataFrame:
+def edge_positions(edges: DataFrame, seq: str = "seq") -> DataFrame:
     """Position of every edge among those of its source, in arrival order.
 
-    The rank is taken inside spans of the arrival order and shifted by the
-    counts of the spans before, so a source with very many edges is ranked by
-    many tasks: a span of a unique order holds at most ``span`` edges.
+    The edges are range-partitioned by source and order, so a source with very
+    many edges spans several partitions. Each is ranked on its own and shifted
+    by the edges of that source in the partitions before. The partition numbers
+    are materialised, as they must be the same in both uses.
     """
-    spanned = edges.withColumn("_span", F.floor(F.col(seq) / F.lit(span)))
-    sizes = spanned.groupBy("source_id", "_span").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        "source_id", "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
+    placed = cut_lineage(
+        edges.repartitionByRange("source_id", seq).withColumn("_part", F.spark_partition_id())
     )
-    inside = F.row_number().over(Window.partitionBy("source_id", "_span").orderBy(seq))
+    sizes = placed.groupBy("source_id", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("source_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("source_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy("source_id", "_part").orderBy(seq))
     return (
-        spanned.withColumn("_rank", inside)
-        .join(shifts, ["source_id", "_span"])
-        .withColumn("position", F.col("_shift") + F.col("_rank") - 1)
-        .drop("_span", "_rank", "_shift")
+        placed.withColumn("_rank", inside)
+        .join(shifts, ["source_id", "_part"])
+        .withColumn("position", (F.col("_shift") + F.col("_rank") - 1).cast("long"))
+        .drop("_part", "_rank", "_shift")
     )
 
 
@@ -101,9 +103,7 @@ def adjacency(relations: DataFrame, seq: str = "seq") -> DataFrame:
     One row per edge, so the list of a hub is never built in one task;
     :func:`nested_adjacency` nests it for export.
     """
-    return edge_positions(first_edges(relations, seq), seq).select(
-        "source_id", F.col("position").cast("long").alias("position"), "target_id", "type"
-    )
+    return edge_positions(first_edges(relations, seq), seq).select("source_id", "position", "target_id", "type")
 
 
 def nested_adjacency(adjacent: DataFrame) -> DataFrame:

@@ -291,8 +291,14 @@ def _cogroup(left: DataFrame, right: DataFrame, kernel, schema: T.StructType) ->
             batches = [_batch(arrow, *columns) for columns in kernel(_parts(a), _parts(b))]
         return pa.Table.from_batches(batches, schema=arrow)
 
+    return _meet(left, right, run, schema)
+
+
+def _meet(left: DataFrame, right: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """Cogroup by tile; fresh column identities allow both sides to be one table."""
     keys = ["cell", "lb", "rb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    other = right.toDF(*right.columns)
+    return left.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def _run(left, right, threshold, kernel, schema, limits: Limits, try_left=True, try_right=True) -> DataFrame:
@@ -495,5 +501,4 @@ def similar_pairs_banded(
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = sized.withColumn("rb", others).withColumnRenamed("own", "lb").drop("blocks")
     right = sized.withColumn("lb", others).withColumnRenamed("own", "rb").drop("blocks")
-    keys = ["cell", "lb", "rb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    return _meet(left, right, run, schema)

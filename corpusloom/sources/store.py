@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = (
     "doc_id long, chunk_index int, start_char int, end_char int, overlap_chars int, text string,"
     " metadata map<string,string>, chunk_id string, batch_id long"
 )
-ENTITIES = T.StructType.fromDDL(
-    "entity_id string, name string, type string, description string, embedding array<float>, batch_id long"
-)
-RELATIONS = T.StructType.fromDDL("source_id string, target_id string, type string, seq long, batch_id long")
+ENTITIES = "entity_id string, name string, type string, description string, embedding array<float>, batch_id long"
+RELATIONS = "source_id string, target_id string, type string, seq long, batch_id long"
 
 
-def ensure(spark: SparkSession, path: str, schema: T.StructType) -> None:
+def ensure(spark: SparkSession, path: str, schema: str) -> None:
     """Create an empty log unless one exists."""
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy("batch_id").parquet(path)
 
@@ -26,7 +23,7 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.drop("batch_id").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions import urls
+from corpusloom.functions.once import compute_once
 from corpusloom.operators.documents import PAGE_BREAK, join_ordered
 from corpusloom.session import cut_lineage
 
@@ -16,9 +17,9 @@ MAX_DEPTH = 2
 HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
-def page_text(pages: DataFrame) -> DataFrame:
+def page_text(pages: DataFrame, keep: list[str] = []) -> DataFrame:
     """Pages with their readable text; empty where there is none."""
-    return pages.select("page_id", "url", tx.main_text(F.coalesce("html", F.lit(""))).alias("text"))
+    return compute_once(pages, ["page_id", "url", *keep], text=tx.main_text(F.coalesce("html", F.lit(""))))
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -34,11 +35,7 @@ def rejected_pages(pages: DataFrame) -> DataFrame:
     """Pages that give no record, with the reason."""
     missing = F.coalesce(F.col("html"), F.lit("")) == ""
     reason = F.when(missing, F.lit("nothing fetched")).otherwise(F.lit("no text"))
-    return (
-        pages.withColumn("error", reason)
-        .where(tx.main_text(F.coalesce("html", F.lit(""))) == "")
-        .select("page_id", "url", "error")
-    )
+    return page_text(pages.withColumn("error", reason), ["error"]).where(F.col("text") == "").drop("text")
 
 
 def extract_links(pages: DataFrame, keys: list[str] = ["page_id", "url"], domain: str | None = None) -> DataFrame:
@@ -54,12 +51,9 @@ def extract_links(pages: DataFrame, keys: list[str] = ["page_id", "url"], domain
         F.posexplode(F.regexp_extract_all(shown, F.lit(HREF), 1)).alias("pos", "_raw"),
     )
     href = F.trim(tx.unescape(F.regexp_replace("_raw", r"""^["']|["']$""", "")))
-    return (
-        found.withColumn("href", href)
-        .withColumn("link", urls.join(F.col("url"), F.col("href")))
-        .where(urls.is_internal(F.col("link"), F.col("_domain")))
-        .select(*keys, "pos", "href", "link")
-    )
+    refs = compute_once(found, href=href)
+    links = compute_once(refs, link=urls.join(F.col("url"), F.col("href")))
+    return links.where(urls.is_internal(F.col("link"), F.col("_domain"))).select(*keys, "pos", "href", "link")
 
 
 def valid_starts(starts: DataFrame) -> DataFrame:
@@ -124,13 +118,9 @@ def crawl(
     fetched = pages.select(fetch_key(F.col("url")).alias("_key"), "html")
     results = None
     for depth in range(max_depth + 1):
-        texts = (
-            fetched.join(
-                small_or_whole(frontier.withColumn("_key", fetch_key(F.col("url"))), "url"), "_key"
-            )
-            .withColumn("text", tx.main_text(F.coalesce("html", F.lit(""))))
-            .where(F.col("text") != "")
-        )
+        asked = small_or_whole(frontier.withColumn("_key", fetch_key(F.col("url"))), "url")
+        found = compute_once(fetched.join(asked, "_key"), text=tx.main_text(F.coalesce("html", F.lit(""))))
+        texts = found.where(F.col("text") != "")
         order = Window.partitionBy("crawl_id").orderBy("parent", "pos")
         level = texts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_pages)
         if results is not None:

@@ -11,11 +11,18 @@ from corpusloom.sources import store
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def document_stream(spark: SparkSession, path: str, schema: str = DOCUMENTS, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+def document_stream(
+    spark: SparkSession,
+    folder: str,
+    pattern: str = "*.parquet",
+    schema: str = DOCUMENTS,
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """Parquet files that arrive in a folder."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def start_ingest(
