@@ -454,7 +454,11 @@ def sql(body: str, *needs: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({FRAGMENTS[n][1]})" for n in order) + "\n" + body
+
+    def held(name: str) -> str:
+        return "" if f"FROM {name} " in FRAGMENTS[name][1] else "MATERIALIZED "
+
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {held(n)}({FRAGMENTS[n][1]})" for n in order) + "\n" + body
 
 
 def oracle_sql() -> dict[str, str]:
@@ -592,7 +596,11 @@ def oracle_sql() -> dict[str, str]:
             "edges",
             "rels",
         ),
-        "edge_union_distinct": sql("SELECT source_id, target_id, type FROM rels UNION SELECT source_id, target_id, type FROM rels", "rels"),
+        "edge_union_distinct": sql(
+            "SELECT source_id, target_id, type FROM rels WHERE type <> 'borders' UNION "
+            "SELECT source_id, target_id, type FROM rels WHERE type <> 'located_in'",
+            "rels",
+        ),
         "adjacency": sql("SELECT * FROM adj", "adj"),
         "one_hop_neighbours": sql(
             """SELECT e.source_id, s.name AS source_name, e.type, e.target_id, t.name AS target_name FROM edges e
