@@ -328,7 +328,7 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     ),
     "g_lines": (
         ["g_entries", "g_leaders", "g_edges"],
-        "SELECT query_id, rank, -1 AS seq, 'Entity: ' || name || ' (' || type || ') - ' || description AS line "
+        "SELECT query_id, rank, (-1)::BIGINT AS seq, 'Entity: ' || name || ' (' || type || ') - ' || description AS line "
         "FROM g_entries JOIN g_leaders USING (entity_id) UNION ALL "
         "SELECT query_id, rank, seq, '  - ' || d.type || ' -> ' || l.name FROM g_entries e JOIN g_edges d ON d.source_id = e.entity_id "
         "JOIN g_leaders l ON l.entity_id = d.target_id",
@@ -609,10 +609,10 @@ def oracle_sql() -> dict[str, str]:
             "ents",
         ),
         "graph_context_lines": sql(
-            """SELECT entity_id AS query_id, -1 AS position, 'Entity: ' || name || ' (' || type || ') - ' || description AS line FROM ents WHERE type = 'nation'
-            UNION ALL SELECT source_id, position, '  - ' || a.type || ' -> ' || t.name FROM adj a JOIN ents s ON s.entity_id = source_id
-            JOIN ents t ON t.entity_id = target_id WHERE s.type = 'nation'""",
-            "adj",
+            """SELECT entity_id AS query_id, (-1)::BIGINT AS seq, 'Entity: ' || name || ' (' || type || ') - ' || description AS line FROM ents WHERE type = 'nation'
+            UNION ALL SELECT source_id, seq, '  - ' || a.type || ' -> ' || t.name FROM edges a JOIN ents s ON s.entity_id = source_id
+            JOIN ents t ON t.entity_id = target_id WHERE s.type = 'nation' AND source_id <> target_id""",
+            "edges",
             "ents",
         ),
         "resolve_entities": sql(

@@ -182,7 +182,7 @@ def text_blocks(spark, sf):
 
 @register
 def reassemble_text(spark, sf):
-    return docs.reassemble_text(_chunks(spark, sf))
+    return docs.rejoined_text(_documents(spark, sf))
 
 
 @register
@@ -415,7 +415,7 @@ def one_hop_neighbours(spark, sf):
         F.col("entity_id").alias("source_id"), F.col("name").alias("source_name")
     )
     edges = graph.first_edges(inputs.relations(spark, sf))
-    return graph.one_hop(entries, edges, people).select("source_id", "source_name", "type", "target_id", "target_name")
+    return graph.one_hop(edges, entries, people).select("source_id", "source_name", "type", "target_id", "target_name")
 
 
 @register
@@ -425,8 +425,8 @@ def graph_context_lines(spark, sf):
     entries = people.where("type = 'nation'").select(
         F.col("entity_id").alias("query_id"), F.lit(1).alias("rank"), "entity_id"
     )
-    adjacent = graph.adjacency(graph.without_self_loops(inputs.relations(spark, sf)))
-    return graph.context_lines(entries, people, adjacent).select("query_id", "position", "line")
+    edges = graph.without_self_loops(inputs.relations(spark, sf))
+    return graph.context_lines(entries, people, edges).select("query_id", "seq", "line")
 
 
 @register
@@ -458,7 +458,7 @@ def graph_context(spark, sf):
     people = cut_lineage(people)
     asked = _questions(spark, sf)
     entries = graph.entry_points(asked, people, threshold=ENTRY_THRESHOLD)
-    return graph.graph_context(asked, entries, people, graph.adjacency(edges))
+    return graph.graph_context(asked, entries, people, edges)
 
 
 def _answers(spark, sf):
@@ -467,7 +467,7 @@ def _answers(spark, sf):
         _questions(spark, sf),
         cut_lineage(_store(spark, sf)),
         cut_lineage(people),
-        graph.adjacency(edges),
+        edges,
         entry_threshold=ENTRY_THRESHOLD,
     )
 
@@ -506,13 +506,12 @@ def doc_stats(spark, sf):
         files.suffix(F.col("filename")).alias("file_type"),
         F.lit(None).cast("int").alias("num_pages"),
     )
-    return docs.doc_stats(rows, _chunks(spark, sf)).drop("num_pages")
+    return docs.doc_stats(rows).drop("num_pages")
 
 
 @register
 def ingest_summary(spark, sf):
-    rows = docs.chunks(_documents(spark, sf).select("doc_id", "source", "text"))
-    return docs.ingest_summary(rows, "source", "doc_id")
+    return docs.ingest_summary(docs.doc_stats(_documents(spark, sf).select("doc_id", "source", "text")), "source")
 
 
 @register

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.once import compute_once
 
 PAGE_BREAK = "\n\n---PAGE BREAK---\n\n"
 
@@ -77,28 +78,38 @@ def join_ordered(df: DataFrame, keys: list[str], order: list[str], sep: str, nam
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["t"]), sep).alias(name))
 
 
-def doc_stats(documents: DataFrame, chunk_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Chunks and characters per document; a document without chunks has 0.
+def rejoined_text(documents: DataFrame, key: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
+    """The same as :func:`reassemble_text`, straight from the documents.
 
-    ``documents`` carries ``filename``, ``file_type``, ``num_pages`` and ``text``.
+    A document's chunks come from one row, so nothing has to be shuffled.
     """
-    counts = chunk_rows.groupBy(key).agg(F.count("*").alias("num_chunks"))
-    facts = documents.select(
-        key, "filename", "file_type", "num_pages", F.length("text").alias("total_characters")
+    pieces = F.transform(tx.chunk_array(F.col(text), **sizes), lambda c: c["text"])
+    joined = compute_once(documents, [key], full_text=F.array_join(pieces, "\n\n"))
+    return joined.where(F.col("full_text") != "")
+
+
+def doc_stats(documents: DataFrame, key: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
+    """Chunks and characters per document, counted within its row.
+
+    ``documents`` carries ``filename``, ``file_type`` and ``num_pages``.
+    """
+    carried = [c for c in documents.columns if c not in (key, text)]
+    return documents.select(
+        key,
+        *carried,
+        F.size(tx.chunk_array(F.col(text), **sizes)).cast("long").alias("num_chunks"),
+        F.length(text).alias("total_characters"),
     )
-    return facts.join(counts, key, "left").fillna(0, ["num_chunks"])
 
 
-def ingest_summary(chunk_rows: DataFrame, group: str, unit: str) -> DataFrame:
-    """Per source: distinct units (pages, documents) processed and chunks made.
+def ingest_summary(stats: DataFrame, group: str) -> DataFrame:
+    """Per source: units (pages, documents) processed and chunks made.
 
-    Counting per unit first keeps a source with very many chunks from being
-    counted by one task.
+    ``stats`` has one row per unit with its ``num_chunks``.
     """
-    per_unit = chunk_rows.groupBy(group, unit).agg(F.count("*").alias("n"))
-    return per_unit.groupBy(group).agg(
+    return stats.groupBy(group).agg(
         F.count("*").alias("processed"),
-        F.sum("n").alias("num_chunks"),
+        F.sum("num_chunks").alias("num_chunks"),
         F.lit("success").alias("status"),
     )
 
@@ -112,9 +123,10 @@ def duplicate_report(chunk_rows: DataFrame, order: Column) -> DataFrame:
 
 def chunk_offsets(chunk_rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Start offsets recomputed as running sums of lengths less overlaps."""
+    sizes = compute_once(chunk_rows, [key, "chunk_index", "overlap_chars"], _chars=F.length(text))
     order = Window.partitionBy(key).orderBy("chunk_index")
-    before = F.sum(F.length(text)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_chars").over(order.rowsBetween(Window.unboundedPreceding, -1))
     shared = F.sum("overlap_chars").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return chunk_rows.select(
+    return sizes.select(
         key, "chunk_index", "overlap_chars", (F.coalesce(before, F.lit(0)) - shared).alias("start_char")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import similarity as sim
+from corpusloom.operators.sizing import broadcast_if_small
 from corpusloom.session import cut_lineage
 
 ENTRY_LIMIT = 3
@@ -138,13 +139,13 @@ def update_payload(entities: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
-def one_hop(entries: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
+def one_hop(relations: DataFrame, entries: DataFrame, entities: DataFrame) -> DataFrame:
     """Outgoing edges of entry entities with the name of the target.
 
     ``entries`` carries ``source_id``; edges to targets not stored are skipped.
     """
     targets = entities.select(F.col("entity_id").alias("target_id"), F.col("name").alias("target_name"))
-    return entries.join(relations, "source_id").join(targets, "target_id")
+    return relations.join(entries, "source_id").join(targets, "target_id")
 
 
 # ------------------------------------------------------------------ context
@@ -168,32 +169,39 @@ def entry_points(
     return sim.topk(queries, entities, k, threshold, corpus_id="entity_id", limits=limits)
 
 
-def context_lines(entries: DataFrame, entities: DataFrame, adjacent: DataFrame) -> DataFrame:
-    """Lines of the context: ``query_id, rank, position, line``.
+def context_lines(entries: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lines of the context: ``query_id, rank, seq, line``.
 
-    ``entries(query_id, rank, entity_id)``; the entity itself has position -1
-    and its edges follow in first-seen order. The edges are cut down to the
-    entry entities first, so only what is printed meets the target names.
+    ``entries(query_id, rank, entity_id)``; the line of the entity itself has
+    ``seq`` -1 and its edges follow in first-seen order. The few entries, if
+    they are few, are sent to the graph and not the graph to them.
     """
-    once = entries.groupBy("query_id", "entity_id").agg(F.min("rank").alias("rank"))
-    heads = once.join(entities.select("entity_id", "name", "type", "description"), "entity_id").select(
+    once = cut_lineage(entries.groupBy("query_id", "entity_id").agg(F.min("rank").alias("rank")))
+    asked = broadcast_if_small(once, ["entity_id"])
+    heads = entities.select("entity_id", "name", "type", "description").join(asked, "entity_id").select(
         "query_id",
         "rank",
-        F.lit(-1).cast("long").alias("position"),
+        F.lit(-1).cast("long").alias("seq"),
         entity_line(F.col("name"), F.col("type"), F.col("description")).alias("line"),
     )
-    asked = once.select("query_id", "rank", F.col("entity_id").alias("source_id"))
-    hops = one_hop(asked, adjacent, entities).select(
-        "query_id", "rank", "position", relation_line(F.col("type"), F.col("target_name")).alias("line")
+    wanted = asked.select(F.col("entity_id").alias("source_id")).distinct()
+    near = first_edges(edges.join(broadcast_if_small(wanted, ["source_id"]), "source_id", "left_semi"))
+    hops = one_hop(near, once.select("query_id", "rank", F.col("entity_id").alias("source_id")), entities)
+    lines = hops.select(
+        "query_id", "rank", "seq", relation_line(F.col("type"), F.col("target_name")).alias("line")
     )
-    return heads.unionByName(hops)
+    return heads.unionByName(lines)
 
 
-def graph_context(queries: DataFrame, entries: DataFrame, entities: DataFrame, adjacent: DataFrame) -> DataFrame:
-    """``query_id, graph_summary``; an empty text where nothing was found."""
-    rows = F.array_sort(F.collect_list(F.struct("rank", "position", "line")))
+def graph_context(queries: DataFrame, entries: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """``query_id, graph_summary``; an empty text where nothing was found.
+
+    The summary is one text per query by nature; :func:`context_lines` has
+    the same content as rows.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("rank", "seq", "line")))
     text = (
-        context_lines(entries, entities, adjacent)
+        context_lines(entries, entities, edges)
         .groupBy("query_id")
         .agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("graph_summary"))
     )

@@ -44,23 +44,24 @@ def leaders(
     neighbour (they lead) and all rows with a leader among their earlier
     neighbours (they follow). Neighbours are only ever tested for existence,
     so crowded similar groups emit no pairs. Few rounds are needed for an
-    arrival order that is unrelated to similarity; once no more than
-    ``finish_rows`` are open, one bounded task settles them in order.
+    arrival order that is unrelated to similarity. As every round also settles
+    the first ``finish_rows`` open rows in order, in one bounded task, long
+    chains of similar arrivals advance by that many rows per round.
     """
     # Equal vectors collapse on the map side; only the first can lead.
     open_ = cut_lineage(vectors.groupBy("vec").agg(F.min("ord").alias("ord")))
     found = None
     while True:
-        left = open_.limit(finish_rows + 1).count()
-        if left <= finish_rows:
-            last = open_.select("ord", "vec").coalesce(1).mapInArrow(
-                lambda batches: _greedy(batches, threshold), "ord long"
-            )
-            last = cut_lineage(open_.join(last, "ord", "left_semi").select("ord", "vec"))
-            return last if found is None else found.unionByName(last)
+        # The earliest open rows have all open rows before them at hand.
+        head = open_.orderBy("ord").limit(finish_rows)
+        first = head.coalesce(1).mapInArrow(lambda batches: _greedy(batches, threshold), "ord long")
+        if open_.limit(finish_rows + 1).count() <= finish_rows:
+            new = cut_lineage(open_.join(first, "ord", "left_semi").select("ord", "vec"))
+            return new if found is None else found.unionByName(new)
         blocked = cut_lineage(sim.having_earlier_match(open_, open_, threshold, limits))
-        new = cut_lineage(open_.join(blocked, "ord", "left_anti").select("ord", "vec"))
-        rest = open_.join(blocked, "ord", "left_semi")
+        lead = cut_lineage(open_.join(blocked, "ord", "left_anti").select("ord").union(first).distinct())
+        new = cut_lineage(open_.join(lead, "ord", "left_semi").select("ord", "vec"))
+        rest = open_.join(lead, "ord", "left_anti")
         follow = sim.having_earlier_match(new, rest, threshold, limits)
         open_ = cut_lineage(rest.join(follow, "ord", "left_anti"))
         found = new if found is None else cut_lineage(found.unionByName(new))

@@ -17,7 +17,8 @@ vectors tie exactly whatever the block shape of the product.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,7 +84,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 # ----------------------------------------------------------------- kernels
 #
 # A kernel sees two sides as (ids, orders, unit matrix) and yields columns of
-# its answer, one slab of rows at a time.
+# its answer, one slab of rows at a time. It is started anew in every task.
 
 
 def _pairs_kernel(threshold: float, ordered: bool):
@@ -98,7 +99,7 @@ def _pairs_kernel(threshold: float, ordered: bool):
             if len(i):
                 yield lid[at + i], rid[j], s[i, j]
 
-    return kernel
+    return lambda left_is_held: kernel
 
 
 def _exists_kernel(threshold: float):
@@ -117,35 +118,56 @@ def _exists_kernel(threshold: float):
         if found.any():
             yield (rid[found],)
 
-    return kernel
+    return lambda left_is_held: kernel
 
 
 def _best_kernel(k: int, threshold: float | None, earlier: bool):
-    """Top k right rows of every left row, ties by right id."""
+    """Top k right rows of every left row, ties by right id.
 
-    def kernel(left, right):
-        (lid, lord, lmat), (rid, rord, rmat) = left, right
-        for at in range(0, len(lid), SLAB_ROWS):
-            s = _scores(lmat[at : at + SLAB_ROWS], rmat)
-            ok = np.ones(s.shape, dtype=bool) if threshold is None else s >= threshold
-            if earlier:
-                ok &= rord[None, :] < lord[at : at + SLAB_ROWS, None]
-            s = np.where(ok, s, -np.inf)
-            out_l, out_r, out_s = [], [], []
-            if s.shape[1] > k:
-                kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            else:
-                kth = np.full(len(s), -np.inf)
-            for row in range(len(s)):
-                at_least = np.nonzero((s[row] >= kth[row]) & (s[row] > -np.inf))[0]
-                best = sorted(at_least, key=lambda j: (-s[row, j], rid[j]))[:k]
-                out_l.extend([lid[at + row]] * len(best))
-                out_r.extend(rid[j] for j in best)
-                out_s.extend(s[row, j] for j in best)
-            if out_l:
-                yield out_l, out_r, out_s
+    A task that sees the right side in batches remembers the k best scores so
+    far of each left row, and hands on only rows that reach them.
+    """
 
-    return kernel
+    def start(left_is_held: bool):
+        best: dict[int, np.ndarray] = {}
+
+        def kernel(left, right):
+            (lid, lord, lmat), (rid, rord, rmat) = left, right
+            for at in range(0, len(lid), SLAB_ROWS):
+                s = _scores(lmat[at : at + SLAB_ROWS], rmat)
+                if threshold is not None:
+                    s[s < threshold] = -np.inf
+                if earlier:
+                    s[rord[None, :] >= lord[at : at + SLAB_ROWS, None]] = -np.inf
+                top = s if s.shape[1] <= k else -np.partition(-s, k - 1, axis=1)[:, :k]
+                if left_is_held:
+                    top = np.hstack([best[at], top]) if at in best else top
+                    if top.shape[1] > k:
+                        top = -np.partition(-top, k - 1, axis=1)[:, :k]
+                    best[at] = top
+                floor = top.min(axis=1) if top.shape[1] == k else np.full(len(s), -np.inf)
+                i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+                if not len(i):
+                    continue
+                keep = _first_k(i, s[i, j], rid[j], k)
+                yield lid[at + i[keep]], rid[j[keep]], s[i[keep], j[keep]]
+
+        return kernel
+
+    return start
+
+
+def _first_k(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of every group (groups are adjacent)."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends = np.r_[starts[1:], len(group)]
+    if (ends - starts <= k).all():
+        return np.arange(len(group))
+    kept = []
+    for a, b in zip(starts, ends):
+        rows = range(a, b)
+        kept.extend(rows if b - a <= k else heapq.nsmallest(k, rows, key=lambda n: (-score[n], ids[n])))
+    return np.array(kept)
 
 
 # ------------------------------------------------------------ the two ways
@@ -180,12 +202,13 @@ def _scan(big: DataFrame, small, small_is_left: bool, kernel, schema: T.StructTy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
+        step = kernel(small_is_left)
         for batch in batches:
             if batch.num_rows == 0 or len(held[0]) == 0:
                 continue
             here = _parts(batch)
             left, right = (held, here) if small_is_left else (here, held)
-            for columns in kernel(left, right):
+            for columns in step(left, right):
                 yield _batch(arrow, *columns)
 
     return big.mapInArrow(run, schema)
@@ -288,7 +311,7 @@ def _cogroup(left: DataFrame, right: DataFrame, kernel, schema: T.StructType) ->
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         batches = []
         if a.num_rows and b.num_rows:
-            batches = [_batch(arrow, *columns) for columns in kernel(_parts(a), _parts(b))]
+            batches = [_batch(arrow, *columns) for columns in kernel(False)(_parts(a), _parts(b))]
         return pa.Table.from_batches(batches, schema=arrow)
 
     return _meet(left, right, run, schema)
@@ -489,7 +512,7 @@ def similar_pairs_banded(
             left, right = _parts(a), _parts(b)
             lkeys, rkeys = plan.keys(left[2]), plan.keys(right[2])
             numbered = lambda side: (np.arange(len(side[0])), side[1], side[2])
-            for i, j, s in base(numbered(left), numbered(right)):
+            for i, j, s in base(False)(numbered(left), numbered(right)):
                 first = (lkeys[i] == rkeys[j]).argmax(axis=1) == band
                 batches.append(_batch(arrow, left[0][i[first]], right[0][j[first]], s[first]))
         return pa.Table.from_batches(batches, schema=arrow)

@@ -80,6 +80,7 @@ def build_graph(
     keeps name, type and description. The id of an entity is the content id of
     its leader's text and order.
     """
+    parsed = cut_lineage(parsed.select(key, "entities", "relations"))
     mentions = entity_mentions(parsed, key)
     texts = mentions.withColumn("entity_text", emb.entity_text(F.col("name"), F.col("description")))
     vectors = cut_lineage(emb.embed_text(texts, "entity_text", loader=loader))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import extraction, graph, similarity
+from corpusloom.operators.sizing import broadcast_if_small
+from corpusloom.session import cut_lineage
 
 DEFAULT_LIMIT = 5
 
@@ -36,10 +38,11 @@ def score_label(score: Column) -> Column:
 def topk_chunks(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT, limits=similarity.Limits()) -> DataFrame:
     """Ranked hits with their text and metadata.
 
-    The search reads ids and vectors only; texts join the few hits afterwards.
+    The search reads ids and vectors only. Afterwards the hits, if they are
+    few, go to the chunks, so that the store is scanned and not shuffled.
     """
-    hits = similarity.topk(queries, chunks, k, limits=limits)
-    return hits.join(chunks.select("chunk_id", "text", "metadata"), "chunk_id")
+    hits = cut_lineage(similarity.topk(queries, chunks, k, limits=limits))
+    return chunks.select("chunk_id", "text", "metadata").join(broadcast_if_small(hits, ["chunk_id"]), "chunk_id")
 
 
 def context_text(hits: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def hybrid_query(
     queries: DataFrame,
     chunks: DataFrame,
     entities: DataFrame,
-    adjacent: DataFrame,
+    edges: DataFrame,
     k: int = DEFAULT_LIMIT,
     entry_limit: int = graph.ENTRY_LIMIT,
     entry_threshold: float = graph.ENTRY_THRESHOLD,
@@ -68,7 +71,7 @@ def hybrid_query(
     """
     context = context_text(topk_chunks(queries, chunks, k, limits))
     entries = graph.entry_points(queries, entities, entry_limit, entry_threshold, limits)
-    summary = graph.graph_context(queries, entries, entities, adjacent)
+    summary = graph.graph_context(queries, entries, entities, edges)
     joined = (
         queries.select("query_id", "query")
         .join(context, "query_id", "left")

@@ -9,6 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.functions import urls
 from corpusloom.functions.once import compute_once
 from corpusloom.operators.documents import PAGE_BREAK, join_ordered
+from corpusloom.operators.sizing import broadcast_if_small
 from corpusloom.session import cut_lineage
 
 MAX_PAGES = 10
@@ -72,12 +73,6 @@ def fetch_key(url: Column) -> Column:
     return F.regexp_replace(url, r"#.*$", "")
 
 
-def small_or_whole(df: DataFrame, column: str, limit: int = 64 << 20) -> DataFrame:
-    """Mark a materialised frame for broadcast if its urls are measured to fit."""
-    size = df.agg(F.coalesce(F.sum(F.octet_length(column) + F.lit(64)), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= limit else df
-
-
 def link_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Links joined to the fetched page they lead to.
 
@@ -118,7 +113,7 @@ def crawl(
     fetched = pages.select(fetch_key(F.col("url")).alias("_key"), "html")
     results = None
     for depth in range(max_depth + 1):
-        asked = small_or_whole(frontier.withColumn("_key", fetch_key(F.col("url"))), "url")
+        asked = broadcast_if_small(frontier.withColumn("_key", fetch_key(F.col("url"))), ["url", "_key"])
         found = compute_once(fetched.join(asked, "_key"), text=tx.main_text(F.coalesce("html", F.lit(""))))
         texts = found.where(F.col("text") != "")
         order = Window.partitionBy("crawl_id").orderBy("parent", "pos")
