@@ -29,3 +29,82 @@ def chunks(text, size=512, overlap=50):
         start += len(body) - sum(lens[back:last])
         first, last = back, last + 1
     return rows
+
+
+# ------------------------------------------------------------- extraction
+
+
+def parse(response):
+    """(entities, relations) as lists of tuples; ([], []) when anything is off."""
+    import json
+
+    def load():
+        found = re.search(r"\{.*\}", response, re.DOTALL)
+        try:
+            return json.loads(found.group(0) if found else response)
+        except ValueError:
+            bare = response.strip()
+            if bare.startswith("```"):
+                inner = bare.split("```")[1]
+                bare = inner.strip()[4:] if inner.strip().lower().startswith("json") else inner
+            return json.loads(bare)
+
+    try:
+        data = load()
+    except (ValueError, IndexError):
+        return [], []
+    if not isinstance(data, dict) or "entities" not in data or "relations" not in data:
+        return [], []
+    ents, rels = data["entities"], data["relations"]
+    if not isinstance(ents, list) or not isinstance(rels, (list, str, dict)):
+        return [], []
+    whole = [r for r in rels if isinstance(r, dict) and {"source", "target", "type"} <= set(r)]
+    e_keys, r_keys = ("name", "type", "description"), ("source", "target", "type")
+    if not all(isinstance(e, dict) and all(isinstance(e.get(k), str) for k in e_keys) for e in ents):
+        return [], []
+    if not all(isinstance(r[k], str) for r in whole for k in r_keys):
+        return [], []
+    return [tuple(e[k] for k in e_keys) for e in ents], [tuple(r[k] for k in r_keys) for r in whole]
+
+
+# -------------------------------------------------------------- similarity
+
+
+def cosines(vectors):
+    import numpy as np
+
+    m = np.asarray(vectors, dtype=np.float64)
+    m = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.round(m @ m.T, 9)
+
+
+def resolve(vectors, threshold):
+    """Leader position of each vector, decided one arrival after the other."""
+    sims, stored, out = cosines(vectors), [], []
+    for i in range(len(vectors)):
+        near = [(-sims[i, j], j) for j in stored if sims[i, j] >= threshold]
+        if near:
+            out.append(min(near)[1])
+        else:
+            stored.append(i)
+            out.append(i)
+    return out
+
+
+# -------------------------------------------------------------------- crawl
+
+
+def crawl(start, pages, links, max_pages, max_depth):
+    """``pages``: url -> text of fetchable pages; ``links``: url -> links in order."""
+    queue, seen, out = [(start, 0)], set(), []
+    while queue and len(out) < max_pages:
+        url, depth = queue.pop(0)
+        if url in seen:
+            continue
+        seen.add(url)
+        bare = url.split("#")[0]
+        if pages.get(bare):
+            out.append((url, depth))
+            if depth < max_depth:
+                queue += [(u, depth + 1) for u in links(url) if u not in seen]
+    return out
