@@ -163,6 +163,21 @@ ENTITY_KEYS = ("name", "type", "description")
 RELATION_KEYS = ("source", "target", "type")
 
 
+def _sealed(text: str) -> Column:
+    """The text as the first of two array elements, the other its hash.
+
+    The JSON reader stops after the first value and would let a remainder
+    pass; a remainder keeps the hash from being the second element.
+    """
+    c = F.col(text)
+    return F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), F.sha1(F.encode(c, "UTF-8")), F.lit('"]')))
+
+
+def _unsealed(sealed: str, text: str) -> Column:
+    whole = F.try_variant_get(sealed, "$[1]", "string") == F.sha1(F.encode(F.col(text), "UTF-8"))
+    return F.when(whole, F.try_variant_get(sealed, "$[0]", "variant"))
+
+
 def parse_extractions(df: DataFrame, response: str = "response") -> DataFrame:
     """Responses to ``entities`` and ``relations`` arrays.
 
@@ -170,12 +185,13 @@ def parse_extractions(df: DataFrame, response: str = "response") -> DataFrame:
     an entity or a complete relation with a field that is not a string gives
     two empty arrays. Only relations that lack a key are dropped one by one.
     ``valid`` tells an empty result from a rejected one and ``dropped`` counts
-    the malformed relations.
+    the malformed relations. An object that repeats a key counts as no JSON.
     """
     text = F.coalesce(F.col(response), F.lit(""))
     braces = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    root = F.coalesce(F.try_parse_json(braces), F.try_parse_json(_fenced(text)))
-    one = compute_once(df, df.columns, _root=root)
+    texts = compute_once(df, df.columns, _outer=braces, _inner=_fenced(text))
+    read = compute_once(texts, [*df.columns, "_outer", "_inner"], _a=_sealed("_outer"), _b=_sealed("_inner"))
+    one = compute_once(read, df.columns, _root=F.coalesce(_unsealed("_a", "_outer"), _unsealed("_b", "_inner")))
 
     v = F.col("_root")
     relations_kind = _kind(v, "$.relations")

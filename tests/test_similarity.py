@@ -80,12 +80,18 @@ def test_a_task_hands_on_few_rows_of_many_copies():
     assert all(n <= 6 for n in sent)
 
 
-@WAYS
-@pytest.mark.parametrize("finish_rows", [4096, 8])
-@pytest.mark.parametrize("threshold", [0.5, 0.92, 0.99])
+@pytest.mark.parametrize(
+    "limits,finish_rows,threshold",
+    [
+        (BROADCAST, 4096, 0.92),
+        (BROADCAST, 8, 0.5),
+        (BROADCAST, 8, 0.92),
+        (BROADCAST, 8, 0.99),
+        (ONE_CELL, 8, 0.92),
+        (CELLS, 8, 0.92),
+    ],
+)
 def test_resolution_equals_arrival_order(spark, limits, finish_rows, threshold):
-    if limits is not BROADCAST and (threshold == 0.99 or finish_rows == 4096):
-        pytest.skip("covered by the other combinations")
     v = clustered(90, seed=11)
     want = rules.resolve(v, threshold)
     got = resolution.resolve_entities(
