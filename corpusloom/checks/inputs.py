@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import documents as docs
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 DIM = 128
 SITE_PAGES = 64
@@ -55,7 +55,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     repeat, some relations name nothing known, repeat, or loop.
     """
     n = F.col("doc_id")
-    rows = table(spark, sf, "documents").select(
+    rows = spread(table(spark, sf, "documents")).select(
         "doc_id",
         "lang",
         "source",
@@ -193,7 +193,7 @@ def site(spark: SparkSession, sf: str) -> DataFrame:
         2 * i + 2,
     )
     html = F.when(i % 10 == 9, F.lit("<html><body></body></html>")).otherwise(F.concat("html", anchors))
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", F.concat(host, F.lit("/p/"), i.cast("string")).alias("url"), html.alias("html")
     )
 

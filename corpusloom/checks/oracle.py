@@ -10,13 +10,16 @@ from corpusloom.checks import inputs, queries
 from corpusloom.functions import text as tx
 from corpusloom.functions import urls
 from corpusloom.operators import embedding as emb
-from corpusloom.operators import extraction, resolution
+from corpusloom.operators import extraction
+from corpusloom.operators import similarity as sim
 from corpusloom.sources import files
 
 WS = tx.WHITESPACE
 SIZE, OVERLAP, BLOCK = tx.CHUNK_SIZE, tx.CHUNK_OVERLAP, tx.BLOCK_SIZE
 DIM = inputs.DIM
 SITE = inputs.SITE_PAGES
+BANDS = queries.BANDS
+(P1, P2, P3), PM = sim.PLANE_STEPS, sim.PLANE_MODULUS
 
 
 def strip(c: str) -> str:
@@ -277,6 +280,24 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
         f"SELECT query_id, vec_id, {cosine('v', 'embedding')} AS score FROM centres CROSS JOIN embeddings",
     ),
     "vecs": ([], "SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS o, embedding AS v FROM embeddings"),
+    "planes": (
+        [],
+        f"SELECT i, p, (x * x % {PM} * {P3} % {PM}) // 65536 % 2 * 2 - 1 AS c FROM (SELECT i, p, (i * {P1} + p * {P2} + {BANDS.seed}) % {PM} AS x "
+        f"FROM (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS i) CROSS JOIN range({BANDS.bits * BANDS.bands}) t(p))",
+    ),
+    "sides": (
+        ["planes"],
+        "SELECT vec_id, p, sum(x * c) > 0 AS up FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i "
+        "FROM embeddings) JOIN planes USING (i) GROUP BY vec_id, p",
+    ),
+    "band_keys": (
+        ["sides"],
+        f"SELECT vec_id, p // {BANDS.bits} AS band, sum(up::INT * 2 ** (p % {BANDS.bits})) AS sig FROM sides GROUP BY ALL",
+    ),
+    "candidates": (
+        ["band_keys"],
+        "SELECT DISTINCT a.vec_id AS vec_a, b.vec_id AS vec_b FROM band_keys a JOIN band_keys b USING (band, sig) WHERE a.vec_id < b.vec_id",
+    ),
     # questions and hits
     "asked": ([], "SELECT item_id AS query_id, text AS query FROM benchmark"),
     "hit_scores": (
@@ -544,6 +565,11 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT vec_a, vec_b, round(score, 6) AS score FROM (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, {cosine('a.embedding', 'b.embedding')} AS score "
             f"FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= {queries.PAIR_THRESHOLD}"
         ),
+        "similarity_join_lsh": sql(
+            f"SELECT vec_a, vec_b, round(score, 6) AS score FROM (SELECT vec_a, vec_b, {cosine('a.embedding', 'b.embedding')} AS score FROM candidates "
+            f"JOIN embeddings a ON a.vec_id = vec_a JOIN embeddings b ON b.vec_id = vec_b) WHERE score >= {queries.PAIR_THRESHOLD}",
+            "candidates",
+        ),
         "score_threshold": sql(
             f"SELECT query_id, vec_id, round(score, 6) AS score FROM centre_scores WHERE score >= {queries.PAIR_THRESHOLD}", "centre_scores"
         ),

@@ -20,7 +20,7 @@ from corpusloom.operators import extraction, graph, resolution, similarity
 from corpusloom.plans import ingest, retrieve
 from corpusloom.session import cut_lineage, scratch_path
 from corpusloom.sources import files, store, web
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 from corpusloom.streaming import ingest as stream
 from corpusloom.streaming import quota
 
@@ -32,6 +32,7 @@ CRAWL_DEPTH = 2
 CRAWL_PAGES = 100
 CRAWL_LIMIT = 5
 QUOTA = 1
+BANDS = similarity.SignBands.for_recall(PAIR_THRESHOLD, recall=0.95, bits=4)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -53,7 +54,11 @@ def _vector_text(c: str) -> Column:
 
 
 def _documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
+
+
+def _pages(spark, sf) -> DataFrame:
+    return spread(table(spark, sf, "pages"))
 
 
 def _chunks(spark, sf) -> DataFrame:
@@ -85,7 +90,7 @@ def ingest_files_filter(spark, sf):
 
 @register
 def page_text(spark, sf):
-    return web.page_text(table(spark, sf, "pages"))
+    return web.page_text(_pages(spark, sf))
 
 
 @register
@@ -258,8 +263,7 @@ def similarity_join(spark, sf):
 
 @register
 def similarity_join_lsh(spark, sf):
-    bands = similarity.SignBands.for_recall(PAIR_THRESHOLD, recall=0.95, bits=4)
-    rows = similarity.similar_pairs_banded(table(spark, sf, "embeddings"), PAIR_THRESHOLD, bands)
+    rows = similarity.similar_pairs_banded(table(spark, sf, "embeddings"), PAIR_THRESHOLD, BANDS)
     return rows.select(F.col("id_a").alias("vec_a"), F.col("id_b").alias("vec_b"), _score())
 
 
@@ -549,7 +553,7 @@ def chunk_offsets(spark, sf):
 
 @register
 def extract_links(spark, sf):
-    return web.extract_links(table(spark, sf, "pages"))
+    return web.extract_links(_pages(spark, sf))
 
 
 @register

@@ -101,23 +101,11 @@ def edge_positions(edges: DataFrame, seq: str = "seq") -> DataFrame:
 def adjacency(relations: DataFrame, seq: str = "seq") -> DataFrame:
     """Deduplicated outgoing edges with their place in first-seen order.
 
-    One row per edge, so the list of a hub is never built in one task;
-    :func:`nested_adjacency` nests it for export.
+    One row per edge: the list of a hub is never built in one task.
     """
     return edge_positions(first_edges(relations, seq), seq).select("source_id", "position", "target_id", "type")
 
 
-def nested_adjacency(adjacent: DataFrame) -> DataFrame:
-    """``source_id, relations array<struct<target_id,type>>``: one value per
-    source by nature, so meant for stores that take a document per entity."""
-    rows = F.array_sort(F.collect_list(F.struct("position", "target_id", "type")))
-    return adjacent.groupBy("source_id").agg(
-        F.transform(rows, lambda r: F.struct(r["target_id"].alias("target_id"), r["type"].alias("type"))).alias(
-            "relations"
-        )
-    )
-
-
 # ------------------------------------------------------------------ lookups
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import similarity as sim
+from corpusloom.operators.similarity import SCORE_DECIMALS, unit_matrix
 from corpusloom.session import cut_lineage
 
 RESOLVE_THRESHOLD = 0.92
@@ -22,13 +23,13 @@ def _greedy(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         return
     table = pa.Table.from_batches(held).sort_by("ord")
     orders = table.column("ord").to_numpy()
-    unit = sim.unit_matrix(table.column("vec"))
+    unit = unit_matrix(table.column("vec"))
     leaders: list[int] = []
     led = np.zeros(len(orders), dtype=bool)
     for i in range(len(orders)):
         if not led[i]:
             leaders.append(i)
-            led |= np.round(unit @ unit[i], sim.SCORE_DECIMALS) >= threshold
+            led |= np.round(unit @ unit[i], SCORE_DECIMALS) >= threshold
     yield pa.RecordBatch.from_arrays([pa.array(orders[leaders])], names=["ord"])
 
 
@@ -58,13 +59,13 @@ def leaders(
         if open_.limit(finish_rows + 1).count() <= finish_rows:
             new = cut_lineage(open_.join(first, "ord", "left_semi").select("ord", "vec"))
             return new if found is None else found.unionByName(new)
-        blocked = cut_lineage(sim.having_earlier_match(open_, open_, threshold, limits))
+        blocked = sim.having_earlier_match(open_, open_, threshold, limits)
         lead = cut_lineage(open_.join(blocked, "ord", "left_anti").select("ord").union(first).distinct())
         new = cut_lineage(open_.join(lead, "ord", "left_semi").select("ord", "vec"))
         rest = open_.join(lead, "ord", "left_anti")
         follow = sim.having_earlier_match(new, rest, threshold, limits)
         open_ = cut_lineage(rest.join(follow, "ord", "left_anti"))
-        found = new if found is None else cut_lineage(found.unionByName(new))
+        found = new if found is None else found.unionByName(new)
 
 
 def resolve_entities(
@@ -78,9 +79,10 @@ def resolve_entities(
     """``order, leader_order, score`` for every entity.
 
     A leader points at itself with score 1; any other row points at the most
-    similar leader that arrived before it. ``order`` must be unique.
+    similar leader that arrived before it. ``order`` must be unique, and
+    ``entities`` a stored table, as it is read more than once.
     """
-    rows = cut_lineage(entities.select(F.col(order).cast("long").alias("ord"), F.col(vec).alias("vec")))
+    rows = entities.select(F.col(order).cast("long").alias("ord"), F.col(vec).alias("vec"))
     led = leaders(rows, threshold, finish_rows, limits)
     others = rows.join(led, "ord", "left_anti")
     matched = sim.best_earlier_match(others, led, threshold, limits)

@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCORE_DECIMALS = 9
+# The hash that picks the components of signature planes.
+PLANE_STEPS = (7919, 104729, 48271)
+PLANE_MODULUS = 2147483647
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 << 20
 TILE_ROWS = 4096
@@ -442,10 +445,12 @@ def best_earlier_match(
 
 @dataclass(frozen=True)
 class SignBands:
-    """Random-hyperplane signatures, cut into bands.
+    """Hyperplane signatures, cut into bands.
 
+    The planes have components +1 and -1 that a hash of their position picks,
+    so that every task, and any other engine, has the same planes.
     ``for_recall`` picks the number of bands such that a pair exactly at the
-    threshold is found with the wanted probability.
+    threshold is found with about the wanted probability.
     """
 
     bits: int
@@ -459,7 +464,11 @@ class SignBands:
         return SignBands(bits, max(1, bands), seed)
 
     def planes(self, dim: int) -> np.ndarray:
-        return np.random.default_rng(self.seed).standard_normal((dim, self.bits * self.bands))
+        i = np.arange(dim, dtype=np.int64)[:, None]
+        p = np.arange(self.bits * self.bands, dtype=np.int64)[None, :]
+        x = (i * PLANE_STEPS[0] + p * PLANE_STEPS[1] + self.seed) % PLANE_MODULUS
+        x = x * x % PLANE_MODULUS * PLANE_STEPS[2] % PLANE_MODULUS
+        return (x // 65536 % 2 * 2 - 1).astype(np.float64)
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         signs = (unit @ self.planes(unit.shape[1])) > 0

@@ -39,8 +39,8 @@ def test_query_equals_sql(spark, db, folder, name):
     assert ordered(got) == ordered(want)
 
 
-def test_only_the_approximate_join_has_no_sql():
-    assert set(entry.queries()) - set(SQL) == {"similarity_join_lsh"}
+def test_every_query_has_its_sql():
+    assert set(entry.queries()) == set(SQL)
 
 
 def test_entry_runs(spark):
