@@ -8,29 +8,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.operators import similarity as sim
-from corpusloom.operators.similarity import SCORE_DECIMALS, unit_matrix
+from corpusloom.operators.similarity import reaches, unit_matrix
 from corpusloom.session import cut_lineage
 
 RESOLVE_THRESHOLD = 0.92
 FINISH_ROWS = 4096
 
 
-def _greedy(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _in_order(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Flag the leaders among a bounded number of rows, one after the other."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    table = pa.Table.from_batches(held).sort_by("ord")
-    orders = table.column("ord").to_numpy()
+    table = pa.Table.from_batches(held).sort_by("ord").combine_chunks()
     unit = unit_matrix(table.column("vec"))
-    leaders: list[int] = []
-    led = np.zeros(len(orders), dtype=bool)
-    for i in range(len(orders)):
-        if not led[i]:
-            leaders.append(i)
-            led |= np.round(unit @ unit[i], SCORE_DECIMALS) >= threshold
-    yield pa.RecordBatch.from_arrays([pa.array(orders[leaders])], names=["ord"])
+    leads = np.zeros(table.num_rows, dtype=bool)
+    follows = np.zeros(table.num_rows, dtype=bool)
+    for i in range(table.num_rows):
+        if not follows[i]:
+            leads[i] = True
+            follows |= reaches(unit @ unit[i], threshold)
+    yield from table.append_column("leads", pa.array(leads)).to_batches()
 
 
 def leaders(
@@ -41,31 +42,46 @@ def leaders(
 ) -> DataFrame:
     """Rows (``ord, vec``) that no earlier leader is similar to.
 
-    Every round settles, in parallel, all rows without an undecided earlier
-    neighbour (they lead) and all rows with a leader among their earlier
-    neighbours (they follow). Neighbours are only ever tested for existence,
-    so crowded similar groups emit no pairs. Few rounds are needed for an
-    arrival order that is unrelated to similarity. As every round also settles
-    the first ``finish_rows`` open rows in order, in one bounded task, long
-    chains of similar arrivals advance by that many rows per round.
+    A round settles the first ``finish_rows`` open rows in order, in one
+    bounded task, and drops what follows their leaders: large similar groups
+    are gone after comparing each row with a bounded number of leaders.
+
+    Where that leaves more than half of the rows open, the round goes on in
+    parallel: a row without an open earlier neighbour leads, and a row with a
+    leader among its earlier neighbours follows. Neighbours are only tested
+    for existence, so crowded groups emit no pairs. Few such rounds are needed
+    for an arrival order that is unrelated to similarity, and a long chain of
+    similar arrivals still advances by ``finish_rows`` per round.
     """
     # Equal vectors collapse on the map side; only the first can lead.
-    open_ = cut_lineage(vectors.groupBy("vec").agg(F.min("ord").alias("ord")))
-    found = None
-    while True:
-        # The earliest open rows have all open rows before them at hand.
-        head = open_.orderBy("ord").limit(finish_rows)
-        first = head.coalesce(1).mapInArrow(lambda batches: _greedy(batches, threshold), "ord long")
-        if open_.limit(finish_rows + 1).count() <= finish_rows:
-            new = cut_lineage(open_.join(first, "ord", "left_semi").select("ord", "vec"))
-            return new if found is None else found.unionByName(new)
-        blocked = sim.having_earlier_match(open_, open_, threshold, limits)
-        lead = cut_lineage(open_.join(blocked, "ord", "left_anti").select("ord").union(first).distinct())
-        new = cut_lineage(open_.join(lead, "ord", "left_semi").select("ord", "vec"))
-        rest = open_.join(lead, "ord", "left_anti")
-        follow = sim.having_earlier_match(new, rest, threshold, limits)
-        open_ = cut_lineage(rest.join(follow, "ord", "left_anti"))
-        found = new if found is None else found.unionByName(new)
+    open_ = cut_lineage(vectors.groupBy("vec").agg(F.min("ord").alias("ord")).select("ord", "vec"))
+    size = open_.count()
+    flagged = T.StructType([*open_.schema.fields, T.StructField("leads", T.BooleanType())])
+    found = open_.limit(0)
+    while size:
+        head = open_.orderBy("ord").limit(finish_rows).coalesce(1)
+        settled = cut_lineage(head.mapInArrow(lambda batches: _in_order(batches, threshold), flagged))
+        first = settled.where("leads").select("ord", "vec")
+        found = found.unionByName(first)
+        if size <= finish_rows:
+            break
+        reached = settled.agg(F.max("ord")).first()[0]
+        tail = open_.where(F.col("ord") > reached)
+        rest = cut_lineage(_without_followers(first, tail, threshold, limits))
+        left = rest.count()
+        if left > size // 2:
+            blocked = sim.having_earlier_match(rest, rest, threshold, limits)
+            lead = cut_lineage(rest.join(blocked, "ord", "left_anti"))
+            found = found.unionByName(lead)
+            others = rest.join(lead.select("ord"), "ord", "left_anti")
+            rest = cut_lineage(_without_followers(lead, others, threshold, limits))
+            left = rest.count()
+        open_, size = rest, left
+    return found
+
+
+def _without_followers(lead: DataFrame, rows: DataFrame, threshold: float, limits: sim.Limits) -> DataFrame:
+    return rows.join(sim.having_earlier_match(lead, rows, threshold, limits), "ord", "left_anti")
 
 
 def resolve_entities(

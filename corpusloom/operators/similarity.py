@@ -70,8 +70,9 @@ def unit_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(a @ b.T, SCORE_DECIMALS)
+def reaches(raw: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether products round to the threshold or more."""
+    return raw >= threshold - 0.5 * 10.0**-SCORE_DECIMALS
 
 
 def _values(column) -> np.ndarray:
@@ -94,13 +95,13 @@ def _pairs_kernel(threshold: float, ordered: bool):
     def kernel(left, right):
         (lid, lord, lmat), (rid, rord, rmat) = left, right
         for at in range(0, len(lid), SLAB_ROWS):
-            s = _scores(lmat[at : at + SLAB_ROWS], rmat)
-            hit = s >= threshold
+            raw = lmat[at : at + SLAB_ROWS] @ rmat.T
+            i, j = np.nonzero(reaches(raw, threshold))
             if ordered:
-                hit &= lord[at : at + SLAB_ROWS, None] < rord[None, :]
-            i, j = np.nonzero(hit)
+                before = lord[at + i] < rord[j]
+                i, j = i[before], j[before]
             if len(i):
-                yield lid[at + i], rid[j], s[i, j]
+                yield lid[at + i], rid[j], np.round(raw[i, j], SCORE_DECIMALS)
 
     return lambda left_is_held: kernel
 
@@ -112,11 +113,11 @@ def _exists_kernel(threshold: float):
         (lid, lord, lmat), (rid, rord, rmat) = left, right
         found = np.zeros(len(rid), dtype=bool)
         for at in range(0, len(lid), SLAB_ROWS):
-            open_ = np.nonzero(~found)[0]
+            open_ = np.flatnonzero(~found)
             if not len(open_):
                 break
-            s = _scores(lmat[at : at + SLAB_ROWS], rmat[open_])
-            hit = (s >= threshold) & (lord[at : at + SLAB_ROWS, None] < rord[None, open_])
+            hit = reaches(lmat[at : at + SLAB_ROWS] @ rmat[open_].T, threshold)
+            hit &= lord[at : at + SLAB_ROWS, None] < rord[None, open_]
             found[open_] = hit.any(axis=0)
         if found.any():
             yield (rid[found],)
@@ -127,8 +128,9 @@ def _exists_kernel(threshold: float):
 def _best_kernel(k: int, threshold: float | None, earlier: bool):
     """Top k right rows of every left row, ties by right id.
 
-    A task that sees the right side in batches remembers the k best scores so
-    far of each left row, and hands on only rows that reach them.
+    A task that sees the right side in batches remembers the k best products
+    so far of each left row, and hands on only rows that reach them. What is
+    within a rounding of the k-th counts as a tie until it is rounded.
     """
 
     def start(left_is_held: bool):
@@ -137,29 +139,38 @@ def _best_kernel(k: int, threshold: float | None, earlier: bool):
         def kernel(left, right):
             (lid, lord, lmat), (rid, rord, rmat) = left, right
             for at in range(0, len(lid), SLAB_ROWS):
-                s = _scores(lmat[at : at + SLAB_ROWS], rmat)
-                if threshold is not None:
-                    s[s < threshold] = -np.inf
+                raw = lmat[at : at + SLAB_ROWS] @ rmat.T
                 if earlier:
-                    s[rord[None, :] >= lord[at : at + SLAB_ROWS, None]] = -np.inf
-                top = s if s.shape[1] <= k else -np.partition(-s, k - 1, axis=1)[:, :k]
+                    raw = np.where(rord[None, :] < lord[at : at + SLAB_ROWS, None], raw, -np.inf)
+                top = _largest(raw, k)
                 if left_is_held:
-                    top = np.hstack([best[at], top]) if at in best else top
-                    if top.shape[1] > k:
-                        top = -np.partition(-top, k - 1, axis=1)[:, :k]
+                    top = _largest(np.hstack([best[at], top]), k) if at in best else top
                     best[at] = top
-                floor = top.min(axis=1) if top.shape[1] == k else np.full(len(s), -np.inf)
-                i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
-                if not len(i):
-                    continue
-                keep = _first_k(i, s[i, j], rid[j], k)
-                yield lid[at + i[keep]], rid[j[keep]], s[i[keep], j[keep]]
+                floor = np.full(len(raw), -2.0)
+                if top.shape[1] == k:
+                    floor = np.maximum(floor, top.min(axis=1) - 10.0**-SCORE_DECIMALS)
+                if threshold is not None:
+                    floor = np.maximum(floor, threshold - 0.5 * 10.0**-SCORE_DECIMALS)
+                i, j = np.nonzero(raw >= floor[:, None])
+                if len(i):
+                    score = np.round(raw[i, j], SCORE_DECIMALS)
+                    keep = _first_k(i, score, rid[j], k)
+                    yield lid[at + i[keep]], rid[j[keep]], score[keep]
 
         return kernel
 
     return start
 
 
+def _largest(values: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of every row, in any order."""
+    if values.shape[1] <= k:
+        return values
+    if k == 1:
+        return values.max(axis=1, keepdims=True)
+    return np.partition(values, values.shape[1] - k, axis=1)[:, -k:]
+
+
 def _first_k(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of every group (groups are adjacent)."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
