@@ -162,7 +162,7 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     ),
     "chunk_log": (
         ["chunk_id_rows"],
-        "SELECT c.*, 0 AS batch_id FROM chunk_id_rows c UNION ALL SELECT c.*, 1 FROM chunk_id_rows c "
+        "SELECT c.*, 0::BIGINT AS batch_id FROM chunk_id_rows c UNION ALL SELECT c.*, 1::BIGINT FROM chunk_id_rows c "
         "WHERE doc_id IN (SELECT doc_id FROM labels)",
     ),
     "once": (
@@ -272,7 +272,7 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     # vectors
     "centres": (
         [],
-        "SELECT label AS query_id, list(x ORDER BY p) AS v FROM (SELECT label, p, avg(x) AS x FROM "
+        "SELECT label::BIGINT AS query_id, list(x ORDER BY p) AS v FROM (SELECT label, p, avg(x) AS x FROM "
         "(SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM embeddings) GROUP BY label, p) GROUP BY label",
     ),
     "centre_scores": (
@@ -423,7 +423,7 @@ def crawl_fragments(limit: int) -> dict[str, tuple[list[str], str]]:
         done = " + ".join([f"(SELECT count(*) FROM c{limit}_r{e} x WHERE x.crawl_id = u.crawl_id)" for e in levels]) or "0"
         out[f"c{limit}_r{d}"] = (
             [f"c{limit}_q{d}", "site_texts", *[f"c{limit}_r{e}" for e in levels]],
-            f"SELECT u.crawl_id, u.url, p.url AS page_url, {d} AS depth, p.text, row_number() OVER (PARTITION BY u.crawl_id ORDER BY parent, pos) + {done} AS rank "
+            f"SELECT u.crawl_id, u.url, p.url AS page_url, {d}::BIGINT AS depth, p.text, row_number() OVER (PARTITION BY u.crawl_id ORDER BY parent, pos) + {done} AS rank "
             f"FROM c{limit}_q{d} u JOIN site_texts p ON p.url = {key} WHERE p.text <> '' QUALIFY rank <= {limit}",
         )
         levels.append(d)
@@ -488,7 +488,7 @@ def oracle_sql() -> dict[str, str]:
     tokens = "length({0}) // 4"
     out = {
         "ingest_text": sql(
-            f"SELECT doc_id, 0 AS chunk_index, 0 AS start_char, length(text) AS end_char, source, {content_id('text')} AS chunk_id FROM documents"
+            f"SELECT doc_id, 0::BIGINT AS chunk_index, 0::BIGINT AS start_char, length(text) AS end_char, source, {content_id('text')} AS chunk_id FROM documents"
         ),
         "ingest_files_filter": sql(
             f"""SELECT page_id, filename, file_type, file_type IN ({supported}) AS accepted,

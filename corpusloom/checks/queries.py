@@ -6,6 +6,7 @@ result can be compared value by value with its SQL.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,8 +40,15 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(f: Query) -> Query:
-    REGISTRY[f.__name__] = f
-    return f
+    """Register a query; its integers are widened, as SQL engines differ there."""
+
+    @functools.wraps(f)
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        df = f(spark, sf)
+        return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+    REGISTRY[f.__name__] = query
+    return query
 
 
 def _score(c: str = "score") -> Column:

@@ -22,8 +22,13 @@ ANSWER_RULES = (
     "Answer from the given context alone, and say so when it holds no answer. "
     "Write concise, well-structured Markdown in the language of the question."
 )
-# Fixed value: what stands for a missing graph context.
+# The frame of the two user messages.
+EXTRACT_FROM = "Extract from:\n\n"
+DOCUMENT_CONTEXT = "Context from documents:\n"
+GRAPH_CONTEXT = "\n\nKnowledge graph context:\n"
 NO_GRAPH = "No graph context available."
+QUESTION = "\n\nQuestion: "
+ANSWER = "\n\nAnswer based on the above context:"
 
 ENTITIES = "array<struct<name:string,type:string,description:string>>"
 RELATIONS = "array<struct<source:string,target:string,type:string>>"
@@ -39,19 +44,19 @@ def messages(system: str, user: Column) -> Column:
 def extraction_prompts(blocks: DataFrame, block: str = "block") -> DataFrame:
     """Add the message list that asks for the entities of a block."""
     return blocks.withColumn(
-        "messages", messages(EXTRACTION_RULES, F.concat(F.lit("Extract from:\n\n"), F.col(block)))
+        "messages", messages(EXTRACTION_RULES, F.concat(F.lit(EXTRACT_FROM), F.col(block)))
     )
 
 
 def answer_content(question: Column, context: Column, graph: Column) -> Column:
     return F.concat(
-        F.lit("Context from documents:\n"),
+        F.lit(DOCUMENT_CONTEXT),
         context,
-        F.lit("\n\nKnowledge graph context:\n"),
+        F.lit(GRAPH_CONTEXT),
         F.coalesce(F.nullif(graph, F.lit("")), F.lit(NO_GRAPH)),
-        F.lit("\n\nQuestion: "),
+        F.lit(QUESTION),
         question,
-        F.lit("\n\nAnswer based on the above context:"),
+        F.lit(ANSWER),
     )
 
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators import similarity as sim
-from corpusloom.operators.similarity import reaches, unit_matrix
+from corpusloom.operators.similarity import SLAB_ROWS, reaches, unit_matrix
 from corpusloom.session import cut_lineage
 
 RESOLVE_THRESHOLD = 0.92
-FINISH_ROWS = 4096
+FINISH_ROWS = 8192
 
 
 def _in_order(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -27,10 +27,12 @@ def _in_order(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
     unit = unit_matrix(table.column("vec"))
     leads = np.zeros(table.num_rows, dtype=bool)
     follows = np.zeros(table.num_rows, dtype=bool)
-    for i in range(table.num_rows):
-        if not follows[i]:
-            leads[i] = True
-            follows |= reaches(unit @ unit[i], threshold)
+    for at in range(0, table.num_rows, SLAB_ROWS):
+        near = reaches(unit[at : at + SLAB_ROWS] @ unit.T, threshold)
+        for i in range(len(near)):
+            if not follows[at + i]:
+                leads[at + i] = True
+                follows |= near[i]
     yield from table.append_column("leads", pa.array(leads)).to_batches()
 
 
@@ -89,6 +91,7 @@ def resolve_entities(
     threshold: float = RESOLVE_THRESHOLD,
     order: str = "ord",
     vec: str = "embedding",
+    stored: DataFrame | None = None,
     finish_rows: int = FINISH_ROWS,
     limits: sim.Limits = sim.Limits(),
 ) -> DataFrame:
@@ -97,13 +100,25 @@ def resolve_entities(
     A leader points at itself with score 1; any other row points at the most
     similar leader that arrived before it. ``order`` must be unique, and
     ``entities`` a stored table, as it is read more than once.
+
+    ``stored`` holds the leaders of earlier runs, with smaller orders: the
+    rows are then resolved as if they had arrived right after them.
     """
-    rows = entities.select(F.col(order).cast("long").alias("ord"), F.col(vec).alias("vec"))
-    led = leaders(rows, threshold, finish_rows, limits)
-    others = rows.join(led, "ord", "left_anti")
-    matched = sim.best_earlier_match(others, led, threshold, limits)
+    rows = _ordered(entities, order, vec)
+    open_ = rows
+    if stored is not None:
+        old = _ordered(stored, order, vec)
+        open_ = cut_lineage(_without_followers(old, rows, threshold, limits))
+    led = leaders(open_, threshold, finish_rows, limits)
+    others = rows.join(led.select("ord"), "ord", "left_anti")
+    everyone = led if stored is None else old.unionByName(led)
+    matched = sim.best_earlier_match(others, everyone, threshold, limits)
     return (
         led.select("ord", F.col("ord").alias("match_ord"), F.lit(1.0).alias("score"))
         .unionByName(matched)
         .select(F.col("ord").alias(order), F.col("match_ord").alias(f"leader_{order}"), "score")
     )
+
+
+def _ordered(df: DataFrame, order: str, vec: str) -> DataFrame:
+    return df.select(F.col(order).cast("long").alias("ord"), F.col(vec).alias("vec"))

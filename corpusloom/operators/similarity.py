@@ -75,13 +75,15 @@ def reaches(raw: np.ndarray, threshold: float) -> np.ndarray:
     return raw >= threshold - 0.5 * 10.0**-SCORE_DECIMALS
 
 
-def _values(column) -> np.ndarray:
+def _values(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if pa.types.is_integer(column.type):
+        return np.asarray(column)
     return np.array(column.to_pylist(), dtype=object)
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), type=f.type) for c, f in zip(columns, schema)], schema=schema
+        [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
     )
 
 
@@ -193,8 +195,7 @@ def _side(df: DataFrame, id_: str, vec: str, order: str | None) -> DataFrame:
 
 
 def _parts(table) -> tuple:
-    orders = np.asarray(table.column("ord").to_pylist(), dtype=np.int64)
-    return _values(table.column("id")), orders, unit_matrix(table.column("vec"))
+    return _values(table.column("id")), _values(table.column("ord")), unit_matrix(table.column("vec"))
 
 
 def _small(side: DataFrame, limits: Limits):

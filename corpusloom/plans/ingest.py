@@ -16,6 +16,7 @@ from corpusloom.sources import store, web
 
 # A chunk's place in the arrival order: batch, then document, then position.
 ARRIVAL = ["batch_id", "doc_id", "chunk_index"]
+ENTITY_COLUMNS = ["entity_id", "name", "type", "description", "embedding", "ord"]
 
 
 def document_chunks(documents: DataFrame, metadata: Column | None = None, batch_id: int = 0, **sizes) -> DataFrame:
@@ -71,6 +72,7 @@ def build_graph(
     loader=None,
     threshold: float = RESOLVE_THRESHOLD,
     key: str = "block_id",
+    stored: tuple[DataFrame, DataFrame] | None = None,
     limits: Limits = Limits(),
     **resolution,
 ) -> tuple[DataFrame, DataFrame]:
@@ -79,25 +81,32 @@ def build_graph(
     Entities are resolved across all blocks in arrival order; the first writer
     keeps name, type and description. The id of an entity is the content id of
     its leader's text and order.
+
+    ``stored`` is what an earlier call returned, of blocks with smaller keys:
+    the new blocks then extend that graph, and the result is the whole of it.
     """
     parsed = cut_lineage(parsed.select(key, "entities", "relations"))
     mentions = entity_mentions(parsed, key)
     texts = mentions.withColumn("entity_text", emb.entity_text(F.col("name"), F.col("description")))
     vectors = cut_lineage(emb.embed_text(texts, "entity_text", loader=loader))
-    links = cut_lineage(resolve_entities(vectors, threshold, limits=limits, **resolution))
+    known = stored[0].select("ord", "embedding") if stored else None
+    links = cut_lineage(resolve_entities(vectors, threshold, stored=known, limits=limits, **resolution))
     led = vectors.join(links.where("ord = leader_ord").select("ord"), "ord").withColumn(
         "entity_id", tx.content_id(F.concat_ws("#", "entity_text", F.col("ord").cast("string")))
     )
-    ids = led.select(F.col("ord").alias("leader_ord"), "entity_id")
+    entities = led.select(*ENTITY_COLUMNS)
+    if stored:
+        entities = stored[0].select(*ENTITY_COLUMNS).unionByName(entities)
+    ids = entities.select(F.col("ord").alias("leader_ord"), "entity_id")
     named = (
         mentions.select(key, "pos", "name", "ord").join(links.select("ord", "leader_ord"), "ord").join(ids, "leader_ord")
     )
     by_id = graph.resolve_relations(extraction.extracted_relations(parsed, key), named, key)
-    edges = graph.first_edges(
-        graph.without_self_loops(by_id).withColumn("seq", F.col(key) * F.lit(1 << 20) + F.col("pos"))
+    found = graph.without_self_loops(by_id).select(
+        *graph.EDGE, (F.col(key) * F.lit(1 << 20) + F.col("pos")).alias("seq")
     )
-    entities = led.select("entity_id", "name", "type", "description", "embedding", "ord")
-    return entities, edges
+    edges = stored[1].select(*graph.EDGE, "seq").unionByName(found) if stored else found
+    return entities, graph.first_edges(edges)
 
 
 def ingest_crawl(starts: DataFrame, pages: DataFrame, max_pages: int, max_depth: int) -> tuple[DataFrame, DataFrame]:

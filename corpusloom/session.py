@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_cuts: list[str] = []
+
 
 def local_session(app: str = "corpusloom", cpus: int | str = 8, **conf) -> SparkSession:
     """A session for tests and local benches; clusters bring their own."""
@@ -56,10 +58,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     later steps read only what they use, and its size is known to the planner.
     """
     path = scratch_path(df.sparkSession, "cut")
+    _cuts.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables :func:`cut_lineage` wrote for this process.
+
+    For long-running applications, once the results that read them are stored.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _cuts:
+        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -41,3 +41,13 @@ def latest_version(df: DataFrame, key: str, version: list[str | Column]) -> Data
 def upsert(current: DataFrame, new: DataFrame, key: str, version: list[str | Column]) -> DataFrame:
     """Merge as a view: everything written, then the last row per key."""
     return latest_version(current.unionByName(new), key, version)
+
+
+def compact(spark: SparkSession, path: str, schema: str, key: str, version: list[str], target: str) -> None:
+    """Write the current rows of a log as a new log, and leave the old one.
+
+    Readers move to ``target`` once it is whole; rows keep their batch, so
+    later batches win over them as before.
+    """
+    rows = latest_version(read_log(spark, path, schema), key, version)
+    rows.write.partitionBy("batch_id").parquet(target)

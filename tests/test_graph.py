@@ -115,3 +115,16 @@ def test_graph_is_built_across_blocks(spark):
     assert sorted(names.values()) == [("Apple", "Org"), ("Steve", "Person"), ("Tim", "Person")]
     got = sorted((names[r.source_id][0], names[r.target_id][0], r.type) for r in edges.collect())
     assert got == [("Apple", "Steve", "founded_by"), ("Apple", "Tim", "led_by")]
+
+
+def test_graph_grows_batch_by_batch(spark, folder):
+    from corpusloom.checks import inputs
+
+    parsed = extraction.parse_extractions(inputs.responses(spark, folder)).cache()
+    whole = ingest.build_graph(parsed, threshold=0.8)
+    early = ingest.build_graph(parsed.where("block_id < 90"), threshold=0.8)
+    both = ingest.build_graph(parsed.where("block_id >= 90"), threshold=0.8, stored=early)
+    for a, b in zip(whole, both):
+        columns = [c for c in a.columns if c != "embedding"]
+        one, two = a.select(*columns).collect(), b.select(*columns).collect()
+        assert one and sorted(one) == sorted(two)

@@ -105,6 +105,18 @@ def test_resolution_equals_arrival_order(spark, limits, finish_rows, threshold):
     assert all(s[i, j] < threshold for i in leaders for j in leaders if i < j)
 
 
+@WAYS
+def test_resolution_goes_on_from_a_store(spark, limits):
+    v = clustered(90, seed=4)
+    want = dict(enumerate(rules.resolve(v, 0.92)))
+    table = frame(spark, v)
+    early, late = table.where("vec_id < 40"), table.where("vec_id >= 40")
+    first = resolution.resolve_entities(early, 0.92, order="vec_id", limits=limits)
+    stored = early.join(first.where("vec_id = leader_vec_id").select("vec_id"), "vec_id")
+    second = resolution.resolve_entities(late, 0.92, order="vec_id", stored=stored, limits=limits)
+    assert {r.vec_id: r.leader_vec_id for r in first.unionByName(second).collect()} == want
+
+
 def test_chains_are_kept_apart(spark):
     """a~b and b~c but not a~c; d is closer to the later leader c than to a."""
     angles = [0.0, 0.35, 0.7, 0.45]

@@ -40,6 +40,10 @@ def test_ids_are_stable_and_batches_replace(spark, tmp_path):
     assert view == {"Same text.": 1, "Other text. And more.": 0}
     store.ensure(spark, path, store.CHUNKS)
     assert store.read_log(spark, path, store.CHUNKS).count() == 4
+    target = str(tmp_path / "compacted")
+    store.compact(spark, path, store.CHUNKS, "chunk_id", ingest.ARRIVAL, target)
+    small = store.read_log(spark, target, store.CHUNKS)
+    assert small.count() == 2 and {r.text: r.batch_id for r in ingest.current_chunks(small).collect()} == view
 
 
 def test_stream_equals_batch_over_several_files(spark, tmp_path):
@@ -98,3 +102,17 @@ def test_quota_counts_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     got = sorted(tuple(r) for r in spark.sql("select user_id, requests, rejected from quota_test").collect())
     assert got == [(1, 2, 0), (1, 5, 2), (2, 3, 0), (3, 9, 6)]
+
+
+def test_cut_tables_can_be_dropped(spark):
+    from corpusloom import session
+
+    before = list(session._cuts)
+    session._cuts.clear()
+    try:
+        cut = session.cut_lineage(spark.range(5).withColumnRenamed("id", "n"))
+        path = session._cuts[0]
+        assert cut.count() == 5 and path.startswith(session.shared_dir(spark)) and os.path.isdir(path)
+        assert session.drop_cuts(spark) == 1 and not os.path.exists(path)
+    finally:
+        session._cuts[:] = before
