@@ -207,9 +207,12 @@ def unescape(text: Column) -> Column:
             .otherwise(F.concat(F.lit("&#"), p))
         )
 
-    out = F.when(
-        F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), piece), "")
-    ).otherwise(text)
+    def numeric(t: Column) -> Column:
+        pieces = F.transform(F.split(t, "&#"), piece)
+        return F.when(F.contains(t, F.lit("&#")), F.array_join(pieces, "")).otherwise(t)
+
+    # A one-element transform binds the text once for all its uses.
+    out = F.transform(F.array(text), numeric)[0]
     for name, char in NAMED_REFERENCES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     return out

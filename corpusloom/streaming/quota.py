@@ -21,7 +21,9 @@ def quota_flags(
     cut, which the other events are compared with, so a client that makes a
     large share of all requests is never sorted as one group.
     """
-    rows = events.select(event, client, ts, F.date_trunc(unit, F.col(ts)).alias("window_start"))
+    # Truncating turns a wall-clock time into an instant; turn it back.
+    start = F.date_trunc(unit, F.col(ts)).cast(events.schema[ts].dataType)
+    rows = events.select(event, client, ts, start.alias("window_start"))
     stamp = F.struct(F.col(ts), F.col(event))
     order = Window.partitionBy(client, "window_start").orderBy(ts, event)
     admitted = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
