@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import similarity as sim
-from corpusloom.operators.sizing import broadcast_if_small
+from corpusloom.operators.sizing import broadcast_if_small, join_unique
 from corpusloom.session import cut_lineage
 
 ENTRY_LIMIT = 3
@@ -133,7 +133,7 @@ def one_hop(relations: DataFrame, entries: DataFrame, entities: DataFrame) -> Da
     ``entries`` carries ``source_id``; edges to targets not stored are skipped.
     """
     targets = entities.select(F.col("entity_id").alias("target_id"), F.col("name").alias("target_name"))
-    return relations.join(entries, "source_id").join(targets, "target_id")
+    return join_unique(relations.join(entries, "source_id"), targets, "target_id", ["source_id"], ["target_id", "target_name"])
 
 
 # ------------------------------------------------------------------ context

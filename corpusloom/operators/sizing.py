@@ -1,4 +1,4 @@
-"""Broadcasting only what was measured to fit."""
+"""Joins for hot keys: broadcast what was measured to fit, else salt."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
+SALTS = 16
 # Allowance per row for keys, scores and object headers.
 ROW_OVERHEAD = 64
 
@@ -21,3 +22,26 @@ def broadcast_if_small(df: DataFrame, texts: list[str] = [], limit: int = BROADC
         width = width + F.coalesce(F.octet_length(c), F.lit(0))
     size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= limit else df
+
+
+def join_unique(
+    rows: DataFrame,
+    unique: DataFrame,
+    key: str,
+    salt_by: list[str],
+    texts: list[str] = [],
+    limit: int = BROADCAST_BYTES,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Inner join to narrow rows that are unique in ``key``.
+
+    One key may hold a large share of ``rows``. If the unique side does not
+    fit a broadcast, it is repeated per salt, and the rows of a hot key are
+    dealt out to that many tasks by the hash of ``salt_by``.
+    """
+    small = broadcast_if_small(unique, texts, limit)
+    if small is not unique:
+        return rows.join(small, key)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    repeated = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")

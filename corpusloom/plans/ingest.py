@@ -11,6 +11,7 @@ from corpusloom.operators import embedding as emb
 from corpusloom.operators import extraction, graph
 from corpusloom.operators.resolution import RESOLVE_THRESHOLD, resolve_entities
 from corpusloom.operators.similarity import Limits
+from corpusloom.operators.sizing import join_unique
 from corpusloom.session import cut_lineage
 from corpusloom.sources import store, web
 
@@ -97,10 +98,9 @@ def build_graph(
     entities = led.select(*ENTITY_COLUMNS)
     if stored:
         entities = stored[0].select(*ENTITY_COLUMNS).unionByName(entities)
-    ids = entities.select(F.col("ord").alias("leader_ord"), "entity_id")
-    named = (
-        mentions.select(key, "pos", "name", "ord").join(links.select("ord", "leader_ord"), "ord").join(ids, "leader_ord")
-    )
+    ids = cut_lineage(entities.select(F.col("ord").alias("leader_ord"), "entity_id"))
+    led_by = mentions.select(key, "pos", "name", "ord").join(links.select("ord", "leader_ord"), "ord")
+    named = join_unique(led_by, ids, "leader_ord", ["ord"], ["entity_id"])
     by_id = graph.resolve_relations(extraction.extracted_relations(parsed, key), named, key)
     found = graph.without_self_loops(by_id).select(
         *graph.EDGE, (F.col(key) * F.lit(1 << 20) + F.col("pos")).alias("seq")

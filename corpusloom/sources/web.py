@@ -9,7 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.functions import urls
 from corpusloom.functions.once import compute_once
 from corpusloom.operators.documents import PAGE_BREAK, join_ordered
-from corpusloom.operators.sizing import broadcast_if_small
+from corpusloom.operators.sizing import broadcast_if_small, join_unique
 from corpusloom.session import cut_lineage
 
 MAX_PAGES = 10
@@ -76,11 +76,12 @@ def fetch_key(url: Column) -> Column:
 def link_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Links joined to the fetched page they lead to.
 
-    Pages have one row per url, so a url that very many links share only
-    repeats on the link side, where adaptive execution can split it.
+    Pages have one row per url; a url that very many links share is dealt
+    out to several tasks.
     """
     target = pages.select(fetch_key(F.col("url")).alias("_key"), F.col("page_id").alias("target_page_id"))
-    return links.withColumn("_key", fetch_key(F.col("link"))).join(target, "_key").drop("_key")
+    keyed = links.withColumn("_key", fetch_key(F.col("link")))
+    return join_unique(keyed, target, "_key", ["page_id", "pos"], ["_key"]).drop("_key")
 
 
 def crawl(

@@ -58,6 +58,18 @@ def test_positions_of_a_hub(spark):
         assert want[r.source_id][r.position] == r.target_id
 
 
+def test_hot_keys_join_the_same_when_salted(spark):
+    from corpusloom.operators.sizing import join_unique
+
+    rows = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 40).alias("k"))
+    names = spark.range(35).select(F.col("id").alias("k"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    fits = join_unique(rows, names, "k", ["id"], ["name"])
+    salted = join_unique(rows, names, "k", ["id"], ["name"], limit=0)
+    want = rows.join(names, "k").select("id", "name").collect()
+    for got in (fits, salted):
+        assert sorted(got.select("id", "name").collect()) == sorted(want)
+
+
 def test_new_edges_and_union(spark):
     stored = spark.createDataFrame([("a", "b", "t")], "source_id string, target_id string, type string")
     more = spark.createDataFrame([("a", "b", "t"), ("a", "b", "u"), ("a", "b", "u")], stored.schema)
