@@ -51,15 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
     Unlike a checkpoint of rows, the table keeps its columns apart, so that
     later steps read only what they use, and its size is known to the planner.
+    ``codec`` names a Parquet compression other than the session's.
     """
     path = scratch_path(df.sparkSession, "cut")
     _cuts.append(path)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
