@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup
+from corpusloom.llm import exact_dedup, packing, token_files
+from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +33,23 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256({LOWERED}) as text_sha256
 from documents window g as (partition by {LOWERED})
 """
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register
+def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = token_files.token_blocks(table(spark, sf, "documents"), tokenizer_path(), end_id=2)
+    read = token_files.read_documents(cut_lineage(blocks, "zstd"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf, "documents"), tokenizer_path(), end_id=0)
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
