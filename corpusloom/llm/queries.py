@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, packing, token_files
+from corpusloom.llm import exact_dedup, packing, simhash, token_files
 from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
 
@@ -53,3 +53,9 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf, "documents"), tokenizer_path(), end_id=0)
     crc = F.crc32("ids").alias("ids_crc32")
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+@register
+def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
