@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, packing, simhash, token_files
+from corpusloom.llm import exact_dedup, packing, quality_classifier, simhash, token_files
+from corpusloom.llm.common import id_remainder
 from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
 
+QUALITY_THRESHOLD = 0.3
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +62,11 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 5) == 0
+    scores = quality_classifier.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), ~held_out)
+    predicted = (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out.alias("held_out"), "score", predicted)
