@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, packing, quality_classifier, simhash, token_files
+from corpusloom.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files
 from corpusloom.llm.common import id_remainder
 from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
@@ -70,3 +70,31 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     scores = quality_classifier.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), ~held_out)
     predicted = (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted")
     return scores.select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+@register
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    trusted = table(spark, sf, "labels").where("quality = 1")
+    found = quality_rules.quality_verdicts(table(spark, sf, "documents"), trusted)
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "threshold"
+    )
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """Labelled documents as one of three domains."""
+    domain = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+# Wanted shares of the tokens. Clean text is the anchor: it stays whole, and the others are thinned to fit.
+MIXTURE = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
+MIX = {"weights": MIXTURE, "anchor": "clean", "most_copies": 1}
+
+
+@register
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    labels = domain_labels(table(spark, sf, "labels"))
+    found = mixing.mixed(table(spark, sf, "documents"), labels, **MIX)
+    shares = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(sorted(MIXTURE))]
+    return found.select("doc_id", "n_tokens", *shares, "rate", "copies")
