@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import sys
 
 import numpy as np
@@ -13,7 +14,9 @@ REMEMBERED = 1 << 20
 PIECE = 1 << 16
 
 _two_spaces = re.compile(r"\s\s")
-_closing = re.compile(r"(?<=[a-zA-Z])[.,;:!?]+$")
+_closing = re.compile(r"(?<=[a-zA-Z])[^\w\s']+$")
+# Letters of this range are letters to the tokenizer as well, whatever its tables.
+_plain_letters = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _safe_space = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -36,6 +39,7 @@ class Encoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         (self.line_feed,) = self.ids(["\n"])
         (self.line_feed_id,) = np.frombuffer(self.line_feed, "<u4").tolist()
 
@@ -60,7 +64,15 @@ class Encoder:
                 if word in self.new or word in taken:
                     continue
             taken.add(word)
-            if word.split() != [word.lstrip("\n")]:
+            bare = word[1:] if word[:1] == "\n" else word
+            if _plain_letters(bare):
+                # One part: the bytes are merged without looking for parts first.
+                shown = bare if bare.isascii() else byte_letters(bare)
+                if bare is word:
+                    self.new[word] = packed(self.model.tokenize("\u0120" + shown))
+                else:
+                    self.new[word] = self.line_feed + packed(self.model.tokenize(shown))
+            elif word.split() != [word.lstrip("\n")]:
                 (self.new[word],) = self.ids([word if word[:1] == "\n" else " " + word])
             else:
                 (first if word[0] == "\n" else plain).append(word)
@@ -107,6 +119,24 @@ class Encoder:
         return out
 
 
+def packed(merged: list) -> bytes:
+    return struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+
+
+def byte_letters(text: str) -> str:
+    """The UTF-8 bytes of a text as the tokenizer's vocabulary writes them: printable ones of Latin-1 as
+    themselves, the others as the letters from U+0100 on, in order."""
+    return text.encode().decode("latin-1").translate(_byte_letters)
+
+
+def _byte_table() -> dict[int, int]:
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+_byte_letters = _byte_table()
+
+
 def cut_freely(text: str) -> list[str]:
     """Pieces of any text, cut before single spaces only, and only as needed."""
     pieces, at = [], 0
