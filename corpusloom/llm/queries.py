@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files
+from corpusloom.llm import exact_dedup, language, mixing, packing, quality_classifier, quality_rules, simhash, token_files
 from corpusloom.llm.common import id_remainder
 from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
@@ -98,3 +98,10 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     found = mixing.mixed(table(spark, sf, "documents"), labels, **MIX)
     shares = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(sorted(MIXTURE))]
     return found.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
+@register
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 4) == 2
+    found = language.identify(table(spark, sf, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
