@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, language, mixing, packing, quality_classifier, quality_rules, simhash, token_files
+from corpusloom.llm import exact_dedup, language, mixing, packing, ppm, quality_classifier, quality_rules, simhash, token_files
 from corpusloom.llm.common import id_remainder
 from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
@@ -105,3 +105,9 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     held_out = id_remainder("doc_id", 4) == 2
     found = language.identify(table(spark, sf, "documents"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op5_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    found = ppm.text_scores(table(spark, sf, "documents"), id_remainder("doc_id", 10) != 0)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
