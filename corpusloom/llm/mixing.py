@@ -128,7 +128,7 @@ def mixed(
 
     Null texts count as empty and have the rate of an average text. Repeated rows
     are treated alike; an id with several domains has the first in order of name.
-    An empty table gives no rows.
+    An empty table gives no rows, and without any label every rate is one.
     """
     domains = sorted(weights)
     share = np.array([weights[d] for d in domains], float) / sum(weights.values())
@@ -138,10 +138,13 @@ def mixed(
     members = cut_lineage(memberships(rows, known, domains, buckets))
     own = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
     total = float(sum(own))
-    if anchor is not None:
+    if anchor is not None and own[domains.index(anchor)]:
         i = domains.index(anchor)
         total = margin * float(own[i]) / share[i]
-    rated = document_rates(members, (share * total).tolist())
+    if known.isEmpty():
+        rated = members.withColumn("rate", F.lit(1.0))
+    else:
+        rated = document_rates(members, (share * total).tolist())
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     if most_copies is not None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, language, mixing, packing, ppm, quality_classifier, quality_rules, simhash, token_files
+from corpusloom.llm import exact_dedup, language, mixing, packing, ppm, quality_classifier, quality_rules, simhash, suffix_dedup, token_files
 from corpusloom.llm.common import id_remainder
 from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
@@ -111,3 +111,16 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
 def op5_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     found = ppm.text_scores(table(spark, sf, "documents"), id_remainder("doc_id", 10) != 0)
     return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
