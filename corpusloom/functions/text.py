@@ -19,6 +19,8 @@ WHITESPACE = (
 # Default sizes, in characters.
 CHUNK_SIZE = 512
 CHUNK_OVERLAP = 50
+# Sentences folded before the finished chunks are set aside.
+SENTENCE_BLOCK = 128
 BLOCK_SIZE = 50_000
 
 # Fixed value: the DNS namespace of RFC 4122, as hex.
@@ -85,9 +87,11 @@ def sentence_array(text: Column) -> Column:
 def chunk_array(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """``array<struct<start,overlap,text>>`` of overlapping sentence chunks.
 
-    One fold over the sentences. The state holds only the open chunk, so a
-    step costs as much as one chunk and not as much as the document. Sizes
-    count characters of sentences without the joining spaces.
+    A fold over blocks of sentences, and inside a block over its sentences. The
+    state holds the open chunk and the block's finished chunks; those of earlier
+    blocks are kept as one array per block, so that appending copies few
+    references and the whole is linear in the length of a document. Sizes count
+    characters of sentences without the joining spaces. A null text has no chunks.
     """
 
     def carried(cur: Column) -> Column:
@@ -142,16 +146,36 @@ def chunk_array(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERL
         full = (F.size(acc["cur"]) > 0) & (acc["len"] + F.length(s) > F.lit(size))
         return F.when(full, flush(acc, s)).otherwise(grow(acc, s))
 
-    start = F.expr(
-        "named_struct('cur', cast(array() as array<string>), 'len', 0, 'start', 0, 'overlap', 0,"
-        " 'out', cast(array() as array<struct<start:int,overlap:int,text:string>>))"
-    )
-    return F.aggregate(
-        sentence_array(text),
-        start,
-        step,
-        lambda acc: F.when(F.size(acc["cur"]) > 0, closed(acc)).otherwise(acc["out"]),
-    )
+    chunks = "array<struct<start:int,overlap:int,text:string>>"
+
+    def fold_block(acc: Column, block: Column) -> Column:
+        kept = [acc[name].alias(name) for name in ("cur", "len", "start", "overlap")]
+        folded = F.aggregate(block, F.struct(*kept, F.expr(f"cast(array() as {chunks})").alias("out")), step)
+        return F.transform(
+            F.array(folded),
+            lambda t: F.struct(
+                *[t[name].alias(name) for name in ("cur", "len", "start", "overlap")],
+                F.array_append(acc["done"], t["out"]).alias("done"),
+            ),
+        )[0]
+
+    def finish(acc: Column) -> Column:
+        done = F.flatten(acc["done"])
+        last = F.struct(acc["start"].alias("start"), acc["overlap"].alias("overlap"), F.array_join(acc["cur"], " ").alias("text"))
+        return F.when(F.size(acc["cur"]) > 0, F.array_append(done, last)).otherwise(done)
+
+    def fold(sentences: Column) -> Column:
+        n = F.size(sentences)
+        firsts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(SENTENCE_BLOCK))).otherwise(F.expr("cast(array() as array<int>)"))
+        start = F.expr(
+            "named_struct('cur', cast(array() as array<string>), 'len', 0, 'start', 0, 'overlap', 0,"
+            f" 'done', cast(array() as array<{chunks}>))"
+        )
+        blocks = F.transform(firsts, lambda i: F.slice(sentences, i, F.lit(SENTENCE_BLOCK)))
+        return F.aggregate(blocks, start, fold_block, finish)
+
+    # A one-element transform binds the sentences once for all their uses.
+    return F.transform(F.array(sentence_array(text)), fold)[0]
 
 
 def block_array(text: Column, size: int = BLOCK_SIZE) -> Column:
