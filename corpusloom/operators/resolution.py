@@ -55,8 +55,10 @@ def leaders(
     for an arrival order that is unrelated to similarity, and a long chain of
     similar arrivals still advances by ``finish_rows`` per round.
     """
-    # Equal vectors collapse on the map side; only the first can lead.
-    open_ = cut_lineage(vectors.groupBy("vec").agg(F.min("ord").alias("ord")).select("ord", "vec"))
+    # Equal vectors collapse on the map side; only the first can lead. A vector without a direction is
+    # similar to none, not even to its like, and leads itself.
+    alone = F.when(~F.exists("vec", lambda x: x != 0), F.col("ord"))
+    open_ = cut_lineage(vectors.groupBy("vec", alone.alias("_alone")).agg(F.min("ord").alias("ord")).select("ord", "vec"))
     size = open_.count()
     flagged = T.StructType([*open_.schema.fields, T.StructField("leads", T.BooleanType())])
     found = open_.limit(0)

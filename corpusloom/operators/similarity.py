@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +64,9 @@ def unit_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if rows == 0:
         return np.zeros((0, 0))
-    if flat.size % rows:
-        raise ValueError("all vectors must have the same length")
+    lengths = pc.list_value_length(column)
+    if column.null_count or pc.count_distinct(lengths).as_py() > 1 or np.isnan(flat).any():
+        raise ValueError("vectors must not be null and must have the same length and no missing parts")
     matrix = flat.reshape(rows, flat.size // rows)
     norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
@@ -190,8 +192,8 @@ def _first_k(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> n
 
 
 def _side(df: DataFrame, id_: str, vec: str, order: str | None) -> DataFrame:
-    key = F.col(order) if order else F.lit(0)
-    return df.select(F.col(id_).alias("id"), key.cast("long").alias("ord"), F.col(vec).alias("vec"))
+    key = F.col(order) if order else F.lit(0).cast("long")
+    return df.select(F.col(id_).alias("id"), key.alias("ord"), F.col(vec).alias("vec"))
 
 
 def _parts(table) -> tuple:
@@ -201,11 +203,15 @@ def _parts(table) -> tuple:
 def _small(side: DataFrame, limits: Limits):
     """The side as arrays if it is proven small, else ``None``.
 
-    At most ``broadcast_rows + 1`` rows ever reach the driver.
+    Rows and bytes are measured in tasks; only a side within both limits reaches the driver.
     """
     if limits.broadcast_rows <= 0:
         return None
-    table = side.limit(limits.broadcast_rows + 1).toArrow()
+    width = F.coalesce(F.size("vec"), F.lit(0)) * F.lit(8) + F.lit(64)
+    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if rows > limits.broadcast_rows or size > limits.broadcast_bytes:
+        return None
+    table = side.toArrow()
     if table.num_rows > limits.broadcast_rows or table.nbytes > limits.broadcast_bytes:
         return None
     return _parts(table) if table.num_rows else ([], np.zeros(0, np.int64), None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNKS = (
@@ -30,12 +30,12 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def latest_version(df: DataFrame, key: str, version: list[str | Column]) -> DataFrame:
     """The row written last per key.
 
-    An aggregate and not a window: copies of one key are reduced to one row
-    per task before the shuffle, however many there are.
+    Every task trims its rows to one per key before the shuffle, however many
+    copies a key has. Of rows with equal versions any one is taken.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    stamp = F.struct(*[F.col(v).alias(f"v{i}") if isinstance(v, str) else v.alias(f"v{i}") for i, v in enumerate(version)])
-    return df.groupBy(key).agg(F.max_by(row, stamp).alias("_r")).select("_r.*")
+    stamps = [F.col(v) if isinstance(v, str) else v for v in version]
+    last = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(v) for v in stamps])
+    return df.withColumn("_last", F.row_number().over(last)).where("_last = 1").drop("_last")
 
 
 def upsert(current: DataFrame, new: DataFrame, key: str, version: list[str | Column]) -> DataFrame:

@@ -73,13 +73,18 @@ def fetch_key(url: Column) -> Column:
     return F.regexp_replace(url, r"#.*$", "")
 
 
+def _one_page(pages: DataFrame, value: str) -> DataFrame:
+    """One row per fetch key: the smallest ``value`` of the pages with that key."""
+    return pages.groupBy(fetch_key(F.col("url")).alias("_key")).agg(F.min(value).alias(value))
+
+
 def link_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Links joined to the fetched page they lead to.
 
-    Pages have one row per url; a url that very many links share is dealt
-    out to several tasks.
+    Of several pages with one url the one with the smallest id is meant; a url
+    that very many links share is dealt out to several tasks.
     """
-    target = pages.select(fetch_key(F.col("url")).alias("_key"), F.col("page_id").alias("target_page_id"))
+    target = _one_page(pages, "page_id").withColumnRenamed("page_id", "target_page_id")
     keyed = links.withColumn("_key", fetch_key(F.col("link")))
     return join_unique(keyed, target, "_key", ["page_id", "pos"], ["_key"]).drop("_key")
 
@@ -92,8 +97,9 @@ def crawl(
 ) -> DataFrame:
     """Breadth-first crawls over a table of fetched pages, many at once.
 
-    ``starts(crawl_id, url)``, one row per crawl, and ``pages(url, html)``, one
-    row per url without its fragment.
+    ``starts(crawl_id, url)``, one row per crawl, and ``pages(url, html)``. Of
+    several pages with one url (its fragment aside) the one whose text is the
+    smallest, among those with any, is the page.
     Result: ``crawl_id, url, depth, rank, text``; ``rank`` is the order of the
     queue. A url is visited once per crawl, a page without text or not in the
     table does not count, and a crawl ends with ``max_pages`` pages.
@@ -118,7 +124,10 @@ def crawl(
         found = compute_once(fetched.join(asked, "_key"), text=tx.main_text(F.coalesce("html", F.lit(""))))
         texts = found.where(F.col("text") != "")
         order = Window.partitionBy("crawl_id").orderBy("parent", "pos")
-        level = texts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_pages)
+        # Pages with one url share a place in the queue, and so a rank.
+        level = texts.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= max_pages)
+        same = Window.partitionBy("crawl_id", "_n").orderBy("text", "html")
+        level = level.withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
         if results is not None:
             done = results.groupBy("crawl_id").agg(F.count("*").alias("_done"))
             level = level.join(done, "crawl_id", "left")

@@ -20,6 +20,9 @@ def quota_flags(
     many are trimmed before the shuffle. The last of them is the window's
     cut, which the other events are compared with, so a client that makes a
     large share of all requests is never sorted as one group.
+
+    Requests without a client share one quota, as one client's would; those
+    without a time share one window per client, in the order of their ids.
     """
     # Truncating turns a wall-clock time into an instant; turn it back.
     start = F.date_trunc(unit, F.col(ts)).cast(events.schema[ts].dataType)
@@ -28,9 +31,9 @@ def quota_flags(
     order = Window.partitionBy(client, "window_start").orderBy(ts, event)
     admitted = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
     cuts = admitted.groupBy(client, "window_start").agg(F.max(stamp).alias("_cut"))
-    return rows.join(cuts, [client, "window_start"]).select(
-        event, client, "window_start", (stamp > F.col("_cut")).alias("over_limit")
-    )
+    cuts = cuts.withColumnsRenamed({client: "_client", "window_start": "_start"})
+    same = rows[client].eqNullSafe(cuts["_client"]) & rows["window_start"].eqNullSafe(cuts["_start"])
+    return rows.join(cuts, same).select(event, client, "window_start", (stamp > F.col("_cut")).alias("over_limit"))
 
 
 def quota_counts(events: DataFrame, limit: int, lateness: str = "1 minute", client: str = "user_id", ts: str = "ts") -> DataFrame:

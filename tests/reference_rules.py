@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-import re
-
-
 def sentences(text):
-    return [p.strip() for p in re.split(r"(?<=[.!?])\s+", text) if p.strip()]
+    """Read character by character: a sentence closes at white space after an end mark."""
+    found, now = [], ""
+    for ch in text:
+        if ch.isspace() and now and now[-1] in ".!?":
+            found.append(now)
+            now = ""
+        elif not ch.isspace() or now:
+            now += ch
+    tail = now
+    while tail and tail[-1].isspace():
+        tail = tail[:-1]
+    return found + ([tail] if tail else [])
 
 
 def chunks(text, size=512, overlap=50):
@@ -31,42 +39,6 @@ def chunks(text, size=512, overlap=50):
     return rows
 
 
-# ------------------------------------------------------------- extraction
-
-
-def parse(response):
-    """(entities, relations) as lists of tuples; ([], []) when anything is off."""
-    import json
-
-    def load():
-        found = re.search(r"\{.*\}", response, re.DOTALL)
-        try:
-            return json.loads(found.group(0) if found else response)
-        except ValueError:
-            bare = response.strip()
-            if bare.startswith("```"):
-                inner = bare.split("```")[1]
-                bare = inner.strip()[4:] if inner.strip().lower().startswith("json") else inner
-            return json.loads(bare)
-
-    try:
-        data = load()
-    except (ValueError, IndexError):
-        return [], []
-    if not isinstance(data, dict) or "entities" not in data or "relations" not in data:
-        return [], []
-    ents, rels = data["entities"], data["relations"]
-    if not isinstance(ents, list) or not isinstance(rels, (list, str, dict)):
-        return [], []
-    whole = [r for r in rels if isinstance(r, dict) and {"source", "target", "type"} <= set(r)]
-    e_keys, r_keys = ("name", "type", "description"), ("source", "target", "type")
-    if not all(isinstance(e, dict) and all(isinstance(e.get(k), str) for k in e_keys) for e in ents):
-        return [], []
-    if not all(isinstance(r[k], str) for r in whole for k in r_keys):
-        return [], []
-    return [tuple(e[k] for k in e_keys) for e in ents], [tuple(r[k] for k in r_keys) for r in whole]
-
-
 # -------------------------------------------------------------- similarity
 
 
@@ -95,16 +67,15 @@ def resolve(vectors, threshold):
 
 
 def crawl(start, pages, links, max_pages, max_depth):
-    """``pages``: url -> text of fetchable pages; ``links``: url -> links in order."""
-    queue, seen, out = [(start, 0)], set(), []
-    while queue and len(out) < max_pages:
-        url, depth = queue.pop(0)
-        if url in seen:
-            continue
-        seen.add(url)
-        bare = url.split("#")[0]
-        if pages.get(bare):
-            out.append((url, depth))
-            if depth < max_depth:
-                queue += [(u, depth + 1) for u in links(url) if u not in seen]
+    """By levels: pages at each distance from the start, ordered by their first parent and its links.
+
+    ``pages``: url -> text of fetchable pages; ``links``: url -> links in order.
+    """
+    distance, level, out = {start: 0}, [start], []
+    for depth in range(max_depth + 1):
+        good = [u for u in level if pages.get(u.partition("#")[0])][: max_pages - len(out)]
+        out += [(u, depth) for u in good]
+        below = dict.fromkeys(v for u in good for v in links(u) if v not in distance)
+        distance.update(dict.fromkeys(below, depth + 1))
+        level = list(below)
     return out

@@ -7,7 +7,7 @@ from corpusloom.plans import ingest, retrieve
 
 def entities(spark):
     return spark.createDataFrame(
-        [("e1", "Entity1", "Type", "Desc", [1.0, 0.0]), ("e2", "Entity2", "T", "D", [0.0, 1.0]), ("e3", "Lone", "T", "x", [-1.0, 0.0])],
+        [("e1", "Harbour", "Place", "Stone pier", [1.0, 0.0]), ("e2", "Ferry", "Ship", "Blue hull", [0.0, 1.0]), ("e3", "Lone", "T", "x", [-1.0, 0.0])],
         "entity_id string, name string, type string, description string, embedding array<float>",
     )
 
@@ -80,17 +80,17 @@ def test_new_edges_and_union(spark):
 def test_lookup_and_update(spark):
     ids = spark.createDataFrame([("e1",), ("nope",)], "entity_id string")
     got = {r.entity_id: r.name for r in graph.lookup(ids, entities(spark)).collect()}
-    assert got == {"e1": "Entity1", "nope": None}
+    assert got == {"e1": "Harbour", "nope": None}
     new = spark.createDataFrame([("e1", "New", None), ("zz", "Z", "Z")], "entity_id string, name string, description string")
     rows = {r.entity_id: r for r in graph.update_payload(entities(spark), new).collect()}
-    assert rows["e1"].name == "New" and rows["e1"].description == "Desc" and "zz" not in rows
+    assert rows["e1"].name == "New" and rows["e1"].description == "Stone pier" and "zz" not in rows
 
 
 def test_context_of_a_query(spark):
     asked = spark.createDataFrame([(1, "q", [1.0, 0.1]), (2, "r", [0.0, -1.0])], "query_id long, query string, embedding array<float>")
     entries = graph.entry_points(asked, entities(spark))
     got = {r.query_id: r.graph_summary for r in graph.graph_context(asked, entries, entities(spark), relations(spark)).collect()}
-    assert got == {1: "Entity: Entity1 (Type) - Desc\n  - knows -> Lone\n  - rel -> Entity2", 2: ""}
+    assert got == {1: "Entity: Harbour (Place) - Stone pier\n  - knows -> Lone\n  - rel -> Ferry", 2: ""}
 
 
 def test_hybrid_query_keeps_every_question(spark):
@@ -101,7 +101,7 @@ def test_hybrid_query_keeps_every_question(spark):
     )
     rows = {r.query_id: r for r in retrieve.hybrid_query(asked, chunks, entities(spark), relations(spark), k=2).collect()}
     assert rows[1].context_text == "Chunk 1\n\nChunk 2" and rows[1].num_hits == 2
-    assert "Entity: Entity1" in rows[1].messages[1].content
+    assert "Entity: Harbour" in rows[1].messages[1].content
     assert rows[2].graph_summary == "" and "No graph context" in rows[2].messages[1].content
     none = retrieve.hybrid_query(asked, chunks.limit(0), entities(spark), relations(spark)).collect()
     assert len(none) == 2 and {r.context_text for r in none} == {""}
@@ -119,14 +119,14 @@ def test_payload_and_labels(spark):
 
 
 def test_graph_is_built_across_blocks(spark):
-    one = '{"entities":[{"name":"Apple","type":"Org","description":"Tech Co"},{"name":"Steve","type":"Person","description":"Founder"}],"relations":[{"source":"Apple","target":"Steve","type":"founded_by"},{"source":"Apple","target":"Nobody","type":"x"}]}'
-    two = '{"entities":[{"name":"Apple","type":"Fruit","description":"Tech Co"},{"name":"Tim","type":"Person","description":"runs it"}],"relations":[{"source":"Apple","target":"Tim","type":"led_by"},{"source":"Apple","target":"Apple","type":"is"}]}'
+    one = '{"entities":[{"name":"Curlew","type":"Bird","description":"Wader"},{"name":"Saltmarsh","type":"Place","description":"Low ground"}],"relations":[{"source":"Curlew","target":"Saltmarsh","type":"feeds_in"},{"source":"Curlew","target":"Nobody","type":"x"}]}'
+    two = '{"entities":[{"name":"Curlew","type":"Boat","description":"Wader"},{"name":"Dunlin","type":"Bird","description":"small wader"}],"relations":[{"source":"Curlew","target":"Dunlin","type":"seen_with"},{"source":"Curlew","target":"Curlew","type":"is"}]}'
     df = spark.createDataFrame([(1, one), (2, two), (3, one), (4, "none")], "block_id long, response string")
     people, edges = ingest.build_graph(extraction.parse_extractions(df))
     names = {r.entity_id: (r.name, r.type) for r in people.collect()}
-    assert sorted(names.values()) == [("Apple", "Org"), ("Steve", "Person"), ("Tim", "Person")]
+    assert sorted(names.values()) == [("Curlew", "Bird"), ("Dunlin", "Bird"), ("Saltmarsh", "Place")]
     got = sorted((names[r.source_id][0], names[r.target_id][0], r.type) for r in edges.collect())
-    assert got == [("Apple", "Steve", "founded_by"), ("Apple", "Tim", "led_by")]
+    assert got == [("Curlew", "Dunlin", "seen_with"), ("Curlew", "Saltmarsh", "feeds_in")]
 
 
 def test_graph_grows_batch_by_batch(spark, folder):

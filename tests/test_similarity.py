@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import reference_rules as rules
@@ -148,3 +149,23 @@ def test_embedder_is_pluggable(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "i long, text string")
     rows = emb.embed_text(df, loader=lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])).collect()
     assert {r.i: r.embedding for r in rows} == {1: [2.0, 1.0], 2: [4.0, 1.0]}
+
+
+def test_vectors_without_direction_lead_themselves(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0, 0.01]), (5, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "ord long, embedding array<float>")
+    got = {r.ord: r.leader_ord for r in resolution.resolve_entities(df, 0.9).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5}
+
+
+@pytest.mark.parametrize("vectors", [[[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], None], [[1.0, 2.0], [3.0, 4.0, 5.0, 6.0]], [[1.0, None]]])
+def test_null_and_ragged_vectors_are_refused(vectors):
+    with pytest.raises(ValueError, match="vectors must not be null"):
+        sim.unit_matrix(pa.array(vectors, pa.list_(pa.float32())))
+
+
+def test_pairs_of_text_ids(spark):
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.01]), ("c", [0.0, 1.0])], "vec_id string, embedding array<float>")
+    for limits in (sim.Limits(), sim.Limits(broadcast_rows=0)):
+        got = sim.similar_pairs(df, 0.9, limits=limits).collect()
+        assert [(r.id_a, r.id_b) for r in got] == [("a", "b")]

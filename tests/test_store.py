@@ -116,3 +116,17 @@ def test_cut_tables_can_be_dropped(spark):
         assert session.drop_cuts(spark) == 1 and not os.path.exists(path)
     finally:
         session._cuts[:] = before
+
+
+def test_requests_without_client_or_time_are_judged_too(spark):
+    rows = [(1, None, "2024-01-01 00:00:01"), (2, None, "2024-01-01 00:00:02"), (3, 7, None), (4, 7, None), (5, None, None)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r.event_id: r.over_limit for r in quota.quota_flags(df, 1).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False}
+
+
+def test_last_write_needs_no_aggregate_over_rows(spark):
+    log = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", None), (None, "n", 1)], "k string, v string, n long")
+    rows = store.latest_version(log, "k", ["n"])
+    assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect()), key=str) == [("a", "y", 2), ("b", "z", None), (None, "n", 1)]

@@ -1,4 +1,5 @@
 import random
+import time
 import uuid
 
 import pytest
@@ -66,18 +67,18 @@ def test_offsets_are_running_sums(spark):
 
 
 def test_four_sentences_make_several_chunks(spark):
-    text = "First sentence here. Second sentence here. Third sentence here. Fourth sentence here."
+    text = "The tide turned at noon. Boats lay on the mud. Gulls walked between them. Nobody was in a hurry."
     rows = docs.chunks(frame(spark, [text]), size=50, overlap=10).collect()
     assert len(rows) >= 2 and rows[0].chunk_index == 0
 
 
 def test_metadata_is_copied_with_the_index(spark):
     df = spark.createDataFrame(
-        [(1, "Sample text for testing.", {"source": "test", "page": "1", "chunk_index": "old"})],
+        [(1, "Rain fell on the pier.", {"source": "log", "leaf": "7", "chunk_index": "old"})],
         "doc_id long, text string, metadata map<string,string>",
     )
     row = docs.chunk_metadata(docs.chunks(df, size=200, overlap=20)).first()
-    assert row.metadata == {"source": "test", "page": "1", "chunk_index": "0"}
+    assert row.metadata == {"source": "log", "leaf": "7", "chunk_index": "0"}
 
 
 def test_blocks(spark):
@@ -98,6 +99,20 @@ def test_stats_count_chunks_within_the_row(spark):
     df = frame(spark, EDGES).withColumn("filename", F.lit("a.html"))
     got = {r.doc_id: (r.num_chunks, r.total_characters) for r in docs.doc_stats(df).collect()}
     assert got == {i: (len(rules.chunks(t)), len(t)) for i, t in enumerate(EDGES)}
+    none = docs.doc_stats(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
+    assert none.num_chunks == 0
+
+
+def test_chunking_is_linear(spark):
+    """Twice the sentences take about twice as long; a quadratic fold took minutes here."""
+    took = []
+    for n in (40_000, 80_000, 160_000):
+        df = frame(spark, [" ".join(f"Sentence {i} is here." for i in range(n))])
+        start = time.perf_counter()
+        got = docs.chunks(df).agg(F.count("*").alias("n"), F.max("text").alias("last")).first()
+        took.append(time.perf_counter() - start)
+        assert n // 25 < got.n < n // 10 and got.last.startswith("Sentence")
+    assert took[2] < 60 and took[2] < 3.5 * took[1]
 
 
 def test_content_ids_are_uuid5(spark):
