@@ -412,14 +412,14 @@ FRAGMENTS |= leader_fragments("v", "vecs", "vec_id", queries.RESOLVE_THRESHOLD)
 FRAGMENTS |= leader_fragments("g", "text_order", "et", queries.GRAPH_THRESHOLD)
 
 
-def crawl_fragments(limit: int) -> dict[str, tuple[list[str], str]]:
-    """Three levels of a breadth-first crawl, spelled out."""
+def crawl_fragments(limit: int, depth: int = queries.CRAWL_DEPTH) -> dict[str, tuple[list[str], str]]:
+    """The levels of a breadth-first crawl, spelled out."""
     key = "regexp_replace(u.url, '#.*$', '')"
     out = {
         f"c{limit}_q0": (["site"], "SELECT page_id AS crawl_id, url, 0::BIGINT AS parent, 0::BIGINT AS pos FROM site WHERE url LIKE '%/p/0'"),
     }
     seen, levels = [], []
-    for d in range(queries.CRAWL_DEPTH + 1):
+    for d in range(depth + 1):
         done = " + ".join([f"(SELECT count(*) FROM c{limit}_r{e} x WHERE x.crawl_id = u.crawl_id)" for e in levels]) or "0"
         out[f"c{limit}_r{d}"] = (
             [f"c{limit}_q{d}", "site_texts", *[f"c{limit}_r{e}" for e in levels]],
@@ -443,6 +443,7 @@ def crawl_fragments(limit: int) -> dict[str, tuple[list[str], str]]:
 
 
 FRAGMENTS |= crawl_fragments(queries.CRAWL_PAGES) | crawl_fragments(queries.CRAWL_LIMIT)
+FRAGMENTS |= crawl_fragments(queries.WHOLE_PAGES, queries.WHOLE_DEPTH)
 
 
 def page_chunk_fragments(limit: int) -> dict[str, tuple[list[str], str]]:
@@ -459,7 +460,7 @@ def page_chunk_fragments(limit: int) -> dict[str, tuple[list[str], str]]:
     return out
 
 
-FRAGMENTS |= page_chunk_fragments(queries.CRAWL_LIMIT)
+FRAGMENTS |= page_chunk_fragments(queries.WHOLE_PAGES)
 
 
 def sql(body: str, *needs: str) -> str:
@@ -618,7 +619,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT source_id, target_id, type FROM edges WHERE source_id IN (SELECT entity_id FROM ents)", "edges", "ents"
         ),
         "existing_anti_join": sql(
-            "SELECT source_id, target_id, type FROM edges WHERE type <> 'borders' EXCEPT SELECT source_id, target_id, type FROM rels WHERE type <> 'supplies'",
+            "SELECT source_id, target_id, type FROM edges EXCEPT SELECT source_id, target_id, type FROM rels WHERE md5(source_id || target_id || type) < '8'",
             "edges",
             "rels",
         ),
@@ -635,9 +636,9 @@ def oracle_sql() -> dict[str, str]:
             "ents",
         ),
         "graph_context_lines": sql(
-            """SELECT entity_id AS query_id, (-1)::BIGINT AS seq, 'Entity: ' || name || ' (' || type || ') - ' || description AS line FROM ents WHERE type = 'nation'
+            """SELECT entity_id AS query_id, (-1)::BIGINT AS seq, 'Entity: ' || name || ' (' || type || ') - ' || description AS line FROM ents
             UNION ALL SELECT source_id, seq, '  - ' || a.type || ' -> ' || t.name FROM edges a JOIN ents s ON s.entity_id = source_id
-            JOIN ents t ON t.entity_id = target_id WHERE s.type = 'nation' AND source_id <> target_id""",
+            JOIN ents t ON t.entity_id = target_id WHERE source_id <> target_id""",
             "edges",
             "ents",
         ),
@@ -704,8 +705,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "crawl_limit": sql(f"SELECT crawl_id, rank, depth, url FROM c{queries.CRAWL_LIMIT}", f"c{queries.CRAWL_LIMIT}"),
         "combine_pages": sql(
-            f"SELECT crawl_id, string_agg(text, chr(10) || chr(10) || '---PAGE BREAK---' || chr(10) || chr(10) ORDER BY rank) AS full_text FROM c{queries.CRAWL_LIMIT} GROUP BY crawl_id",
-            f"c{queries.CRAWL_LIMIT}",
+            f"SELECT crawl_id, string_agg(text, chr(10) || chr(10) || '---PAGE BREAK---' || chr(10) || chr(10) ORDER BY rank) AS full_text FROM c{queries.WHOLE_PAGES} GROUP BY crawl_id",
+            f"c{queries.WHOLE_PAGES}",
         ),
         "union_page_chunks": sql(
             "SELECT d.doc_id // 1048576 AS crawl_id, d.doc_id % 1048576 AS rank, url, chunk_index, start_char, c.text FROM pc_chunk c JOIN pc_doc d ON d.doc_id = c.doc_id",
@@ -722,8 +723,8 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT user_id, date_trunc('minute', ts) AS window_start, count(*) AS requests, greatest(count(*) - {queries.QUOTA}, 0) AS rejected FROM events GROUP BY 1, 2"
         ),
         "apply_model": sql(
-            """SELECT doc_id, block_index, CASE WHEN n <= 5000 THEN 'chars=' || n END AS response,
-              CASE WHEN n > 5000 THEN 'ValueError: prompt too long' END AS error
+            """SELECT doc_id, block_index, CASE WHEN n % 7 <> 0 THEN 'chars=' || n END AS response,
+              CASE WHEN n % 7 = 0 THEN 'ValueError: prompt refused' END AS error
             FROM (SELECT doc_id, block_index, length(block) + 15 AS n FROM blocks)""",
             "blocks",
         ),

@@ -32,6 +32,9 @@ ENTRY_THRESHOLD = 0.20
 CRAWL_DEPTH = 2
 CRAWL_PAGES = 100
 CRAWL_LIMIT = 5
+# Depth and pages that reach every page of a site.
+WHOLE_DEPTH = 6
+WHOLE_PAGES = inputs.SITE_PAGES
 QUOTA = 1
 BANDS = similarity.SignBands.for_recall(PAIR_THRESHOLD, recall=0.95, bits=4)
 
@@ -403,10 +406,10 @@ def existing_semi_join(spark, sf):
 
 @register
 def existing_anti_join(spark, sf):
+    """Half of the edges, by a hash, are stored; all arrive."""
     edges = inputs.relations(spark, sf)
-    stored = edges.where("type <> 'supplies'")
-    repeated = edges.where("type <> 'borders'")
-    return graph.new_edges(stored, graph.first_edges(repeated)).select(*graph.EDGE)
+    stored = edges.where(F.md5(F.concat(*graph.EDGE).cast("binary")) < "8")
+    return graph.new_edges(stored, graph.first_edges(edges)).select(*graph.EDGE)
 
 
 @register
@@ -432,9 +435,9 @@ def one_hop_neighbours(spark, sf):
 
 @register
 def graph_context_lines(spark, sf):
-    """Context lines of every nation, each asked for on its own."""
+    """Context lines of every entity, each asked for on its own."""
     people = inputs.entities(spark, sf)
-    entries = people.where("type = 'nation'").select(
+    entries = people.select(
         F.col("entity_id").alias("query_id"), F.lit(1).alias("rank"), "entity_id"
     )
     edges = graph.without_self_loops(inputs.relations(spark, sf))
@@ -592,8 +595,8 @@ def visited_distinct(spark, sf):
     return web.extract_links(inputs.site(spark, sf)).select("link").dropDuplicates(["link"])
 
 
-def _crawled(spark, sf, max_pages=CRAWL_PAGES):
-    return web.crawl(inputs.site_starts(spark, sf), inputs.site(spark, sf), max_pages, CRAWL_DEPTH)
+def _crawled(spark, sf, max_pages=CRAWL_PAGES, max_depth=CRAWL_DEPTH):
+    return web.crawl(inputs.site_starts(spark, sf), inputs.site(spark, sf), max_pages, max_depth)
 
 
 @register
@@ -608,12 +611,12 @@ def crawl_limit(spark, sf):
 
 @register
 def combine_pages(spark, sf):
-    return web.combine_pages(_crawled(spark, sf, CRAWL_LIMIT))
+    return web.combine_pages(_crawled(spark, sf, WHOLE_PAGES, WHOLE_DEPTH))
 
 
 @register
 def union_page_chunks(spark, sf):
-    rows = ingest.page_chunks(_crawled(spark, sf, CRAWL_LIMIT))
+    rows = ingest.page_chunks(_crawled(spark, sf, WHOLE_PAGES, WHOLE_DEPTH))
     return rows.select("crawl_id", "rank", "url", "chunk_index", "start_char", "text")
 
 
@@ -642,12 +645,12 @@ def quota_counts(spark, sf):
 
 
 def _echo_model():
-    """A stand-in model: the size of the prompt, failing on long ones."""
+    """A stand-in model: the size of the prompt; it refuses one prompt in seven, long or short."""
 
     def respond(prompts):
         sizes = [sum(len(m["content"]) for m in p if m["role"] == "user") for p in prompts]
-        if any(n > 5000 for n in sizes):
-            raise ValueError("prompt too long")
+        if any(n % 7 == 0 for n in sizes):
+            raise ValueError("prompt refused")
         return [f"chars={n}" for n in sizes]
 
     return respond

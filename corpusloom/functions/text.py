@@ -216,14 +216,14 @@ def unescape(text: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
     def piece(p: Column, i: Column) -> Column:
-        dec = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+        dec = F.regexp_extract(p, r"^0*([0-9]{1,7});", 1)
+        hexa = F.regexp_extract(p, r"^[xX]0*([0-9a-fA-F]{1,6});", 1)
         code = (
             F.when(dec != "", dec.cast("long"))
             .when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
         )
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        rest = F.regexp_replace(p, r"^[xX]?[0-9a-fA-F]{1,7};", "")
+        rest = F.regexp_replace(p, r"^[xX]?[0-9a-fA-F]+;", "")
         return (
             F.when(i == 0, p)
             .when(code == 38, F.concat(F.lit("&amp;"), rest))

@@ -127,9 +127,9 @@ def test_tokens(spark):
 
 
 def test_references_decode_once(spark):
-    raw = "a &#38;lt; b &#x41;&#8364; &amp;amp; &#; &#12 &lt;x&gt; &copy;&nbsp;y &#55555; &#x1F600;"
+    raw = "a &#38;lt; b &#x41;&#8364; &amp;amp; &#; &#12 &lt;x&gt; &copy;&nbsp;y &#55555; &#x1F600; &#000000000065; &#x0000000042; &#12345678901234567890123;"
     got = frame(spark, [raw]).select(tx.unescape(F.col("text"))).first()[0]
-    assert got == "a &lt; b A€ &amp; &#; &#12 <x> © y &#55555; 😀"
+    assert got == "a &lt; b A€ &amp; &#; &#12 <x> © y &#55555; 😀 A B &#12345678901234567890123;"
 
 
 def test_main_text(spark):
