@@ -51,16 +51,20 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """What a model might return per document, in twelve shapes.
 
-    Entities: the first sentence, the source and the language; some names
-    repeat, some relations name nothing known, repeat, or loop.
+    Entities: the document by its first sentence, described by all of them, the
+    source and the language; some names repeat, some relations name nothing
+    known, repeat, or loop.
     """
     n = F.col("doc_id")
     rows = spread(table(spark, sf, "documents")).select(
         "doc_id",
         "lang",
         "source",
-        F.coalesce(F.get(tx.sentence_array(F.col("text")), F.lit(0)), F.lit("untitled")).alias("title"),
-    )
+        F.transform(
+            F.array(tx.sentence_array(F.col("text"))),
+            lambda s: F.struct(F.coalesce(F.get(s, F.lit(0)), F.lit("untitled")).alias("title"), F.size(s).alias("sentences")),
+        )[0].alias("read"),
+    ).select("doc_id", "lang", "source", "read.title", "read.sentences")
 
     def entity(name, kind, description):
         return F.to_json(F.struct(name.alias("name"), F.lit(kind).alias("type"), description.alias("description")))
@@ -71,7 +75,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     title, source, lang = F.col("title"), F.col("source"), F.col("lang")
     entities = F.concat_ws(
         ",",
-        entity(title, "title", F.concat(lang, F.lit(" from "), source)),
+        entity(title, "title", F.concat(lang, F.lit(" from "), source, F.lit(" in "), F.col("sentences").cast("string"), F.lit(" sentences"))),
         entity(source, "source", F.concat(F.lit("documents in "), lang)),
         entity(lang, "language", F.concat(F.lit("language of "), source)),
         F.when(n % 5 == 0, entity(source, "source", F.concat(F.lit("again "), source))),

@@ -174,11 +174,11 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
         "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'doc_' || doc_id || '.html' END AS filename, source, lang FROM documents",
     ),
     # responses and what they hold
-    "titled": (["sent"], "SELECT doc_id AS n, lang, source, coalesce(s[1], 'untitled') AS title FROM documents JOIN sent USING (doc_id)"),
+    "titled": (["sent"], "SELECT doc_id AS n, lang, source, coalesce(s[1], 'untitled') AS title, len(s) AS sentences FROM documents JOIN sent USING (doc_id)"),
     "bodies": (
         ["titled"],
         """SELECT n,
-          concat_ws(',', to_json({'name': title, 'type': 'title', 'description': lang || ' from ' || source}),
+          concat_ws(',', to_json({'name': title, 'type': 'title', 'description': lang || ' from ' || source || ' in ' || sentences || ' sentences'}),
             to_json({'name': source, 'type': 'source', 'description': 'documents in ' || lang}),
             to_json({'name': lang, 'type': 'language', 'description': 'language of ' || source}),
             CASE WHEN n % 5 = 0 THEN to_json({'name': source, 'type': 'source', 'description': 'again ' || source}) END,
