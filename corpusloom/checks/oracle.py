@@ -311,7 +311,8 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     ),
     "contexts": (
         ["hits"],
-        "SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context_text, count(*) AS num_hits, max(score) AS best_score "
+        "SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context_text, count(*) AS num_hits, max(score) AS best_score, "
+        "string_agg(coalesce(nullif(filename, ''), nullif(source, ''), 'Unknown Source') || ': ' || text, chr(10) ORDER BY rank) AS context "
         "FROM hits GROUP BY query_id",
     ),
     # graph built from the responses
@@ -585,6 +586,26 @@ def oracle_sql() -> dict[str, str]:
             "centre_scores",
         ),
         "topk_chunks": sql("SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits", "hits"),
+        "topk_limits": sql(
+            "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits WHERE rank <= 1 + query_id % 5", "hits"
+        ),
+        "ingest_documents": sql(
+            "SELECT o.chunk_id, doc_id, chunk_index, source, o.text, "
+            "array_to_string(list_transform(v, lambda x: round(x::DOUBLE * 10000)::BIGINT), ',') AS embedding "
+            "FROM once o JOIN once_v USING (chunk_id) JOIN meta USING (doc_id)",
+            "once",
+            "once_v",
+            "meta",
+        ),
+        "ingest_urls": sql(
+            f"""SELECT chunk_id, crawl_id AS doc_id, rank, chunk_index, url AS source, 'web_page' AS type, depth::VARCHAR AS depth, text
+            FROM (SELECT {content_id('c.text')} AS chunk_id, d.doc_id // 1048576 AS crawl_id, d.doc_id % 1048576 AS rank, chunk_index, d.url, c.text
+              FROM pc_chunk c JOIN pc_doc d ON d.doc_id = c.doc_id
+              QUALIFY row_number() OVER (PARTITION BY c.text ORDER BY d.doc_id DESC, chunk_index DESC) = 1)
+            JOIN (SELECT crawl_id, rank, depth FROM c{queries.WHOLE_PAGES}) USING (crawl_id, rank)""",
+            "pc_chunk",
+            f"c{queries.WHOLE_PAGES}",
+        ),
         "ordered_context": sql("SELECT query_id, rank, text FROM hits ORDER BY query_id, rank", "hits"),
         "context_concat": sql("SELECT query_id, context_text, num_hits FROM contexts", "contexts"),
         "hit_payload": sql(
@@ -657,7 +678,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_context": sql("SELECT query_id, graph_summary FROM g_summary", "g_summary"),
         "answer_prompts": sql(f"SELECT query_id, {quoted(extraction.ANSWER_RULES)} AS rules, content FROM answers", "answers"),
         "hybrid_query": sql(
-            f"""SELECT query_id, query, num_hits, round(best_score, 6) AS best_score, context_text, graph_summary,
+            f"""SELECT query_id, query, num_hits, round(best_score, 6) AS best_score, context_text, context, graph_summary,
               {tokens.format('content')} AS prompt_tokens FROM answers""".replace("round(best_score, 6)", "round(answers.best_score, 6)"),
             "answers",
         ),
@@ -729,4 +750,6 @@ def oracle_sql() -> dict[str, str]:
             "blocks",
         ),
     }
+    for name in ("similarity_join", "topk_chunks", "nearest_entity", "resolve_entities"):
+        out[f"{name}_tiled"] = out[name]
     return out

@@ -272,6 +272,14 @@ def similarity_join(spark, sf):
     return rows.select(F.col("id_a").alias("vec_a"), F.col("id_b").alias("vec_b"), _score())
 
 
+@register
+def similarity_join_tiled(spark, sf):
+    """The same join with both sides cut into tiles."""
+    tiles = similarity.Limits(broadcast_rows=0, tile_rows=128, pivots=8)
+    rows = similarity.similar_pairs(table(spark, sf, "embeddings"), PAIR_THRESHOLD, limits=tiles)
+    return rows.select(F.col("id_a").alias("vec_a"), F.col("id_b").alias("vec_b"), _score())
+
+
 @register
 def similarity_join_lsh(spark, sf):
     rows = similarity.similar_pairs_banded(table(spark, sf, "embeddings"), PAIR_THRESHOLD, BANDS)
@@ -297,6 +305,15 @@ def topk_entities(spark, sf):
     return _centre_hits(spark, sf, 3, PAIR_THRESHOLD).select("query_id", "rank", "vec_id", _score())
 
 
+@register
+def nearest_entity_tiled(spark, sf):
+    tiles = similarity.Limits(broadcast_rows=0, tile_rows=128, pivots=8)
+    rows = similarity.nearest(
+        inputs.label_centres(spark, sf), table(spark, sf, "embeddings"), RESOLVE_THRESHOLD, corpus_id="vec_id", limits=tiles
+    )
+    return rows.select("query_id", "vec_id", _score())
+
+
 @register
 def nearest_entity(spark, sf):
     rows = similarity.nearest(
@@ -311,6 +328,23 @@ def _store(spark, sf):
     return emb.embed_text(current.select("chunk_id", "text", "metadata"), loader=emb.gram_hashing(inputs.DIM))
 
 
+@register
+def ingest_documents(spark, sf):
+    rows = ingest.ingest_documents(_documents(spark, sf), inputs.metadata(), emb.gram_hashing(inputs.DIM))
+    m = F.col("metadata")
+    return rows.select("chunk_id", "doc_id", "chunk_index", m["source"].alias("source"), "text", _vector_text("embedding").alias("embedding"))
+
+
+@register
+def ingest_urls(spark, sf):
+    starts, pages = inputs.site_starts(spark, sf), inputs.site(spark, sf)
+    rows = ingest.ingest_urls(starts, pages, WHOLE_PAGES, WHOLE_DEPTH, emb.gram_hashing(inputs.DIM))
+    m = F.col("metadata")
+    return rows.select(
+        "chunk_id", "doc_id", "rank", "chunk_index", m["source"].alias("source"), m["type"].alias("type"), m["depth"].alias("depth"), "text"
+    )
+
+
 def _questions(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return emb.embed_text(asked, "query", loader=emb.gram_hashing(inputs.DIM))
@@ -326,6 +360,22 @@ def topk_chunks(spark, sf):
     return _chunk_hits(spark, sf).select("query_id", "rank", "chunk_id", _score())
 
 
+@register
+def topk_limits(spark, sf):
+    """Each question asks for a number of hits of its own."""
+    asked = _questions(spark, sf).withColumn("limit", (1 + F.col("query_id") % 5).cast("int"))
+    rows = retrieve.topk_chunks(asked, cut_lineage(_store(spark, sf)))
+    return rows.select("query_id", "rank", "chunk_id", _score())
+
+
+@register
+def topk_chunks_tiled(spark, sf):
+    """The same search with both sides cut into tiles."""
+    tiles = similarity.Limits(broadcast_rows=0, tile_rows=256, pivots=16)
+    rows = retrieve.topk_chunks(_questions(spark, sf), cut_lineage(_store(spark, sf)), limits=tiles)
+    return rows.select("query_id", "rank", "chunk_id", _score())
+
+
 @register
 def ordered_context(spark, sf):
     return _chunk_hits(spark, sf).orderBy("query_id", "rank").select("query_id", "rank", "text")
@@ -450,6 +500,16 @@ def resolve_entities(spark, sf):
     return rows.select("vec_id", "leader_vec_id", _score())
 
 
+@register
+def resolve_entities_tiled(spark, sf):
+    """The same resolution in several rounds over tiles."""
+    tiles = similarity.Limits(broadcast_rows=0, tile_rows=128, pivots=8)
+    rows = resolution.resolve_entities(
+        table(spark, sf, "embeddings"), RESOLVE_THRESHOLD, order="vec_id", finish_rows=200, limits=tiles
+    )
+    return rows.select("vec_id", "leader_vec_id", _score())
+
+
 def _graph(spark, sf):
     return ingest.build_graph(
         _parsed(spark, sf), loader=emb.gram_hashing(inputs.DIM), threshold=GRAPH_THRESHOLD
@@ -504,6 +564,9 @@ def hybrid_query(spark, sf):
         "num_hits",
         F.round("best_score", 6).alias("best_score"),
         "context_text",
+        F.array_join(
+            F.transform("context", lambda c: F.concat(retrieve.source_label(c["metadata"]), F.lit(": "), c["text"])), "\n"
+        ).alias("context"),
         "graph_summary",
         tx.approx_tokens(extraction.user_content(F.col("messages"))).alias("prompt_tokens"),
     )

@@ -48,6 +48,30 @@ def chunk_store(documents: DataFrame, metadata: Column | None = None, **sizes) -
     return current_chunks(document_chunks(documents, metadata, **sizes))
 
 
+def ingest_documents(documents: DataFrame, metadata: Column | None = None, loader=None, batch_id: int = 0, **sizes) -> DataFrame:
+    """The current chunks of a document table with their vectors, ready to be stored and searched.
+
+    Chunks are embedded after copies collapsed, each distinct text once.
+    """
+    return emb.embed_text(current_chunks(document_chunks(documents, metadata, batch_id, **sizes)), loader=loader)
+
+
+def ingest_urls(
+    starts: DataFrame, pages: DataFrame, max_pages: int, max_depth: int, loader=None, batch_id: int = 0, **sizes
+) -> DataFrame:
+    """Crawled pages as stored chunks with vectors.
+
+    A chunk's ``doc_id`` is its crawl; its metadata name the page it is from
+    (``source``), the kind of source (``type``) and how far from the start the
+    page was (``depth``). The last arrival of a text is kept.
+    """
+    crawled = web.crawl(starts, pages, max_pages, max_depth)
+    about = docs.document_metadata(source=F.col("url"), type=F.lit("web_page"), depth=F.col("depth"))
+    given = crawled.select(F.col("crawl_id").alias("doc_id"), "rank", "text", about.alias("metadata"))
+    rows = identified(docs.chunk_metadata(docs.chunks(given, **sizes)), batch_id)
+    return emb.embed_text(store.latest_version(rows, "chunk_id", ["batch_id", "doc_id", "rank", "chunk_index"]), loader=loader)
+
+
 def page_chunks(crawled: DataFrame, keys: list[str] = ["crawl_id", "rank", "url"], **sizes) -> DataFrame:
     """Chunks of crawled pages; ``chunk_index`` starts anew on every page."""
     return docs.chunks(crawled.select(*keys, "text"), **sizes)

@@ -38,18 +38,31 @@ def score_label(score: Column) -> Column:
 def topk_chunks(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT, limits=similarity.Limits()) -> DataFrame:
     """Ranked hits with their text and metadata.
 
-    The search reads ids and vectors only. Afterwards the hits, if they are
-    few, go to the chunks, so that the store is scanned and not shuffled.
+    ``queries`` may ask for a number of hits each, in a column ``limit``; where
+    it is null or missing, ``k`` holds. The search reads ids and vectors only.
+    Afterwards the hits, if they are few, go to the chunks, so that the store is
+    scanned and not shuffled.
     """
-    hits = cut_lineage(similarity.topk(queries, chunks, k, limits=limits))
+    if "limit" in queries.columns:
+        wanted = queries.select("query_id", F.coalesce("limit", F.lit(k)).alias("_limit"))
+        most = wanted.agg(F.coalesce(F.max("_limit"), F.lit(k))).first()[0]
+        hits = similarity.topk(queries, chunks, most, limits=limits).join(wanted, "query_id").where("rank <= _limit").drop("_limit")
+    else:
+        hits = similarity.topk(queries, chunks, k, limits=limits)
+    hits = cut_lineage(hits)
     return chunks.select("chunk_id", "text", "metadata").join(broadcast_if_small(hits, ["chunk_id"]), "chunk_id")
 
 
 def context_text(hits: DataFrame) -> DataFrame:
-    """Texts of the hits in rank order, one value per query."""
-    rows = F.array_sort(F.collect_list(F.struct("rank", "text")))
+    """The hits of each query in rank order, as ``context[]`` with text, score and metadata, and their joined texts."""
+    rows = F.sort_array(F.collect_list(F.struct("rank", "text", "score", F.map_entries("metadata").alias("m"))))
+    shown = F.transform(
+        rows,
+        lambda r: F.struct(r["text"].alias("text"), r["score"].alias("score"), F.map_from_entries(r["m"]).alias("metadata")),
+    )
     return hits.groupBy("query_id").agg(
         F.array_join(F.transform(rows, lambda r: r["text"]), "\n\n").alias("context_text"),
+        shown.alias("context"),
         F.count("*").alias("num_hits"),
         F.max("score").alias("best_score"),
     )
@@ -67,7 +80,8 @@ def hybrid_query(
 ) -> DataFrame:
     """Queries with context, graph summary and the prompt to send.
 
-    ``queries(query_id, query, embedding)``; every query keeps its row.
+    ``queries(query_id, query, embedding)``, and maybe ``limit``; every query
+    keeps its row. ``context`` has its hits, null if it has none.
     """
     context = context_text(topk_chunks(queries, chunks, k, limits))
     entries = graph.entry_points(queries, entities, entry_limit, entry_threshold, limits)
