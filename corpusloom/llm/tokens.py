@@ -20,6 +20,56 @@ _plain_letters = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _safe_space = re.compile(r"(?<=\S) (?=\S)")
 
 
+class Words(dict):
+    """Ids of words as bytes, found out when a word is first asked for.
+
+    A word stands for itself with a space in front; one that begins with a line
+    feed has none. At most ``remembered`` words are kept.
+    """
+
+    def __init__(self, tokenizer, remembered: int):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.half = max(1, remembered // 2)
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.line_feed = self.ids("\n")
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
+        self[word] = found
+        return found
+
+    def encode(self, word: str) -> bytes:
+        # Marks after a letter are a part of their own.
+        end = _closing.search(word)
+        if end is not None:
+            at = end.start()
+            marks = self.marks.get(word[at:])
+            if marks is None:
+                marks = self.ids(word[at:])
+                if len(self.marks) < 4096:
+                    self.marks[word[at:]] = marks
+            return self[word[:at]] + marks
+        first = word[:1] == "\n"
+        bare = word[1:] if first else word
+        if not _plain_letters(bare):
+            return self.ids(word if first else " " + word)
+        # One part: the bytes are merged without looking for parts first.
+        shown = bare if bare.isascii() else byte_letters(bare)
+        return self.line_feed + packed(self.model.tokenize(shown)) if first else packed(self.model.tokenize("\u0120" + shown))
+
+    def age(self) -> None:
+        """Forget what was not asked for of late, if there is much."""
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, remembered per word form.
 
@@ -33,89 +83,22 @@ class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.half = max(1, remembered // 2)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.model = self.tokenizer.model
-        (self.line_feed,) = self.ids(["\n"])
-        (self.line_feed_id,) = np.frombuffer(self.line_feed, "<u4").tolist()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of all words into ``new``; a word without a line feed in front has a space there."""
-        plain, first, closed = [], [], []
-        taken = set()
-        for word in words:
-            known = self.old.get(word)
-            if known is not None:
-                self.new[word] = known
-                continue
-            # Marks after a letter are a part of their own.
-            end = _closing.search(word)
-            if end is not None:
-                closed.append((word, end.start()))
-                word = word[: end.start()]
-                if word in self.new or word in taken:
-                    continue
-            taken.add(word)
-            bare = word[1:] if word[:1] == "\n" else word
-            if _plain_letters(bare):
-                # One part: the bytes are merged without looking for parts first.
-                shown = bare if bare.isascii() else byte_letters(bare)
-                if bare is word:
-                    self.new[word] = packed(self.model.tokenize("\u0120" + shown))
-                else:
-                    self.new[word] = self.line_feed + packed(self.model.tokenize(shown))
-            elif word.split() != [word.lstrip("\n")]:
-                (self.new[word],) = self.ids([word if word[:1] == "\n" else " " + word])
-            else:
-                (first if word[0] == "\n" else plain).append(word)
-        for lead, group in ((" ", plain), ("", first)):
-            for at in range(0, len(group), 4096):
-                part = group[at : at + 4096]
-                # Line feeds between the words are tokens of their own, and cut the ids apart again.
-                whole = self.ids([lead + f"\n{lead}".join(w.lstrip("\n") for w in part)])[0]
-                ends = np.flatnonzero(np.frombuffer(whole, "<u4") == self.line_feed_id) * 4
-                starts = [0, *(ends + 4).tolist()]
-                before = self.line_feed if lead == "" else b""
-                for word, start, end in zip(part, starts, [*ends.tolist(), len(whole)], strict=True):
-                    self.new[word] = before + whole[start:end]
-        for word, at in closed:
-            marks = word[at:]
-            ids = self.marks.get(marks)
-            if ids is None:
-                (ids,) = self.ids([marks])
-                if len(self.marks) < 4096:
-                    self.marks[marks] = ids
-            self.new[word] = self.new[word[:at]] + ids
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.words = Words(tokenizer, remembered)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; memory is a small multiple of the texts given."""
-        if len(self.new) > self.half:
-            self.old, self.new = self.new, {}
-        split: list[list[str] | None] = []
-        words: set[str] = set()
+        self.words.age()
+        of, skip = self.words.__getitem__, len(self.words.line_feed)
+        out = []
         for text in texts:
-            if _two_spaces.search(text):
-                split.append(None)
+            if _two_spaces.search(text) or text[:1].isspace():
+                out.append(b"".join(map(self.words.ids, cut_freely(text))))
             else:
                 # The first word of a text has no space in front: a line feed stands there for now.
-                split.append(("\n" + text).replace("\n", " \n").split(" ")[1:])
-                words.update(split[-1])
-        self._learn(words.difference(self.new))
-        of, skip = self.new.__getitem__, len(self.line_feed)
-        out = []
-        for text, parts in zip(texts, split):
-            if parts is None or text[:1].isspace():
-                out.append(b"".join(self.ids(cut_freely(text))))
-            else:
-                out.append(b"".join(map(of, parts))[skip:])
+                parts = ("\n" + text).replace("\n", " \n").split(" ")
+                out.append(b"".join(map(of, parts[1:]))[skip:])
         return out
 
 

@@ -31,7 +31,7 @@ def crc(ids):
 @given(st.text(alphabet=st.sampled_from(list("ab.,'s \n\t\r é1#🙂\x1c")), max_size=40))
 def test_remembered_words_give_the_ids_of_the_text(text):
     encoder = tokens.encoder(PATH, 64)
-    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    want = encoder.words.tokenizer.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want
 
 
