@@ -124,7 +124,8 @@ def mixed(
     share of the tokens per domain. The targets sum to all tokens, or, with an
     ``anchor``, to as many as let that domain keep ``margin`` times its own.
     A rate's fraction becomes a copy by a hash of the id, the same in every run;
-    ``most_copies`` limits them. Domains of other names are not learned from.
+    ``most_copies`` limits them, and with it the target of any domain but the
+    anchor to what its documents have. Domains of other names are not learned from.
 
     Null texts count as empty and have the rate of an average text. Repeated rows
     are treated alike; an id with several domains has the first in order of name.
@@ -144,7 +145,12 @@ def mixed(
     if known.isEmpty():
         rated = members.withColumn("rate", F.lit(1.0))
     else:
-        rated = document_rates(members, (share * total).tolist())
+        targets = share * total
+        if most_copies is not None:
+            # What a domain cannot give is not asked of it; the anchor's margin stays.
+            most = most_copies * np.array([float(v) for v in own])
+            targets = np.where(np.array(domains) == anchor, targets, np.minimum(targets, most))
+        rated = document_rates(members, targets.tolist())
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     if most_copies is not None:

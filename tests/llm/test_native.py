@@ -126,6 +126,18 @@ def test_op1_matches_its_weights(spark):
     assert sum(r.copies for r in clean) >= 0.97 * len(clean)
 
 
+def test_a_domain_with_too_little_text_leaves_the_others_alone(spark):
+    """Twenty low texts among two thousand clean ones can't be a twentieth; no clean text goes for it."""
+    rng = np.random.default_rng(7)
+    word = lambda k: " ".join(f"{k}{rng.integers(0, 40)}" for _ in range(60))
+    rows = [(i, word("c" if i % 100 else "l")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "clean" if i % 100 else "low") for i in range(0, 2000, 4)], "doc_id long, domain string")
+    got = mixing.mixed(docs, labels, **queries.MIX).collect()
+    assert all(r.copies == 1 for r in got if r.doc_id % 100)
+    assert sum(r.copies for r in got if r.doc_id % 100 == 0) >= 15
+
+
 def test_mixing_on_dirty_rows(spark, dirty):
     labels = spark.createDataFrame([(4, "a"), (4, "b"), (6, "b"), (None, "a"), (7, "z"), (8, None)], "doc_id long, domain string")
     weights = {"a": 0.5, "b": 0.5}
