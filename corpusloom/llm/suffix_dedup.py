@@ -19,7 +19,7 @@ LENGTH = 100
 GRAM = 32
 # Strings that begin up to here before their place share the bytes after it, the others those before it.
 HALF = (LENGTH - GRAM) // 2
-SLICE = 1 << 20
+SLICE = 1 << 18
 _STEP = 0x9E3779B97F4A7C15 | 1
 _SEED = 20240229
 
@@ -219,23 +219,25 @@ def multikey_order(strings: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np
     first character, then only runs of equal ones go on to the next.
     """
     n, length = strings.shape
-    padded = np.zeros((n, -(-length // 8) * 8), np.uint8)
-    padded[:, :length] = strings
-    characters = padded.view(">u8").astype(np.uint64)
+    # The last character ends with the string, and so may begin inside the one before.
+    firsts = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
     order = np.arange(n)
     run = np.zeros(n, np.int64)  # the number of the run each place in the order is in
-    for k in range(characters.shape[1] + 1):
+    for first in [*firsts, None]:
         starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         sizes = np.diff(np.r_[starts, n])
-        open_ = np.repeat(sizes > 1, sizes)
-        if not open_.any():
+        part = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        if not len(part):
             break
-        c = characters[order, k] if k < characters.shape[1] else tie[order]
-        part = np.flatnonzero(open_)
-        moved = part[np.lexsort((c[part], run[part]))]
-        order[part], c[part] = order[moved], c[moved]
-        if k < characters.shape[1]:
-            run = np.cumsum(np.r_[False, (run[1:] != run[:-1]) | (c[1:] != c[:-1])])
+        rows = order[part]
+        c = tie[rows] if first is None else np.ascontiguousarray(strings[rows, first : first + 8]).view(">u8")[:, 0].astype(np.uint64)
+        moved = np.lexsort((c, run[part]))
+        order[part] = rows[moved]
+        if first is not None:
+            c = c[moved]
+            new = np.r_[False, run[1:] != run[:-1]]
+            new[part[1:]] |= (c[1:] != c[:-1]) & (np.diff(part) == 1)
+            run = np.cumsum(new)
     return order, np.r_[False, run[1:] == run[:-1]]
 
 
@@ -251,20 +253,24 @@ def repeated_strings(strings: DataFrame) -> DataFrame:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bucket_rows = [b for b in batches if b.num_rows]
-        if not bucket_rows:
+        parts = []
+        for batch in batches:
+            if batch.num_rows:
+                string = batch["string"]
+                at = LENGTH * string.offset
+                raw = np.frombuffer(string.buffers()[2], np.uint8)[at : at + LENGTH * len(string)]
+                parts.append((raw.reshape(-1, LENGTH).copy(), batch["doc"].to_numpy(), batch["start"].to_numpy()))
+        if not parts:
             return
-        table = pa.Table.from_batches(bucket_rows)
-        string, doc, start = (table[c].combine_chunks() for c in ("string", "doc", "start"))
-        raw = b"".join(string.to_pylist())
-        doc, start = doc.to_numpy(), start.to_numpy()
+        strings, doc, start = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         rank = np.empty(len(doc), np.int64)
         rank[np.lexsort((start, doc))] = np.arange(len(doc))
-        order, again = multikey_order(np.frombuffer(raw, np.uint8).reshape(-1, LENGTH), rank)
+        order, again = multikey_order(strings, rank)
         bucket = TaskContext.get().partitionId()
         at = order[again]
         first, last = order[0], order[-1]
-        ends = [raw[LENGTH * first : LENGTH * (first + 1)], raw[LENGTH * last : LENGTH * (last + 1)]]
+        ends = [strings[first].tobytes(), strings[last].tobytes()]
         n = len(at)
         arrays = [
             pa.array(np.r_[doc[at], doc[first]]), pa.array(np.r_[start[at], start[first]]),
