@@ -19,6 +19,7 @@ GRAM = 4
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 ROUNDS = 15
+# Sets of up to so many languages are always fitted; larger ones while they may still win.
 MOST_LANGUAGES = 3
 # Languages a model may hold: with it the size of a model is bounded.
 MOST_KNOWN = 256
@@ -100,25 +101,39 @@ def proportions(words: np.ndarray, of: np.ndarray, n_docs: int, allowed: np.ndar
     return weights, per_text(np.log((words * weights[of]).sum(1)))
 
 
-def choose(words: np.ndarray, of: np.ndarray, n_docs: int, most: int = MOST_LANGUAGES) -> np.ndarray:
+def choose(words: np.ndarray, of: np.ndarray, n_docs: int, always: int = MOST_LANGUAGES) -> np.ndarray:
     """Weights per text over the set of languages with the best penalised likelihood.
 
     All languages are fitted first; then the sets of the one, two, ... strongest
     are fitted by themselves. A set's penalty is half a log of the number of words
     for each language beyond the first, as in the Bayesian information criterion.
+    Beyond ``always`` languages a text goes on while the last one gained, or the
+    likelihood of all languages less the next penalty is still above the best.
     """
     k = words.shape[1]
-    full, _ = proportions(words, of, n_docs, np.ones((n_docs, k)))
-    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-    sizes = np.bincount(of, minlength=n_docs)
+    full, reach = proportions(words, of, n_docs, np.ones((n_docs, k)))
+    order = np.argsort(-full, axis=1, kind="stable")
+    # Each text's strongest languages first, so that a set is fitted over its own columns only.
+    words = np.take_along_axis(words, order[of], 1)
+    penalty = 0.5 * np.log(np.maximum(np.bincount(of, minlength=n_docs), 2))
     best = np.full(n_docs, -np.inf)
-    chosen = full
-    for size in range(1, min(most, k) + 1):
-        weights, likelihood = proportions(words, of, n_docs, (rank < size).astype(float))
-        value = likelihood - (size - 1) * 0.5 * np.log(np.maximum(sizes, 2))
-        better = value > best
-        chosen = np.where(better[:, None], weights, chosen)
-        best = np.where(better, value, best)
+    chosen = full.copy()
+    open_ = np.arange(n_docs)
+    for size in range(1, k + 1):
+        weights, likelihood = proportions(np.ascontiguousarray(words[:, :size]), of, len(open_), np.ones((len(open_), size)))
+        value = likelihood - (size - 1) * penalty[open_]
+        better = value > best[open_]
+        won = open_[better]
+        chosen[won] = 0
+        chosen[won[:, None], order[won, :size]] = weights[better]
+        best[won] = value[better]
+        if size < always:
+            continue
+        go_on = better | (reach[open_] - size * penalty[open_] > best[open_])
+        if not go_on.any():
+            break
+        rows = go_on[of]
+        words, of, open_ = words[rows], (np.cumsum(go_on) - 1)[of[rows]], open_[go_on]
     return chosen
 
 

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import language, queries
@@ -71,6 +72,18 @@ def test_mixture_equals_plain_python(spark, documents):
     assert len(got[1000].languages) == 2
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7])
+def test_a_text_keeps_all_its_languages(n):
+    k = 8
+    words = np.tile(np.eye(k)[:n], (50, 1)) + language.FLOOR
+    alone = np.tile(np.eye(k)[:1], (40, 1)) + language.FLOOR
+    of = np.r_[np.zeros(40, int), np.full(len(words), 2), np.full(40, 3)]
+    weights = language.choose(np.r_[alone, words, alone], of, 4)
+    for text, found in ((0, 1), (2, n), (3, 1)):
+        assert (weights[text] > 0).nonzero()[0].tolist() == list(range(found))
+        assert weights[text][:found] == pytest.approx(np.full(found, 1 / found), abs=1e-3)
+
+
 def test_op7_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     known = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
