@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, language, mixing, packing, ppm, quality_classifier, quality_rules, simhash, suffix_dedup, token_files
+from corpusloom.llm import conversation_trie, exact_dedup, language, mixing, packing, ppm, quality_classifier, quality_rules, simhash, suffix_dedup, token_files
 from corpusloom.llm.common import id_remainder
 from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
@@ -124,3 +124,45 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept_text", 256).alias("kept_sha256"),
     )
+
+
+@register
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    base = F.expr("conv_id - conv_id % 5")
+    turns = conversation_trie.rebuilt_turns(table(spark, sf, "conversations"), base, id_remainder("conv_id", 9))
+    return conversation_trie.prefix_trie(*turns).drop("node", "parent")
+
+
+# The checksum of ids, bit by bit. The number is the fixed polynomial of CRC-32.
+CRC_OF_ID = """xor(list_reduce(
+  list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(conv_id::varchar[i])::bigint),
+  lambda c, b: list_reduce(range(8), lambda d, i: case when d % 2 = 1 then xor(d // 2, 3988292384) else d // 2 end, xor(c, b)),
+  4294967295::bigint), 4294967295)"""
+SQL["op11_prefix_trie"] = f"""
+with turns as (
+  select conv_id, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') as item, strlen(coalesce(text, '')) as octets,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+  from conversations where conv_id is not null),
+convs as (select conv_id, {CRC_OF_ID} % 9 as h from (select distinct conv_id from turns)),
+rebuilt as (
+  select c.conv_id, 0 as own, pos, item, octets from convs c join turns t on t.conv_id = c.conv_id - c.conv_id % 5 and pos < h
+  union all select c.conv_id, 1, pos, item, octets from convs c join turns t on t.conv_id = c.conv_id and pos >= h),
+lists as (
+  select c.conv_id, coalesce(list(item order by own, pos) filter (item is not null), []) as items,
+         coalesce(list(octets order by own, pos) filter (item is not null), []) as sizes
+  from convs c left join rebuilt r on r.conv_id = c.conv_id group by c.conv_id),
+prefixes as (
+  select conv_id, d as depth, items[1:d] as key, coalesce(sizes[d], 0) as octets, d = len(items) as ends
+  from (select *, unnest(range(0, len(items) + 1)) as d from lists)),
+nodes as (
+  select key, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(octets) as octets,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from prefixes group by key),
+children as (select key[1:depth - 1] as key, count(*) as n_children from nodes where depth > 0 group by 1),
+valued as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children c on c.key = n.key),
+totals as (
+  select key[1:e] as key, sum(case when n_children = 0 then 1 else 0 end)::bigint as n_leaves, sum((n_convs - 1) * octets)::bigint as saved_tokens
+  from (select *, unnest(range(0, depth + 1)) as e from valued) group by 1)
+select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+from valued v join totals t on t.key = v.key left join nodes p on v.depth > 0 and p.key = v.key[1:v.depth - 1]
+"""
