@@ -63,3 +63,15 @@ def running_base(totals: DataFrame, part: str, count: str) -> DataFrame:
 
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias("base"))
+
+
+def dense_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number rows from 0 in the given order, without gaps; of equal ones any comes first."""
+    from corpusloom.session import cut_lineage
+
+    part = F.spark_partition_id()
+    nth = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(ranged.select("*", part.alias("_part"), nth.alias("_nth")))
+    base = running_base(placed.groupBy("_part").agg(F.count("*").alias("n")), "_part", "n")
+    return placed.join(F.broadcast(base), "_part").select(*rows.columns, (F.col("base") + F.col("_nth")).alias(name))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import conversation_trie, exact_dedup, language, mixing, packing, ppm, quality_classifier, quality_rules, simhash, suffix_dedup, token_files
+from corpusloom.llm import conversation_trie, exact_dedup, language, mixing, packing, ppm, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
 from corpusloom.llm.common import id_remainder
 from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
@@ -135,7 +135,7 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
 
 # The checksum of ids, bit by bit. The number is the fixed polynomial of CRC-32.
 CRC_OF_ID = """xor(list_reduce(
-  list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(conv_id::varchar[i])::bigint),
+  list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint),
   lambda c, b: list_reduce(range(8), lambda d, i: case when d % 2 = 1 then xor(d // 2, 3988292384) else d // 2 end, xor(c, b)),
   4294967295::bigint), 4294967295)"""
 SQL["op11_prefix_trie"] = f"""
@@ -166,3 +166,25 @@ totals as (
 select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
 from valued v join totals t on t.key = v.key left join nodes p on v.depth > 0 and p.key = v.key[1:v.depth - 1]
 """
+
+
+@register
+def op12_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substring_dedup.remove_passages(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op12_substring_dedup"] = r"""
+with texts as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+starts as (select doc_id, unnest(range(0, len(words) - 12)) as s, words from texts where len(words) >= 13),
+windows as (select doc_id, s, array_to_string(words[s + 1:s + 13], ' ') as w from starts),
+firsts as (select w, min(doc_id) as first_id from windows group by w),
+gone as (select distinct doc_id, unnest(range(s, s + 13)) as i from windows join firsts using (w) where first_id < doc_id),
+lists as (select doc_id, list(i) as places from gone group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(len(places), 0)::bigint as n_removed,
+       sha256(array_to_string(case when places is null then words else
+         (select coalesce(list(words[i + 1] order by i), []) from unnest(range(0, len(words))) u(i) where not list_contains(places, i)) end, ' ')) as kept_sha256
+from texts left join lists using (doc_id)
+"""
