@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import conversation_trie, exact_dedup, language, mixing, packing, ppm, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
-from corpusloom.llm.common import id_remainder
+from corpusloom.functions.once import compute_once
+from corpusloom.llm import conversation_trie, exact_dedup, language, mixing, packing, periodic_runs, ppm, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
+from corpusloom.llm.common import SPACE_CLASS, id_remainder, text_or_empty
 from corpusloom.session import cut_lineage
 from corpusloom.sources.tables import table
 
@@ -188,3 +189,43 @@ select doc_id, len(words)::bigint as n_words, coalesce(len(places), 0)::bigint a
          (select coalesce(list(words[i + 1] order by i), []) from unnest(range(0, len(words))) u(i) where not list_contains(places, i)) end, ' ')) as kept_sha256
 from texts left join lists using (doc_id)
 """
+
+
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, in which every tenth document by its id's checksum goes on repeating a stretch of its words.
+
+    Null ids are left as they are.
+    """
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = text_or_empty("text")
+    split = F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
+    rows = docs.select("doc_id", text.alias("text"), checksum.alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, split.cast("array<string>")).otherwise(F.array().cast("array<string>")))
+    rows = compute_once(rows, words=F.col("words"))
+    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("g", F.expr("h div 10"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).otherwise(F.lit(0)))
+    rows = rows.withColumn("p", F.lit(1) + F.expr("(n - a) div (3 + g % 8)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))")
+    changed = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("a").cast("int")), tail)
+    return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@register
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(with_repeated_tails(table(spark, sf, "documents")))
+    best = F.element_at(
+        F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))), 1
+    )
+    best = F.when(F.size("runs") > 0, best)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length = -F.col("best.shorter")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.shorter div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )

@@ -19,4 +19,4 @@ def test_query_equals_sql(spark, folder, name):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.REGISTRY) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.REGISTRY) == list(range(1, 14))
