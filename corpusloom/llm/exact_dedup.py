@@ -83,18 +83,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The verdicts are joined back on the id. Rows with a null id, and rows that
     share an id, are told apart by their text's hash.
     """
-    key = F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256)
     verdicts = exact_duplicates(docs, id_col, text_col, keep)
-    drop = cut_lineage(
-        verdicts.where("not kept or copies_of_kept > 1").select(
-            F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"
-        ).distinct()
-    )
-    marked = docs.withColumn("_sha", key).join(
-        broadcast_if_small(drop.select("_sha", "_id", "kept")).withColumnRenamed("_sha", "_sha2"),
-        (F.col("_sha") == F.col("_sha2")) & F.col(id_col).eqNullSafe(F.col("_id")),
-        "left",
-    )
-    alone = marked.where("kept is null").select(*docs.columns)
-    repeated = marked.where("kept").dropDuplicates(["_sha", id_col]).select(*docs.columns)
+    drop = cut_lineage(verdicts.where("not kept or copies_of_kept > 1").select("doc_id", "text_sha256", "kept").distinct())
+    # Whole rows travel as one column, so that no name of theirs meets another.
+    sha = F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), sha.alias("sha"))
+    met = (F.col("sha") == F.col("text_sha256")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    marked = rows.join(broadcast_if_small(drop), met, "left")
+    alone = marked.where("kept is null").select("row.*")
+    repeated = marked.where("kept").dropDuplicates(["sha", "id"]).select("row.*")
     return alone.unionByName(repeated)

@@ -164,8 +164,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: s
     Rows that repeat an id are taken as often as the one with the most copies.
     """
     found = mixed(docs, labels, weights, id_col, text_col, **more).where("doc_id is not null")
-    copies = found.groupBy(F.col("doc_id").alias(id_col)).agg(F.max("copies").alias("_copies"))
-    changed = cut_lineage(copies.where("_copies <> 1"))
-    rows = docs.join(broadcast_if_small(changed), id_col, "left")
-    times = F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int"))
-    return rows.withColumn("_copy", F.explode(times)).select(*docs.columns)
+    copies = found.groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    changed = cut_lineage(copies.where("copies <> 1"))
+    # Whole rows travel as one column, so that no name of theirs meets another.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id")).join(broadcast_if_small(changed), "doc_id", "left")
+    times = F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int"))
+    return rows.select("row", F.explode(times)).select("row.*")

@@ -77,15 +77,17 @@ class Encoder:
     and no part goes on across a single space or line feed between two other
     characters: such a space begins a part. So the ids of a text are the ids of
     its space-led words in order, and each distinct word is encoded once. Texts
-    in which two white spaces meet are encoded directly.
+    in which two white spaces meet, or that hold an added token of the tokenizer,
+    are encoded directly.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         self.words = Words(tokenizer, remembered)
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; memory is a small multiple of the texts given."""
@@ -93,7 +95,10 @@ class Encoder:
         of, skip = self.words.__getitem__, len(self.words.line_feed)
         out = []
         for text in texts:
-            if _two_spaces.search(text) or text[:1].isspace():
+            if self.added and self.added.search(text):
+                # Added tokens have ids of their own and change how their neighbours are cut.
+                out.append(self.words.ids(text))
+            elif _two_spaces.search(text) or text[:1].isspace():
                 out.append(b"".join(map(self.words.ids, cut_freely(text))))
             else:
                 # The first word of a text has no space in front: a line feed stands there for now.

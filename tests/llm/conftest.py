@@ -20,4 +20,5 @@ def dirty(spark):
         (7, "word " * 60000, "y", "h"), (8, "a" * 70000, None, "i"), (9, "<|endoftext|> don't\r\nstop\n\n", "z", "j"),
     ]
     schema = T.StructType().add("doc_id", "long").add("text", "string").add("lang", "string").add("_hash", "string")
-    return spark.createDataFrame(rows, schema)
+    names = "kept copies row id sha text_sha256 keep_id group_size _copies _copy _id _sha component fp score drop anchor t ord digest words start runs found".split()
+    return spark.createDataFrame(rows, schema).selectExpr("*", *[f"_hash as {n}" for n in names])

@@ -86,6 +86,7 @@ def test_op13_equals_plain_search(spark, folder, documents):
 
 def test_dirty_rows(spark, dirty, monkeypatch):
     monkeypatch.setattr(periodic_runs, "SLICE", 300)
+    dirty = dirty.select("doc_id", "text", "lang", "_hash")
     more = [(20, b" ".join(made(s)).decode(), None, None) for s in range(12)]
     df = dirty.unionByName(spark.createDataFrame(more, dirty.schema)).withColumnRenamed("lang", "runs").withColumnRenamed("_hash", "n_words")
     got = periodic_runs.collapse_runs(df).collect()

@@ -96,6 +96,7 @@ def test_planted_passages(spark, seed, crowded, limit, monkeypatch):
 
 def test_dirty_rows(spark, dirty):
     rows = [(r.doc_id, (r.text or "").encode()) for r in dirty.collect()]
+    dirty = dirty.select("doc_id", "text", "lang", "_hash")
     more = [(12, "word " * 20), (12, "word " * 21), (None, "a b c d e f g h i j k l m n"), (13, "q a b c d e f g h i j k l m"), (1, "word " * 13)]
     df = dirty.unionByName(spark.createDataFrame([(k, t, None, None) for k, t in more], dirty.schema)).withColumnRenamed("lang", "digest")
     every = [(-1 if k is None else k, t) for k, t in rows + [(k, t.encode()) for k, t in more]]

@@ -19,7 +19,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -27,6 +26,12 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_added_tokens_keep_their_id(plain):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext |>"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in tokens.encoder(PATH).encode(texts)]
+    assert got == [plain(t) for t in texts] and got[0].count(50256) == 1
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab.,'s \n\t\r é1#🙂\x1c")), max_size=40))
 def test_remembered_words_give_the_ids_of_the_text(text):
