@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import dense_numbers, text_or_empty, text_slices
 from corpusloom.llm.fm_index import FmIndex
 from corpusloom.llm.word_hashes import gram_hashes, hashed_words
-from corpusloom.operators.sizing import BROADCAST_BYTES, ROW_OVERHEAD, broadcast_if_small
+from corpusloom.operators.sizing import broadcast_if_small
 from corpusloom.session import cut_lineage
 
 WIDTH = 13
@@ -88,12 +88,6 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(find, "anchor long, t long, at long")
 
 
-def _with_texts(texts: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    """Join lists per text to the texts; lists that fit are sent to the texts, else both are shuffled."""
-    size = lists.agg(F.coalesce(F.sum(ROW_OVERHEAD + 16 * F.size(column)), F.lit(0))).first()[0]
-    return texts.join(F.broadcast(lists) if size <= BROADCAST_BYTES // 2 else lists, "t", how)
-
-
 def passages(texts: DataFrame, shared: DataFrame) -> DataFrame:
     """``key, digest, t, ord, start, n, words``: the words of all runs whose anchor several documents have.
 
@@ -132,7 +126,7 @@ def passages(texts: DataFrame, shared: DataFrame) -> DataFrame:
                         c.clear()
             yield rows(out)
 
-    joined = _with_texts(texts, lists, "runs", "inner").select("t", "ord", "text", "runs")
+    joined = texts.join(lists, "t").select("t", "ord", "text", "runs")
     return joined.mapInArrow(cut, "key long, digest binary, t long, ord long, start long, n int, words binary")
 
 
@@ -229,7 +223,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType)):
         texts = texts.dropDuplicates(["t"])
 
-    anchors = anchor_counts(texts).where("least < most").select("anchor", (F.col("n") > CROWDED).alias("crowded"))
+    # A table of its own, so that the join can deal out the rows of a frequent anchor.
+    anchors = cut_lineage(anchor_counts(texts).where("least < most").select("anchor", (F.col("n") > CROWDED).alias("crowded")))
     shared = occurrences(texts).join(anchors, "anchor")
     cut = cut_lineage(passages(texts, shared), "zstd")
     shards = 1 + cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // SHARD_WORDS
@@ -243,7 +238,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     windows = met.select("t", "start", bits.alias("windows")).where("windows > 0")
     lists = cut_lineage(windows.groupBy("t").agg(F.collect_list(F.struct("start", "windows")).alias("found")))
-    searched_texts = _with_texts(kept.select("doc_id", "t", "text"), lists, "found", "left").select("doc_id", "text", "found")
+    searched_texts = kept.select("doc_id", "t", "text").join(lists, "t", "left").select("doc_id", "text", "found")
     return _without(copies, True).unionByName(_without(searched_texts, False))
 
 
