@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators import similarity as sim
+from corpusloom.operators.links import linked_leaders
 from corpusloom.operators.similarity import SLAB_ROWS, reaches, unit_matrix
 from corpusloom.session import cut_lineage
 
@@ -41,47 +43,28 @@ def leaders(
     threshold: float = RESOLVE_THRESHOLD,
     finish_rows: int = FINISH_ROWS,
     limits: sim.Limits = sim.Limits(),
+    compared: Accumulator | None = None,
 ) -> DataFrame:
     """Rows (``ord, vec``) that no earlier leader is similar to.
 
-    A round settles the first ``finish_rows`` open rows in order, in one
-    bounded task, and drops what follows their leaders: large similar groups
-    are gone after comparing each row with a bounded number of leaders.
-
-    Where that leaves more than half of the rows open, the round goes on in
-    parallel: a row without an open earlier neighbour leads, and a row with a
-    leader among its earlier neighbours follows. Neighbours are only tested
-    for existence, so crowded groups emit no pairs. Few such rounds are needed
-    for an arrival order that is unrelated to similarity, and a long chain of
-    similar arrivals still advances by ``finish_rows`` per round.
+    Few rows are settled in one bounded task, in order. Of many, the first
+    ``finish_rows`` are, and what follows their leaders is dropped: large similar
+    groups are gone after comparing each row with a bounded number of leaders.
+    The rest is settled by links (:mod:`corpusloom.operators.links`).
     """
     # Equal vectors collapse on the map side; only the first can lead. A vector without a direction is
     # similar to none, not even to its like, and leads itself.
     alone = F.when(~F.exists("vec", lambda x: x != 0), F.col("ord"))
     open_ = cut_lineage(vectors.groupBy("vec", alone.alias("_alone")).agg(F.min("ord").alias("ord")).select("ord", "vec"))
-    size = open_.count()
     flagged = T.StructType([*open_.schema.fields, T.StructField("leads", T.BooleanType())])
-    found = open_.limit(0)
-    while size:
-        head = open_.orderBy("ord").limit(finish_rows).coalesce(1)
-        settled = cut_lineage(head.mapInArrow(lambda batches: _in_order(batches, threshold), flagged))
-        first = settled.where("leads").select("ord", "vec")
-        found = found.unionByName(first)
-        if size <= finish_rows:
-            break
-        reached = settled.agg(F.max("ord")).first()[0]
-        tail = open_.where(F.col("ord") > reached)
-        rest = cut_lineage(_without_followers(first, tail, threshold, limits))
-        left = rest.count()
-        if left > size // 2:
-            blocked = sim.having_earlier_match(rest, rest, threshold, limits)
-            lead = cut_lineage(rest.join(blocked, "ord", "left_anti"))
-            found = found.unionByName(lead)
-            others = rest.join(lead.select("ord"), "ord", "left_anti")
-            rest = cut_lineage(_without_followers(lead, others, threshold, limits))
-            left = rest.count()
-        open_, size = rest, left
-    return found
+    head = open_.orderBy("ord").limit(finish_rows).coalesce(1)
+    settled = cut_lineage(head.mapInArrow(lambda batches: _in_order(batches, threshold), flagged))
+    first = settled.where("leads").select("ord", "vec")
+    if open_.count() <= finish_rows:
+        return first
+    reached = settled.agg(F.max("ord")).first()[0]
+    rest = cut_lineage(_without_followers(first, open_.where(F.col("ord") > reached), threshold, limits))
+    return first.unionByName(linked_leaders(rest, threshold, limits, compared=compared))
 
 
 def _without_followers(lead: DataFrame, rows: DataFrame, threshold: float, limits: sim.Limits) -> DataFrame:
@@ -96,6 +79,7 @@ def resolve_entities(
     stored: DataFrame | None = None,
     finish_rows: int = FINISH_ROWS,
     limits: sim.Limits = sim.Limits(),
+    compared: Accumulator | None = None,
 ) -> DataFrame:
     """``order, leader_order, score`` for every entity.
 
@@ -104,14 +88,15 @@ def resolve_entities(
     ``entities`` a stored table, as it is read more than once.
 
     ``stored`` holds the leaders of earlier runs, with smaller orders: the
-    rows are then resolved as if they had arrived right after them.
+    rows are then resolved as if they had arrived right after them. ``compared``
+    counts the pairs that the links took.
     """
     rows = _ordered(entities, order, vec)
     open_ = rows
     if stored is not None:
         old = _ordered(stored, order, vec)
         open_ = cut_lineage(_without_followers(old, rows, threshold, limits))
-    led = leaders(open_, threshold, finish_rows, limits)
+    led = leaders(open_, threshold, finish_rows, limits, compared)
     others = rows.join(led.select("ord"), "ord", "left_anti")
     everyone = led if stored is None else old.unionByName(led)
     matched = sim.best_earlier_match(others, everyone, threshold, limits)

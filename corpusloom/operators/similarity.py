@@ -129,6 +129,30 @@ def _exists_kernel(threshold: float):
     return lambda left_is_held: kernel
 
 
+def _earliest_kernel(threshold: float, compared=None):
+    """Right ids with the smallest order of a left partner before them."""
+
+    def kernel(left, right):
+        (lid, lord, lmat), (rid, rord, rmat) = left, right
+        if compared is not None:
+            compared.add(len(lid) * len(rid))
+        found = np.zeros(len(rid), dtype=bool)
+        order = np.argsort(lord, kind="stable")
+        for at in range(0, len(lid), SLAB_ROWS):
+            slab = order[at : at + SLAB_ROWS]
+            open_ = np.flatnonzero(~found & (rord > lord[slab[0]]))
+            if not len(open_):
+                continue
+            hit = reaches(lmat[slab] @ rmat[open_].T, threshold)
+            hit &= lord[slab, None] < rord[None, open_]
+            some = hit.any(axis=0)
+            found[open_[some]] = True
+            if some.any():
+                yield rid[open_[some]], lord[slab[hit[:, some].argmax(axis=0)]]
+
+    return lambda left_is_held: kernel
+
+
 def _best_kernel(k: int, threshold: float | None, earlier: bool):
     """Top k right rows of every left row, ties by right id.
 
@@ -308,22 +332,20 @@ def _tiled(left: DataFrame, right: DataFrame, left_counts, right_counts, kernel,
     cells = sorted(set(left_counts) & set(right_counts))
     if not cells:
         return left.sparkSession.createDataFrame([], schema)
-    blocks_l = {c: -(-left_counts[c] // limits.tile_rows) for c in cells}
-    blocks_r = {c: -(-right_counts[c] // limits.tile_rows) for c in cells}
-
-    def lookup(blocks):
-        return F.create_map(*[F.lit(v) for c in cells for v in (c, blocks[c])])[F.col("cell")]
+    kind = left.schema["cell"].dataType.simpleString()
+    rows = [(c, -(-left_counts[c] // limits.tile_rows), -(-right_counts[c] // limits.tile_rows)) for c in cells]
+    # One row per cell, and there are no more cells than pivots.
+    blocks = F.broadcast(left.sparkSession.createDataFrame(rows, f"cell {kind}, _l int, _r int"))
 
     def cut(side, own, other, mine, theirs):
         return (
-            side.where(F.col("cell").isin(cells))
-            .withColumn(mine, F.pmod(F.xxhash64("id"), lookup(own)).cast("int"))
-            .withColumn(theirs, F.explode(F.sequence(F.lit(0), lookup(other) - 1)))
+            side.join(blocks, "cell")
+            .withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+            .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .drop("_l", "_r")
         )
 
-    return _cogroup(
-        cut(left, blocks_l, blocks_r, "lb", "rb"), cut(right, blocks_r, blocks_l, "rb", "lb"), kernel, schema
-    )
+    return _cogroup(cut(left, "_l", "_r", "lb", "rb"), cut(right, "_r", "_l", "rb", "lb"), kernel, schema)
 
 
 def _cogroup(left: DataFrame, right: DataFrame, kernel, schema: T.StructType) -> DataFrame:
@@ -439,6 +461,17 @@ def having_earlier_match(
     return _run(l, r, threshold, _exists_kernel(threshold), schema, limits).distinct()
 
 
+def earliest_match(left: DataFrame, right: DataFrame, threshold: float, limits: Limits = Limits(), compared=None) -> DataFrame:
+    """``ord, match_ord``: right rows with the first of the left rows before them that is similar.
+
+    At most one row per right row and tile, so a dense cluster lists no pairs.
+    """
+    l, r = _side(left, "ord", "vec", "ord"), _side(right, "ord", "vec", "ord")
+    schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("match_ord", T.LongType())])
+    hits = _run(l, r, threshold, _earliest_kernel(threshold, compared), schema, limits)
+    return hits.groupBy("ord").agg(F.min("match_ord").alias("match_ord"))
+
+
 def best_earlier_match(
     left: DataFrame, right: DataFrame, threshold: float, limits: Limits = Limits()
 ) -> DataFrame:
