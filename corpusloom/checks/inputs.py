@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.once import compute_once
 from corpusloom.operators import documents as docs
+from corpusloom.plans import ingest
 from corpusloom.sources.tables import spread, table
 
 DIM = 128
@@ -49,22 +51,17 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """What a model might return per document, in twelve shapes.
+    """What a model might return per block of a document, in twelve shapes.
 
-    Entities: the document by its first sentence, described by all of them, the
-    source and the language; some names repeat, some relations name nothing
-    known, repeat, or loop.
+    Entities: the first letters of every sentence of the block, the source and
+    the language; some names repeat, some relations name nothing known, repeat,
+    or loop. Each sentence is followed by the next one.
     """
-    n = F.col("doc_id")
-    rows = spread(table(spark, sf, "documents")).select(
-        "doc_id",
-        "lang",
-        "source",
-        F.transform(
-            F.array(tx.sentence_array(F.col("text"))),
-            lambda s: F.struct(F.coalesce(F.get(s, F.lit(0)), F.lit("untitled")).alias("title"), F.size(s).alias("sentences")),
-        )[0].alias("read"),
-    ).select("doc_id", "lang", "source", "read.title", "read.sentences")
+    prompts = ingest.block_prompts(spread(table(spark, sf, "documents")).select("doc_id", "text"))
+    about = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    opening = F.transform(tx.sentence_array(F.col("block")), lambda s: F.lower(F.substring(s, 1, 3)))
+    rows = compute_once(prompts.select("doc_id", "block_index", "block"), ["doc_id", "block_index"], o=opening).join(about, "doc_id")
+    n = F.col("doc_id") + F.col("block_index")
 
     def entity(name, kind, description):
         return F.to_json(F.struct(name.alias("name"), F.lit(kind).alias("type"), description.alias("description")))
@@ -72,35 +69,40 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     def relation(source, target, kind):
         return F.to_json(F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("type")))
 
-    title, source, lang = F.col("title"), F.col("source"), F.col("lang")
+    source, lang, o = F.col("source"), F.col("lang"), F.col("o")
+    first = F.coalesce(F.get(o, F.lit(0)), F.lit("untitled"))
+    openings = F.array_join(F.transform(o, lambda x: entity(x, "opening", F.concat(F.lit("in "), lang))), ",")
+    following = F.array_join(
+        F.transform(F.slice(o, F.lit(2), F.greatest(F.size(o) - 1, F.lit(0))), lambda x, i: relation(F.get(o, i), x, "followed_by")), ","
+    )
     entities = F.concat_ws(
         ",",
-        entity(title, "title", F.concat(lang, F.lit(" from "), source, F.lit(" in "), F.col("sentences").cast("string"), F.lit(" sentences"))),
         entity(source, "source", F.concat(F.lit("documents in "), lang)),
         entity(lang, "language", F.concat(F.lit("language of "), source)),
+        F.nullif(openings, F.lit("")),
         F.when(n % 5 == 0, entity(source, "source", F.concat(F.lit("again "), source))),
         F.when(n % 12 == 5, F.lit('{"name":"no description","type":"x"}')),
         F.when(n % 12 == 6, F.lit('{"name":7,"type":"x","description":"number"}')),
     )
     relations = F.concat_ws(
         ",",
-        relation(title, source, "published_in"),
-        relation(title, lang, "written_in"),
+        relation(first, source, "published_in"),
+        relation(first, lang, "written_in"),
         relation(source, lang, "uses"),
-        F.when(n % 3 == 0, relation(title, F.lit("Nowhere"), "mentions")),
-        F.when(n % 4 == 0, relation(title, source, "published_in")),
+        F.nullif(following, F.lit("")),
+        F.when(n % 3 == 0, relation(first, F.lit("Nowhere"), "mentions")),
+        F.when(n % 4 == 0, relation(first, source, "published_in")),
         relation(source, source, "self"),
         F.when(n % 12 == 7, F.lit('{"source":"x","type":"lost"},"loose",null')),
         F.when(n % 12 == 8, F.lit('{"source":"x","target":3,"type":"number"}')),
     )
+    rows = compute_once(rows, ["doc_id", "block_index"], e=entities, r=relations)
+    e, r = F.col("e"), F.col("r")
     body = (
-        F.when(n % 12 == 9, F.concat(F.lit('{"entities":['), entities, F.lit("]}")))
-        .when(n % 12 == 10, F.concat(F.lit('{"entities":['), entities, F.lit('],"relations":null}')))
-        .when(
-            n % 12 == 11,
-            F.concat(F.lit('{"model":{"v":1},"entities":['), entities, F.lit('],"relations":['), relations, F.lit("]}")),
-        )
-        .otherwise(F.concat(F.lit('{"entities":['), entities, F.lit('],"relations":['), relations, F.lit("]}")))
+        F.when(n % 12 == 9, F.concat(F.lit('{"entities":['), e, F.lit("]}")))
+        .when(n % 12 == 10, F.concat(F.lit('{"entities":['), e, F.lit('],"relations":null}')))
+        .when(n % 12 == 11, F.concat(F.lit('{"model":{"v":1},"entities":['), e, F.lit('],"relations":['), r, F.lit("]}")))
+        .otherwise(F.concat(F.lit('{"entities":['), e, F.lit('],"relations":['), r, F.lit("]}")))
     )
     response = (
         F.when(n % 12 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```\nsee {above}")))
@@ -109,7 +111,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         .when(n % 12 == 4, F.concat(F.lit("["), body, F.lit("]")))
         .otherwise(body)
     )
-    return rows.select(F.col("doc_id").alias("block_id"), response.alias("response"))
+    return rows.select("doc_id", "block_index", response.alias("response"))
 
 
 # -------------------------------------------------------------------- graph

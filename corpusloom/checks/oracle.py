@@ -174,46 +174,51 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
         "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'doc_' || doc_id || '.html' END AS filename, source, lang FROM documents",
     ),
     # responses and what they hold
-    "titled": (["sent"], "SELECT doc_id AS n, lang, source, coalesce(s[1], 'untitled') AS title, len(s) AS sentences FROM documents JOIN sent USING (doc_id)"),
+    "openings": (
+        ["blocks"],
+        f"SELECT doc_id, block_index, doc_id + block_index AS n, lang, source, list_transform({sentence_list('block')}, lambda x: lower(substr(x, 1, 3))) AS o "
+        "FROM blocks JOIN documents USING (doc_id)",
+    ),
     "bodies": (
-        ["titled"],
-        """SELECT n,
-          concat_ws(',', to_json({'name': title, 'type': 'title', 'description': lang || ' from ' || source || ' in ' || sentences || ' sentences'}),
-            to_json({'name': source, 'type': 'source', 'description': 'documents in ' || lang}),
+        ["openings"],
+        """SELECT doc_id, block_index, n,
+          concat_ws(',', to_json({'name': source, 'type': 'source', 'description': 'documents in ' || lang}),
             to_json({'name': lang, 'type': 'language', 'description': 'language of ' || source}),
+            nullif(array_to_string(list_transform(o, lambda x: to_json({'name': x, 'type': 'opening', 'description': 'in ' || lang})), ','), ''),
             CASE WHEN n % 5 = 0 THEN to_json({'name': source, 'type': 'source', 'description': 'again ' || source}) END,
             CASE WHEN n % 12 = 5 THEN '{"name":"no description","type":"x"}' END,
             CASE WHEN n % 12 = 6 THEN '{"name":7,"type":"x","description":"number"}' END) AS ents,
-          concat_ws(',', to_json({'source': title, 'target': source, 'type': 'published_in'}),
-            to_json({'source': title, 'target': lang, 'type': 'written_in'}),
+          concat_ws(',', to_json({'source': coalesce(o[1], 'untitled'), 'target': source, 'type': 'published_in'}),
+            to_json({'source': coalesce(o[1], 'untitled'), 'target': lang, 'type': 'written_in'}),
             to_json({'source': source, 'target': lang, 'type': 'uses'}),
-            CASE WHEN n % 3 = 0 THEN to_json({'source': title, 'target': 'Nowhere', 'type': 'mentions'}) END,
-            CASE WHEN n % 4 = 0 THEN to_json({'source': title, 'target': source, 'type': 'published_in'}) END,
+            nullif(array_to_string(list_transform(range(1, len(o)), lambda i: to_json({'source': o[i], 'target': o[i + 1], 'type': 'followed_by'})), ','), ''),
+            CASE WHEN n % 3 = 0 THEN to_json({'source': coalesce(o[1], 'untitled'), 'target': 'Nowhere', 'type': 'mentions'}) END,
+            CASE WHEN n % 4 = 0 THEN to_json({'source': coalesce(o[1], 'untitled'), 'target': source, 'type': 'published_in'}) END,
             to_json({'source': source, 'target': source, 'type': 'self'}),
             CASE WHEN n % 12 = 7 THEN '{"source":"x","type":"lost"},"loose",null' END,
             CASE WHEN n % 12 = 8 THEN '{"source":"x","target":3,"type":"number"}' END) AS rels
-        FROM titled""",
+        FROM openings""",
     ),
     "responses": (
         ["bodies"],
-        """SELECT n AS block_id, CASE n % 12 WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' || chr(10) || 'see {above}'
+        """SELECT doc_id, block_index, CASE n % 12 WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' || chr(10) || 'see {above}'
           WHEN 2 THEN 'Here it is: ' || body || ' Done.' WHEN 3 THEN 'nothing found' WHEN 4 THEN '[' || body || ']'
           ELSE body END AS response
-        FROM (SELECT n, CASE n % 12 WHEN 9 THEN '{"entities":[' || ents || ']}'
+        FROM (SELECT doc_id, block_index, n, CASE n % 12 WHEN 9 THEN '{"entities":[' || ents || ']}'
           WHEN 10 THEN '{"entities":[' || ents || '],"relations":null}'
           WHEN 11 THEN '{"model":{"v":1},"entities":[' || ents || '],"relations":[' || rels || ']}'
           ELSE '{"entities":[' || ents || '],"relations":[' || rels || ']}' END AS body FROM bodies)""",
     ),
     "roots": (
         ["responses"],
-        r"""SELECT block_id, CASE WHEN json_valid(outer_text) THEN outer_text::JSON
+        r"""SELECT doc_id, block_index, CASE WHEN json_valid(outer_text) THEN outer_text::JSON
           WHEN starts_with(response, '```') AND json_valid(inner_text) THEN inner_text::JSON END AS j
-        FROM (SELECT block_id, trim(response) AS response, nullif(regexp_extract(response, '(?s)\{.*\}'), '') AS outer_text,
+        FROM (SELECT doc_id, block_index, trim(response) AS response, nullif(regexp_extract(response, '(?s)\{.*\}'), '') AS outer_text,
           regexp_replace(trim(string_split(response, '```')[2], chr(10) || ' '), '^json', '') AS inner_text FROM responses)""",
     ),
     "listed": (
         ["roots"],
-        """SELECT block_id, CASE WHEN json_type(j, '$.entities') = 'ARRAY' THEN json_extract(j, '$.entities[*]') END AS es,
+        """SELECT doc_id, block_index, CASE WHEN json_type(j, '$.entities') = 'ARRAY' THEN json_extract(j, '$.entities[*]') END AS es,
           CASE WHEN json_type(j, '$.relations') = 'ARRAY' THEN json_extract(j, '$.relations[*]') END AS rs FROM roots""",
     ),
     "kept": (
@@ -231,20 +236,20 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     ),
     "ent_rows": (
         ["judged"],
-        """SELECT block_id, pos, block_id * 1048576 + pos AS ord, json_extract_string(e, '$.name') AS name,
+        """SELECT doc_id, block_index, pos, json_extract_string(e, '$.name') AS name,
           json_extract_string(e, '$.type') AS type, json_extract_string(e, '$.description') AS description
-        FROM (SELECT block_id, unnest(es) AS e, unnest(range(len(es))) AS pos FROM judged WHERE valid)""",
+        FROM (SELECT doc_id, block_index, unnest(es) AS e, unnest(range(len(es))) AS pos FROM judged WHERE valid)""",
     ),
     "rel_rows": (
         ["judged"],
-        """SELECT block_id, pos, json_extract_string(r, '$.source') AS source, json_extract_string(r, '$.target') AS target,
+        """SELECT doc_id, block_index, pos, json_extract_string(r, '$.source') AS source, json_extract_string(r, '$.target') AS target,
           json_extract_string(r, '$.type') AS type
-        FROM (SELECT block_id, unnest(ks) AS r, unnest(range(len(ks))) AS pos FROM judged WHERE valid)""",
+        FROM (SELECT doc_id, block_index, unnest(ks) AS r, unnest(range(len(ks))) AS pos FROM judged WHERE valid)""",
     ),
     "given_names": (
         ["ent_rows"],
-        f"SELECT block_id, name, arg_max({content_id(chr(34) + 'et' + chr(34))}, pos) AS entity_id FROM "
-        "(SELECT *, name || ': ' || description AS et FROM ent_rows) GROUP BY block_id, name",
+        f"SELECT doc_id, block_index, name, arg_max({content_id(chr(34) + 'et' + chr(34))}, pos) AS entity_id FROM "
+        "(SELECT *, name || ': ' || description AS et FROM ent_rows) GROUP BY doc_id, block_index, name",
     ),
     # entity graph of the order tables
     "ents": (
@@ -316,13 +321,13 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
         "FROM hits GROUP BY query_id",
     ),
     # graph built from the responses
-    "texts": (["ent_rows"], "SELECT *, name || ': ' || description AS et FROM ent_rows"),
+    "texts": (["ent_rows"], "SELECT *, name || ': ' || description AS et, row_number() OVER (ORDER BY doc_id, block_index, pos) - 1 AS ord FROM ent_rows"),
     "text_once": (["texts"], "SELECT et, min(ord) AS first_ord FROM texts GROUP BY et"),
     "text_order": (["text_once", "et_v"], "SELECT et, first_ord, v, row_number() OVER (ORDER BY first_ord) AS o FROM text_once JOIN et_v USING (et)"),
     "g_leaders": (
         ["g_led", "text_order", "texts"],
         "SELECT t.ord AS leader_ord, x.et, x.v, t.name, t.type, t.description, "
-        f"{content_id('x.et || ' + quoted('#') + ' || t.ord')} AS entity_id "
+        f"{content_id('x.et || ' + quoted('#') + ' || t.doc_id || ' + quoted('/') + ' || t.block_index || ' + quoted('/') + ' || t.pos')} AS entity_id "
         "FROM g_led JOIN text_order x USING (o) JOIN texts t ON t.ord = x.first_ord",
     ),
     "g_match": (
@@ -332,15 +337,16 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     ),
     "g_ids": (
         ["g_match", "texts"],
-        "SELECT t.block_id, t.pos, t.name, m.entity_id FROM texts t JOIN g_match m ON m.et = t.et AND m.leader_ord <= t.ord "
+        "SELECT t.doc_id, t.block_index, t.pos, t.name, m.entity_id FROM texts t JOIN g_match m ON m.et = t.et AND m.leader_ord <= t.ord "
         "QUALIFY row_number() OVER (PARTITION BY t.ord ORDER BY (m.leader_ord = t.ord) DESC, m.s DESC, m.leader_ord) = 1",
     ),
-    "g_names": (["g_ids"], "SELECT block_id, name, arg_max(entity_id, pos) AS entity_id FROM g_ids GROUP BY block_id, name"),
+    "g_names": (["g_ids"], "SELECT doc_id, block_index, name, arg_max(entity_id, pos) AS entity_id FROM g_ids GROUP BY ALL"),
     "g_edges": (
         ["g_names", "rel_rows"],
-        "SELECT a.entity_id AS source_id, b.entity_id AS target_id, r.type, min(r.block_id * 1048576 + r.pos) AS seq "
-        "FROM rel_rows r JOIN g_names a ON a.block_id = r.block_id AND a.name = r.source "
-        "JOIN g_names b ON b.block_id = r.block_id AND b.name = r.target WHERE a.entity_id <> b.entity_id GROUP BY ALL",
+        "SELECT source_id, target_id, type, min(n) AS seq FROM (SELECT a.entity_id AS source_id, b.entity_id AS target_id, r.type, "
+        "row_number() OVER (ORDER BY r.doc_id, r.block_index, r.pos) - 1 AS n FROM rel_rows r "
+        "JOIN g_names a ON a.doc_id = r.doc_id AND a.block_index = r.block_index AND a.name = r.source "
+        "JOIN g_names b ON b.doc_id = r.doc_id AND b.block_index = r.block_index AND b.name = r.target WHERE a.entity_id <> b.entity_id) GROUP BY ALL",
     ),
     "g_entries": (
         ["asked_v", "g_leaders"],
@@ -552,17 +558,17 @@ def oracle_sql() -> dict[str, str]:
         ),
         "approx_tokens": sql(f"SELECT conv_id, turn, {tokens.format('text')} AS tokens FROM conversations"),
         "parse_extractions": sql(
-            """SELECT block_id, valid, coalesce(ne, 0) AS num_entities, coalesce(nr, 0) AS num_relations,
-              coalesce(es, '') AS entities, coalesce(rs, '') AS relations FROM (SELECT block_id, valid FROM judged)
-            LEFT JOIN (SELECT block_id, count(*) AS ne, string_agg(concat_ws('|', name, type, description), ';' ORDER BY pos) AS es
-              FROM ent_rows GROUP BY block_id) USING (block_id)
-            LEFT JOIN (SELECT block_id, count(*) AS nr, string_agg(concat_ws('|', source, target, type), ';' ORDER BY pos) AS rs
-              FROM rel_rows GROUP BY block_id) USING (block_id)""",
+            """SELECT doc_id, block_index, valid, coalesce(ne, 0) AS num_entities, coalesce(nr, 0) AS num_relations,
+              coalesce(es, '') AS entities, coalesce(rs, '') AS relations FROM (SELECT doc_id, block_index, valid FROM judged)
+            LEFT JOIN (SELECT doc_id, block_index, count(*) AS ne, string_agg(concat_ws('|', name, type, description), ';' ORDER BY pos) AS es
+              FROM ent_rows GROUP BY doc_id, block_index) USING (doc_id, block_index)
+            LEFT JOIN (SELECT doc_id, block_index, count(*) AS nr, string_agg(concat_ws('|', source, target, type), ';' ORDER BY pos) AS rs
+              FROM rel_rows GROUP BY doc_id, block_index) USING (doc_id, block_index)""",
             "judged",
             "ent_rows",
             "rel_rows",
         ),
-        "malformed_relations": sql("SELECT block_id, len(rs) - len(ks) AS dropped FROM kept WHERE len(rs) > len(ks)", "kept"),
+        "malformed_relations": sql("SELECT doc_id, block_index, len(rs) - len(ks) AS dropped FROM kept WHERE len(rs) > len(ks)", "kept"),
         "similarity_join": sql(
             f"SELECT vec_a, vec_b, round(score, 6) AS score FROM (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, {cosine('a.embedding', 'b.embedding')} AS score "
             f"FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= {queries.PAIR_THRESHOLD}"
@@ -616,15 +622,15 @@ def oracle_sql() -> dict[str, str]:
             "hits",
         ),
         "relation_resolution": sql(
-            """SELECT r.block_id, r.pos, a.entity_id AS source_id, b.entity_id AS target_id, r.type FROM rel_rows r
-            JOIN given_names a ON a.block_id = r.block_id AND a.name = r.source JOIN given_names b ON b.block_id = r.block_id AND b.name = r.target""",
+            """SELECT r.doc_id, r.block_index, r.pos, a.entity_id AS source_id, b.entity_id AS target_id, r.type FROM rel_rows r
+            JOIN given_names a ON a.doc_id = r.doc_id AND a.block_index = r.block_index AND a.name = r.source JOIN given_names b ON b.doc_id = r.doc_id AND b.block_index = r.block_index AND b.name = r.target""",
             "given_names",
             "rel_rows",
         ),
         "unresolved_relations": sql(
             """SELECT r.*, a.name IS NOT NULL AS source_known, b.name IS NOT NULL AS target_known FROM rel_rows r
-            LEFT JOIN given_names a ON a.block_id = r.block_id AND a.name = r.source
-            LEFT JOIN given_names b ON b.block_id = r.block_id AND b.name = r.target WHERE a.name IS NULL OR b.name IS NULL""",
+            LEFT JOIN given_names a ON a.doc_id = r.doc_id AND a.block_index = r.block_index AND a.name = r.source
+            LEFT JOIN given_names b ON b.doc_id = r.doc_id AND b.block_index = r.block_index AND b.name = r.target WHERE a.name IS NULL OR b.name IS NULL""",
             "given_names",
             "rel_rows",
         ),

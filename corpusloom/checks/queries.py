@@ -36,6 +36,8 @@ CRAWL_LIMIT = 5
 WHOLE_DEPTH = 6
 WHOLE_PAGES = inputs.SITE_PAGES
 QUOTA = 1
+# What a model's response belongs to.
+BLOCK_KEYS = ["doc_id", "block_index"]
 BANDS = similarity.SignBands.for_recall(PAIR_THRESHOLD, recall=0.95, bits=4)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,7 +251,7 @@ def parse_extractions(spark, sf):
         F.transform(c, lambda e: F.concat_ws("|", *[e[n] for n in names])), ";"
     )
     return _parsed(spark, sf).select(
-        "block_id",
+        *BLOCK_KEYS,
         "valid",
         F.size("entities").cast("long").alias("num_entities"),
         F.size("relations").cast("long").alias("num_relations"),
@@ -260,7 +262,7 @@ def parse_extractions(spark, sf):
 
 @register
 def malformed_relations(spark, sf):
-    return _parsed(spark, sf).where("dropped > 0").select("block_id", F.col("dropped").cast("long").alias("dropped"))
+    return _parsed(spark, sf).where("dropped > 0").select(*BLOCK_KEYS, F.col("dropped").cast("long").alias("dropped"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -415,25 +417,25 @@ def source_label(spark, sf):
 
 def _mentions(spark, sf, parsed=None):
     """Mentions with given ids: the content id of the entity text."""
-    rows = ingest.entity_mentions(parsed if parsed is not None else _parsed(spark, sf))
+    rows = extraction.extracted_entities(parsed if parsed is not None else _parsed(spark, sf), BLOCK_KEYS)
     return rows.withColumn("entity_id", tx.content_id(emb.entity_text(F.col("name"), F.col("description"))))
 
 
 def _by_id(spark, sf):
     parsed = _parsed(spark, sf)
-    return graph.resolve_relations(extraction.extracted_relations(parsed), _mentions(spark, sf, parsed))
+    return graph.resolve_relations(extraction.extracted_relations(parsed, BLOCK_KEYS), _mentions(spark, sf, parsed), BLOCK_KEYS)
 
 
 @register
 def relation_resolution(spark, sf):
-    return _by_id(spark, sf).select("block_id", "pos", "source_id", "target_id", "type")
+    return _by_id(spark, sf).select(*BLOCK_KEYS, "pos", "source_id", "target_id", "type")
 
 
 @register
 def unresolved_relations(spark, sf):
     parsed = _parsed(spark, sf)
-    rows = graph.unresolved_relations(extraction.extracted_relations(parsed), _mentions(spark, sf, parsed))
-    return rows.select("block_id", "pos", "source", "target", "type", "source_known", "target_known")
+    rows = graph.unresolved_relations(extraction.extracted_relations(parsed, BLOCK_KEYS), _mentions(spark, sf, parsed), BLOCK_KEYS)
+    return rows.select(*BLOCK_KEYS, "pos", "source", "target", "type", "source_known", "target_known")
 
 
 @register
@@ -512,7 +514,7 @@ def resolve_entities_tiled(spark, sf):
 
 def _graph(spark, sf):
     return ingest.build_graph(
-        _parsed(spark, sf), loader=emb.gram_hashing(inputs.DIM), threshold=GRAPH_THRESHOLD
+        _parsed(spark, sf), loader=emb.gram_hashing(inputs.DIM), threshold=GRAPH_THRESHOLD, key=BLOCK_KEYS
     )
 
 

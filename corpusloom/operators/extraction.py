@@ -237,9 +237,15 @@ def parse_extractions(df: DataFrame, response: str = "response") -> DataFrame:
     )
 
 
-def extracted_entities(parsed: DataFrame, key: str = "block_id") -> DataFrame:
-    return parsed.select(key, F.posexplode("entities").alias("pos", "e")).select(key, "pos", "e.*")
+def key_list(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
-def extracted_relations(parsed: DataFrame, key: str = "block_id") -> DataFrame:
-    return parsed.select(key, F.posexplode("relations").alias("pos", "r")).select(key, "pos", "r.*")
+def extracted_entities(parsed: DataFrame, key: str | list[str] = "block_id") -> DataFrame:
+    keys = key_list(key)
+    return parsed.select(*keys, F.posexplode("entities").alias("pos", "e")).select(*keys, "pos", "e.*")
+
+
+def extracted_relations(parsed: DataFrame, key: str | list[str] = "block_id") -> DataFrame:
+    keys = key_list(key)
+    return parsed.select(*keys, F.posexplode("relations").alias("pos", "r")).select(*keys, "pos", "r.*")

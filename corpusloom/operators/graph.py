@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import similarity as sim
+from corpusloom.operators.extraction import key_list
 from corpusloom.operators.sizing import broadcast_if_small, join_unique
 from corpusloom.session import cut_lineage
 
@@ -22,30 +23,32 @@ EDGE = ["source_id", "target_id", "type"]
 # --------------------------------------------------------------- relations
 
 
-def name_map(mentions: DataFrame, block: str = "block_id") -> DataFrame:
+def name_map(mentions: DataFrame, block: str | list[str] = "block_id") -> DataFrame:
     """Entity id per block and name; a repeated name means its last mention."""
-    return mentions.groupBy(block, "name").agg(F.max_by("entity_id", "pos").alias("entity_id"))
+    return mentions.groupBy(*key_list(block), "name").agg(F.max_by("entity_id", "pos").alias("entity_id"))
 
 
-def resolve_relations(relations: DataFrame, mentions: DataFrame, block: str = "block_id") -> DataFrame:
+def resolve_relations(relations: DataFrame, mentions: DataFrame, block: str | list[str] = "block_id") -> DataFrame:
     """Relations by name to relations by id, within their block.
 
-    Relations that name something the block has no entity for are left out.
+    ``block`` names the column or columns of a block. Relations that name
+    something the block has no entity for are left out.
     """
-    names = name_map(mentions, block)
-    source = names.select(block, F.col("name").alias("source"), F.col("entity_id").alias("source_id"))
-    target = names.select(block, F.col("name").alias("target"), F.col("entity_id").alias("target_id"))
-    return relations.join(source, [block, "source"]).join(target, [block, "target"])
+    keys, names = key_list(block), name_map(mentions, block)
+    source = names.select(*keys, F.col("name").alias("source"), F.col("entity_id").alias("source_id"))
+    target = names.select(*keys, F.col("name").alias("target"), F.col("entity_id").alias("target_id"))
+    return relations.join(source, [*keys, "source"]).join(target, [*keys, "target"])
 
 
-def unresolved_relations(relations: DataFrame, mentions: DataFrame, block: str = "block_id") -> DataFrame:
+def unresolved_relations(relations: DataFrame, mentions: DataFrame, block: str | list[str] = "block_id") -> DataFrame:
     """What :func:`resolve_relations` leaves out, with the missing end."""
-    names = name_map(mentions, block).select(block, "name", F.lit(True).alias("known"))
-    source = names.select(block, F.col("name").alias("source"), F.col("known").alias("source_known"))
-    target = names.select(block, F.col("name").alias("target"), F.col("known").alias("target_known"))
+    keys = key_list(block)
+    names = name_map(mentions, block).select(*keys, "name", F.lit(True).alias("known"))
+    source = names.select(*keys, F.col("name").alias("source"), F.col("known").alias("source_known"))
+    target = names.select(*keys, F.col("name").alias("target"), F.col("known").alias("target_known"))
     return (
-        relations.join(source, [block, "source"], "left")
-        .join(target, [block, "target"], "left")
+        relations.join(source, [*keys, "source"], "left")
+        .join(target, [*keys, "target"], "left")
         .withColumn("source_known", F.coalesce("source_known", F.lit(False)))
         .withColumn("target_known", F.coalesce("target_known", F.lit(False)))
         .where(~(F.col("source_known") & F.col("target_known")))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from corpusloom.operators import similarity as sim
 from corpusloom.operators.links import linked_leaders
 from corpusloom.operators.similarity import SLAB_ROWS, reaches, unit_matrix
+from corpusloom.operators.sizing import join_unique
 from corpusloom.session import cut_lineage
 
 RESOLVE_THRESHOLD = 0.92
@@ -107,5 +108,48 @@ def resolve_entities(
     )
 
 
+def resolve_mentions(
+    mentions: DataFrame,
+    vectors: DataFrame,
+    threshold: float = RESOLVE_THRESHOLD,
+    vec: str = "embedding",
+    stored: DataFrame | None = None,
+    finish_rows: int = FINISH_ROWS,
+    limits: sim.Limits = sim.Limits(),
+) -> DataFrame:
+    """``ord, leader_ord, score`` for every mention, as :func:`resolve_entities` gives it, with each text compared once.
+
+    ``mentions`` are ``ord, text_ord`` where ``text_ord`` is the first mention of the same
+    text, ``vectors`` hold ``text_ord`` and its vector; both are stored tables. A later
+    mention follows the most similar leader that arrived before it, which may be
+    another than its text's first mention had. Mentions whose text has a vector
+    without a direction each lead themselves.
+    """
+    rows = _ordered(vectors, "text_ord", vec)
+    none = ~F.exists("vec", lambda x: x != 0)
+    open_ = rows.where(~none)
+    old = None if stored is None else _ordered(stored, "ord", vec)
+    if old is not None:
+        open_ = cut_lineage(_without_followers(old, open_, threshold, limits))
+    led = cut_lineage(leaders(open_, threshold, finish_rows, limits))
+    everyone = led if old is None else cut_lineage(old.unionByName(led))
+    # A text is similar to few leaders, as they are not similar to each other.
+    pairs = sim.similarity_join(
+        rows.withColumnRenamed("ord", "text_ord"), everyone.withColumnRenamed("ord", "leader_ord"), threshold,
+        "text_ord", "leader_ord", "vec", limits,
+    )
+    own = F.struct(F.col("leader_ord"), F.col("score"))
+    near = cut_lineage(pairs.groupBy("text_ord").agg(F.collect_list(own).alias("near")))
+    matched = join_unique(mentions, near, "text_ord", ["ord"], limit=0)
+    order = lambda m: F.struct((-(m["leader_ord"] == F.col("ord")).cast("int")).alias("own"), (-m["score"]).alias("far"), m["leader_ord"].alias("leader_ord"))
+    before = F.filter("near", lambda m: m["leader_ord"] <= F.col("ord"))
+    best = F.array_min(F.transform(before, order))
+    found = matched.select("ord", best.alias("best")).select(
+        "ord", "best.leader_ord", F.when(F.col("ord") == F.col("best.leader_ord"), F.lit(1.0)).otherwise(-F.col("best.far")).alias("score")
+    )
+    alone = join_unique(mentions, rows.where(none).select(F.col("ord").alias("text_ord")), "text_ord", ["ord"])
+    return found.unionByName(alone.select("ord", F.col("ord").alias("leader_ord"), F.lit(1.0).alias("score")))
+
+
 def _ordered(df: DataFrame, order: str, vec: str) -> DataFrame:
     return df.select(F.col(order).cast("long").alias("ord"), F.col(vec).alias("vec"))

@@ -9,7 +9,8 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import documents as docs
 from corpusloom.operators import embedding as emb
 from corpusloom.operators import extraction, graph
-from corpusloom.operators.resolution import RESOLVE_THRESHOLD, resolve_entities
+from corpusloom.operators.order import dense_order
+from corpusloom.operators.resolution import RESOLVE_THRESHOLD, resolve_mentions
 from corpusloom.operators.similarity import Limits
 from corpusloom.operators.sizing import join_unique
 from corpusloom.session import cut_lineage
@@ -82,21 +83,26 @@ def block_prompts(documents: DataFrame, key: str = "doc_id", size: int = tx.BLOC
     return extraction.extraction_prompts(docs.text_blocks(documents, key, size=size))
 
 
-def entity_mentions(parsed: DataFrame, key: str = "block_id") -> DataFrame:
-    """Extracted entities in arrival order, with their unique order number.
+def entity_mentions(parsed: DataFrame, key: str | list[str] = "block_id", first: int = 0) -> DataFrame:
+    """Extracted entities with ``ord``, their number in arrival order from ``first`` on.
 
-    ``key`` numbers the blocks in arrival order. A block holds fewer than
-    2^20 entities, as a response is one text of bounded length.
+    ``key`` names the column or columns that order the blocks.
     """
-    rows = extraction.extracted_entities(parsed, key)
-    return rows.withColumn("ord", F.col(key) * F.lit(1 << 20) + F.col("pos"))
+    keys = extraction.key_list(key)
+    return dense_order(extraction.extracted_entities(parsed, keys), [*keys, "pos"], "ord", first)
+
+
+def _after(stored: DataFrame | None, order: str) -> int:
+    """The number that follows those of a stored table."""
+    last = stored.agg(F.max(order)).first()[0] if stored is not None else None
+    return 0 if last is None else last + 1
 
 
 def build_graph(
     parsed: DataFrame,
     loader=None,
     threshold: float = RESOLVE_THRESHOLD,
-    key: str = "block_id",
+    key: str | list[str] = "block_id",
     stored: tuple[DataFrame, DataFrame] | None = None,
     limits: Limits = Limits(),
     **resolution,
@@ -105,31 +111,39 @@ def build_graph(
 
     Entities are resolved across all blocks in arrival order; the first writer
     keeps name, type and description. The id of an entity is the content id of
-    its leader's text and order.
+    its leader's text and place. Each distinct text is embedded and compared once.
 
-    ``stored`` is what an earlier call returned, of blocks with smaller keys:
-    the new blocks then extend that graph, and the result is the whole of it.
+    ``key`` names the column or columns that order the blocks. ``stored`` is what
+    an earlier call returned, of earlier blocks: the new blocks then extend that
+    graph, and the result is the whole of it.
     """
-    parsed = cut_lineage(parsed.select(key, "entities", "relations"))
-    mentions = entity_mentions(parsed, key)
+    keys = extraction.key_list(key)
+    old_people, old_edges = stored or (None, None)
+    parsed = cut_lineage(parsed.select(*keys, "entities", "relations"))
+    mentions = entity_mentions(parsed, keys, _after(old_people, "ord"))
     texts = mentions.withColumn("entity_text", emb.entity_text(F.col("name"), F.col("description")))
-    vectors = cut_lineage(emb.embed_text(texts, "entity_text", loader=loader))
-    known = stored[0].select("ord", "embedding") if stored else None
-    links = cut_lineage(resolve_entities(vectors, threshold, stored=known, limits=limits, **resolution))
-    led = vectors.join(links.where("ord = leader_ord").select("ord"), "ord").withColumn(
-        "entity_id", tx.content_id(F.concat_ws("#", "entity_text", F.col("ord").cast("string")))
+    once = texts.groupBy("entity_text").agg(F.min("ord").alias("text_ord"))
+    vectors = cut_lineage(emb.embed_text(once, "entity_text", loader=loader))
+    marked = join_unique(texts, cut_lineage(once), "entity_text", ["ord"], ["entity_text"])
+    marked = cut_lineage(marked.select(*keys, "pos", "name", "type", "description", "entity_text", "ord", "text_ord"))
+    known = old_people.select("ord", "embedding") if stored else None
+    links = cut_lineage(resolve_mentions(marked.select("ord", "text_ord"), vectors, threshold, stored=known, limits=limits, **resolution))
+    place = F.concat_ws("/", *[F.col(k).cast("string") for k in [*keys, "pos"]])
+    led = marked.join(links.where("ord = leader_ord").select("ord"), "ord").withColumn(
+        "entity_id", tx.content_id(F.concat_ws("#", "entity_text", place))
     )
+    led = join_unique(led, vectors.select("text_ord", "embedding"), "text_ord", ["ord"], limit=0)
     entities = led.select(*ENTITY_COLUMNS)
     if stored:
-        entities = stored[0].select(*ENTITY_COLUMNS).unionByName(entities)
-    ids = cut_lineage(entities.select(F.col("ord").alias("leader_ord"), "entity_id"))
-    led_by = mentions.select(key, "pos", "name", "ord").join(links.select("ord", "leader_ord"), "ord")
+        entities = old_people.select(*ENTITY_COLUMNS).unionByName(entities)
+    entities = cut_lineage(entities)
+    ids = entities.select(F.col("ord").alias("leader_ord"), "entity_id")
+    led_by = marked.select(*keys, "pos", "name", "ord").join(links.select("ord", "leader_ord"), "ord")
     named = join_unique(led_by, ids, "leader_ord", ["ord"], ["entity_id"])
-    by_id = graph.resolve_relations(extraction.extracted_relations(parsed, key), named, key)
-    found = graph.without_self_loops(by_id).select(
-        *graph.EDGE, (F.col(key) * F.lit(1 << 20) + F.col("pos")).alias("seq")
-    )
-    edges = stored[1].select(*graph.EDGE, "seq").unionByName(found) if stored else found
+    by_id = graph.resolve_relations(extraction.extracted_relations(parsed, keys), named, keys)
+    rows = graph.without_self_loops(by_id).select(*keys, "pos", *graph.EDGE)
+    found = dense_order(rows, [*keys, "pos"], "seq", _after(old_edges, "seq")).select(*graph.EDGE, "seq")
+    edges = old_edges.select(*graph.EDGE, "seq").unionByName(found) if stored else found
     return entities, graph.first_edges(edges)
 
 
