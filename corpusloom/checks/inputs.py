@@ -13,6 +13,8 @@ from corpusloom.functions import text as tx
 from corpusloom.functions.once import compute_once
 from corpusloom.operators import documents as docs
 from corpusloom.plans import ingest
+from corpusloom.session import scratch_path
+from corpusloom.sources import files
 from corpusloom.sources.tables import spread, table
 
 DIM = 128
@@ -47,6 +49,17 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", name.alias("filename"))
 
 
+def stored_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a file: most HTML, some of other kinds, some empty."""
+    n = F.col("page_id")
+    ending = F.when(n % 7 == 0, ".PDF").when(n % 7 == 1, ".htm").when(n % 7 == 2, ".txt").when(n % 7 == 3, "").otherwise(".html")
+    name = F.concat(F.lit("page "), n.cast("string"), F.lit(" 100%"), ending)
+    content = F.when(n % 10 == 9, F.lit("<html><body></body></html>")).otherwise(F.col("html"))
+    path = scratch_path(spark, "files")
+    files.write_files(spread(table(spark, sf, "pages")).select(name.alias("filename"), content.alias("content")), path)
+    return files.read_files(spark, path)
+
+
 # ---------------------------------------------------------------- responses
 
 

@@ -453,21 +453,31 @@ FRAGMENTS |= crawl_fragments(queries.CRAWL_PAGES) | crawl_fragments(queries.CRAW
 FRAGMENTS |= crawl_fragments(queries.WHOLE_PAGES, queries.WHOLE_DEPTH)
 
 
-def page_chunk_fragments(limit: int) -> dict[str, tuple[list[str], str]]:
-    """The chunk fragments once more, over crawled pages."""
-    swap = {"documents": "pc_doc", "sent_rows": "pc_sent_rows", "sent": "pc_sent", "sums": "pc_sums", "packed": "pc_packed", "walk": "pc_walk", "chunk": "pc_chunk"}
-    out = {"pc_doc": ([f"c{limit}"], f"SELECT crawl_id * 1048576 + rank AS doc_id, text, url FROM c{limit}")}
+def chunk_fragments(prefix: str, needs: list[str], source: str) -> dict[str, tuple[list[str], str]]:
+    """The chunk fragments once more, over the rows ``doc_id, text`` of another source."""
+    names = ("sent", "sent_rows", "sums", "packed", "walk", "chunk")
+    swap = {"documents": f"{prefix}_doc"} | {n: f"{prefix}_{n}" for n in names}
+    out = {f"{prefix}_doc": (needs, source)}
     import re
 
-    for name in ("sent", "sent_rows", "sums", "packed", "walk", "chunk"):
+    for name in names:
         deps, sql = FRAGMENTS[name]
         for old in ("documents", "sent_rows", "sent", "sums", "packed", "walk"):
             sql = re.sub(rf"\b(FROM|JOIN) {old}\b", rf"\1 {swap[old]}", sql)
-        out[swap[name]] = ([swap[d] for d in deps] or ["pc_doc"], sql)
+        out[swap[name]] = ([swap[d] for d in deps] or [f"{prefix}_doc"], sql)
     return out
 
 
-FRAGMENTS |= page_chunk_fragments(queries.WHOLE_PAGES)
+FRAGMENTS |= chunk_fragments("pc", [f"c{queries.WHOLE_PAGES}"], f"SELECT crawl_id * 1048576 + rank AS doc_id, text, url FROM c{queries.WHOLE_PAGES}")
+FRAGMENTS["file_rows"] = (
+    [],
+    f"""SELECT doc_id, filename, file_type, CASE WHEN file_type IN ('.html', '.htm') THEN {main_text('content')} END AS text,
+      CASE WHEN file_type IN ('', '.txt') THEN 'Unsupported file type: ' || file_type WHEN file_type = '.pdf' THEN 'No parser for .pdf' END AS error
+    FROM (SELECT page_id AS doc_id, 'page ' || page_id || ' 100%' || e AS filename, lower(e) AS file_type,
+      CASE WHEN page_id % 10 = 9 THEN '<html><body></body></html>' ELSE html END AS content
+      FROM (SELECT *, CASE page_id % 7 WHEN 0 THEN '.PDF' WHEN 1 THEN '.htm' WHEN 2 THEN '.txt' WHEN 3 THEN '' ELSE '.html' END AS e FROM pages))""",
+)
+FRAGMENTS |= chunk_fragments("fc", ["file_rows"], "SELECT doc_id, coalesce(text, '') AS text FROM file_rows")
 
 
 def sql(body: str, *needs: str) -> str:
@@ -510,6 +520,13 @@ def oracle_sql() -> dict[str, str]:
         "page_records": sql(
             "SELECT page_id, url, text, url AS source, 'web_page' AS type FROM site_texts WHERE text <> ''", "site_texts"
         ),
+        "ingest_files": sql(
+            """SELECT filename, file_type, coalesce(n, 0) AS num_chunks, length(r.text) AS total_characters,
+              coalesce(error, CASE WHEN n IS NULL THEN 'No text found' END) AS error, chunk_index, start_char, end_char, c.text
+            FROM file_rows r LEFT JOIN fc_chunk c USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM fc_chunk GROUP BY 1) USING (doc_id)""",
+            "file_rows",
+            "fc_chunk",
+        ),
         "chunk_upsert": sql(
             """SELECT chunk_id, doc_id, chunk_index, start_char, end_char, batch_id, text, filename, chunk_index::VARCHAR AS meta_index
             FROM chunk_log JOIN meta USING (doc_id)

@@ -106,6 +106,21 @@ def page_text(spark, sf):
     return web.page_text(_pages(spark, sf))
 
 
+@register
+def page_main_text(spark, sf):
+    return web.main_content(_pages(spark, sf))
+
+
+@register
+def page_markdown(spark, sf):
+    return web.page_markdown(_pages(spark, sf))
+
+
+@register
+def ingest_files(spark, sf):
+    return ingest.file_chunks(inputs.stored_files(spark, sf))
+
+
 @register
 def page_records(spark, sf):
     return web.page_records(inputs.site(spark, sf))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.once import compute_once
 from corpusloom.operators import documents as docs
 from corpusloom.operators import embedding as emb
 from corpusloom.operators import extraction, graph
@@ -14,7 +15,7 @@ from corpusloom.operators.resolution import RESOLVE_THRESHOLD, resolve_mentions
 from corpusloom.operators.similarity import Limits
 from corpusloom.operators.sizing import join_unique
 from corpusloom.session import cut_lineage
-from corpusloom.sources import store, web
+from corpusloom.sources import files, store, web
 
 # A chunk's place in the arrival order: batch, then document, then position.
 ARRIVAL = ["batch_id", "doc_id", "chunk_index"]
@@ -57,6 +58,38 @@ def ingest_documents(documents: DataFrame, metadata: Column | None = None, loade
     return emb.embed_text(current_chunks(document_chunks(documents, metadata, batch_id, **sizes)), loader=loader)
 
 
+def file_chunks(files_read: DataFrame, as_markdown: bool = False, **sizes) -> DataFrame:
+    """Files ``filename, content`` to chunks, with what went wrong as rows of their own.
+
+    ``filename, file_type, num_chunks, total_characters, error`` are those of the file. A file that
+    is not accepted, has no parser here or holds no text is one row with an
+    ``error`` and no chunk. Names are unique; content is read as UTF-8.
+    """
+    parsed = files.parse_markup(files_read, as_markdown)
+    whole = compute_once(parsed, ["filename", "file_type", "error"], text=F.col("text"))
+    chunked = compute_once(
+        whole, ["filename", "file_type", "error"], found=tx.chunk_array(F.coalesce("text", F.lit("")), **sizes), size=F.length("text")
+    )
+    error = F.coalesce("error", F.when(F.size("found") == 0, F.lit("No text found")))
+    rows = chunked.select(
+        "filename", "file_type", F.size("found").alias("num_chunks"), F.col("size").alias("total_characters"), error.alias("error"),
+        F.posexplode_outer("found").alias("chunk_index", "c"),
+    )
+    return rows.select(
+        "filename", "file_type", "num_chunks", "total_characters", "error", "chunk_index", F.col("c.start").alias("start_char"),
+        (F.col("c.start") + F.length("c.text")).alias("end_char"), F.col("c.text").alias("text"),
+    )
+
+
+def ingest_files(spark: SparkSession, path: str, loader=None, batch_id: int = 0, **sizes) -> tuple[DataFrame, DataFrame]:
+    """A folder of files to stored chunks with vectors, and to the rows of files that gave none."""
+    rows = file_chunks(files.read_files(spark, path), **sizes)
+    about = docs.document_metadata(filename=F.col("filename"), file_type=F.col("file_type"))
+    given = rows.where("error is null").select(F.col("filename").alias("doc_id"), "chunk_index", "start_char", "end_char", "text", about.alias("metadata"))
+    current = store.latest_version(identified(docs.chunk_metadata(given), batch_id), "chunk_id", ARRIVAL)
+    return emb.embed_text(current, loader=loader), rows.where("error is not null").select("filename", "file_type", "error")
+
+
 def ingest_urls(
     starts: DataFrame, pages: DataFrame, max_pages: int, max_depth: int, loader=None, batch_id: int = 0, **sizes
 ) -> DataFrame:

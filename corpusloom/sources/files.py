@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import markup
 from corpusloom.functions import text as tx
 
 # Supported file endings.
@@ -33,26 +34,40 @@ def admit(names: DataFrame, name: str = "filename") -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, filename, content`` of the files below a folder."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select("path", base_name(F.col("path")).alias("filename"), "content")
-    )
+    """``path, filename, content`` of the files below a folder.
+
+    Folders named ``filename=...`` give the name of the file they hold, as
+    :func:`write_files` lays them out; any other file has its own name.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    folder = F.regexp_extract("path", r"/filename=([^/]*)/[^/]*$", 1)
+    named = F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(base_name(F.col("path")))
+    return files.select("path", named.alias("filename"), "content")
+
+
+def write_files(rows: DataFrame, path: str, name: str = "filename", content: str = "content") -> None:
+    """One text file per row of unique ``name``, in a folder of that name, written by the tasks.
+
+    For drop folders and tests; a line feed is put behind each content. Rows
+    without a name or content are left out.
+    """
+    kept = rows.where(F.col(name).isNotNull() & F.col(content).isNotNull())
+    named = kept.select(F.col(content).alias("value"), F.col(name).alias("filename"))
+    named.repartition("filename").write.partitionBy("filename").option("compression", "none").text(path)
 
 
-def parse_markup(files: DataFrame) -> DataFrame:
-    """Text of accepted HTML files; other formats need an outside parser and
-    keep a null text together with an error."""
+def parse_markup(files: DataFrame, as_markdown: bool = False) -> DataFrame:
+    """Text of accepted HTML files, plain or as Markdown; other formats need an
+    outside parser and keep a null text together with an error."""
     admitted = admit(files)
     html = F.col("accepted") & F.col("file_type").isin(*MARKUP)
+    shown = F.decode("content", "UTF-8")
+    text = markup.markdown(markup.blocks(shown)) if as_markdown else tx.main_text(shown)
     return admitted.select(
         "filename",
         "file_type",
         F.lit(None).cast("int").alias("num_pages"),
-        F.when(html, tx.main_text(F.decode("content", "UTF-8"))).alias("text"),
+        F.when(html, text).alias("text"),
         F.coalesce(
             F.col("error"), F.when(~html, F.concat(F.lit("No parser for "), F.col("file_type")))
         ).alias("error"),

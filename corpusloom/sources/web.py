@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import markup
 from corpusloom.functions import text as tx
 from corpusloom.functions import urls
 from corpusloom.functions.once import compute_once
@@ -23,6 +24,27 @@ def page_text(pages: DataFrame, keep: list[str] = []) -> DataFrame:
     return compute_once(pages, ["page_id", "url", *keep], text=tx.main_text(F.coalesce("html", F.lit(""))))
 
 
+def main_content(pages: DataFrame, keep: list[str] = []) -> DataFrame:
+    """Pages with the text of their main content: ``text``, one line per block, and ``n_blocks, n_kept``.
+
+    Navigation, headers, footers, forms and what a class or id marks as an
+    advertisement, a comment or the like are left out, and of the other blocks
+    those that are short or mostly links (:func:`corpusloom.functions.markup.main_blocks`).
+    Rows of tables are kept. Null and empty pages have an empty text.
+    """
+    found = compute_once(pages, ["page_id", "url", *keep], _all=markup.blocks(F.col("html"), main_only=True))
+    main = compute_once(found, ["page_id", "url", *keep, "_all"], _main=markup.main_blocks(F.col("_all")))
+    return main.select(
+        "page_id", "url", *keep, markup.blocks_text(F.col("_main")).alias("text"), F.size("_all").alias("n_blocks"), F.size("_main").alias("n_kept")
+    )
+
+
+def page_markdown(pages: DataFrame, keep: list[str] = []) -> DataFrame:
+    """Whole pages as Markdown: headings, lists, tables, code, quotes and paragraphs."""
+    found = compute_once(pages, ["page_id", "url", *keep], _all=markup.blocks(F.col("html")))
+    return found.select("page_id", "url", *keep, markup.markdown(F.col("_all")).alias("markdown"))
+
+
 def page_records(pages: DataFrame) -> DataFrame:
     """Pages with text as records ``url, text, source, type``."""
     return (

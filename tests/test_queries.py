@@ -41,8 +41,12 @@ def test_query_equals_sql(spark, db, folder, name):
     assert ordered(got) == ordered(want)
 
 
+# Compared with plain Python in test_markup.py: SQL has no fold over tags.
+WITHOUT_SQL = {"page_main_text", "page_markdown"}
+
+
 def test_every_query_has_its_sql():
-    assert set(REGISTRY) == set(SQL)
+    assert set(REGISTRY) == set(SQL) | WITHOUT_SQL
     assert set(SQL) <= set(entry.oracle_sql())
 
 
