@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.common import ascii_lower, text_or_empty, text_slices
 from corpusloom.llm.components import components
+from corpusloom.llm.word_hashes import gram_hashes, hashed_words
 from corpusloom.operators.sizing import broadcast_if_small
 from corpusloom.session import cut_lineage
 
@@ -196,6 +197,209 @@ def near_duplicates(
     return marked.join(broadcast_if_small(cut_lineage(names)), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+# Similar texts: five-word shingles, of which two texts share this part of all they have.
+WIDE_SHINGLE = 5
+SIMILAR = 0.8
+# Fingerprints of a text, their segments, and the most bits by which similar texts differ. At a similarity of 0.8
+# a bit differs with a chance of 0.152: of 192 bits 29 do, give or take five; one of the twelve segments of 16 bits
+# differs in one bit at most with a chance of 0.98. Texts that have nothing in common differ in 96, give or take seven.
+WIDE = 3
+WIDE_SEGMENTS = 6
+WIDE_DISTANCE = 42
+# Members of a key that are compared pair by pair; of more, spanning links are given.
+WIDE_RUN = 32
+_MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+
+
+def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every five words of a text; fewer words are one shingle."""
+    return gram_hashes(hashes, max(1, min(WIDE_SHINGLE, len(hashes))))
+
+
+def wide_fingerprints(rows: DataFrame) -> DataFrame:
+    """``doc_id, f0, f1, f2``: three fingerprints of each text of ``doc_id, text``, zero for one without a word."""
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(f"f{k}", T.LongType()) for k in range(WIDE))])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            hashes, base = hashed_words(batch["text"].cast(pa.binary()).to_pylist())
+            out = np.zeros((WIDE, batch.num_rows), np.uint64)
+            for d in np.flatnonzero(np.diff(base)).tolist():
+                grams = shingle_hashes(hashes[base[d] : base[d + 1]])
+                for k, step in enumerate(_MIX):
+                    mixed = grams * np.uint64(step)
+                    mixed ^= mixed >> np.uint64(29)
+                    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+                    mixed ^= mixed >> np.uint64(32)
+                    counts = np.zeros(BITS, np.int64)
+                    for at in range(0, len(mixed), BIT_ROWS):
+                        raw = mixed[at : at + BIT_ROWS].view(np.uint8).reshape(-1, 8)
+                        counts += np.unpackbits(raw, axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    out[k, d] = np.packbits(2 * counts > len(mixed), bitorder="little").view(np.uint64)[0]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(f.view(np.int64)) for f in out)], names=schema.names)
+
+    return rows.select("doc_id", "text").mapInArrow(hashed, schema)
+
+
+def leader_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of near fingerprints that connect the members of a crowded key.
+
+    Each member is linked to the leaders it is near to, and to its neighbours in
+    sorted order; a member near to no leader becomes one. Members are compared with
+    leaders, not all with all.
+    """
+    leaders = np.zeros(0, np.int64)
+    left, right = [], []
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = np.zeros((len(i), len(j)), np.int64)
+        for k in range(fp.shape[1]):
+            apart += np.bitwise_count(fp[i, k][:, None] ^ fp[j, k])
+        return apart <= WIDE_DISTANCE
+
+    for at in range(0, len(fp), 256):
+        slab = np.arange(at, min(len(fp), at + 256))
+        hit = near(slab, leaders)
+        open_ = slab[~hit.any(1)]
+        inside = near(open_, open_)
+        leads, follows = np.zeros(len(open_), bool), np.zeros(len(open_), bool)
+        for i in range(len(open_)):
+            if not follows[i]:
+                leads[i] = True
+                follows |= inside[i]
+        member, leader = np.nonzero(hit)
+        first, later = np.nonzero(np.triu(inside, 1) & leads[:, None])
+        left += [leaders[leader], open_[first]]
+        right += [slab[member], open_[later]]
+        leaders = np.r_[leaders, open_[leads]]
+    for lag in (1, 2):
+        i = np.arange(len(fp) - lag)
+        i = i[np.bitwise_count(fp[i] ^ fp[i + lag]).sum(1, dtype=np.int64) <= WIDE_DISTANCE]
+        left.append(i)
+        right.append(i + lag)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def wide_links(fps: DataFrame) -> DataFrame:
+    """``a, b``: structs of fingerprints that share a one-wildcard segment and differ in few bits of all."""
+    names = [f"f{k}" for k in range(WIDE)]
+    cases = []
+    for k, name in enumerate(names):
+        for first, width in segments(WIDE_SEGMENTS):
+            segment = F.shiftrightunsigned(name, first).bitwiseAND(F.lit((1 << width) - 1))
+            for bit in range(width):
+                rest = segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit)))
+                cases.append(F.shiftleft(rest, 8).bitwiseOR(F.lit(k * BITS + first + bit)))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, WIDE + 1), np.int64)
+
+        def links(rows: np.ndarray) -> pa.RecordBatch:
+            key, fp = rows[:, 0], rows[:, 1:].view(np.uint64)
+            differ = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            lengths = np.diff(np.r_[starts, len(key)])
+            short = np.repeat(lengths <= WIDE_RUN, lengths)
+            left, right = [], []
+            for lag in range(1, min(WIDE_RUN, int(lengths.max()))):
+                at = np.flatnonzero(short[:-lag] & (key[lag:] == key[:-lag]))
+                at = at[differ(at, at + lag) <= WIDE_DISTANCE]
+                left.append(at)
+                right.append(at + lag)
+            for start, n in zip(starts[lengths > WIDE_RUN].tolist(), lengths[lengths > WIDE_RUN].tolist()):
+                x, y = leader_links(fp[start : start + n])
+                left.append(start + x)
+                right.append(start + y)
+            a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
+            sides = [pa.array(rows[side, 1 + k]) for side in (a, b) for k in range(WIDE)]
+            return pa.RecordBatch.from_arrays(sides, names=[f"{s}{k}" for s in "ab" for k in range(WIDE)])
+
+        for batch in batches:
+            rows = np.stack([batch[c].to_numpy() for c in ["key", *names]], axis=1)
+            rows = np.concatenate([held, rows])
+            if not len(rows):
+                continue
+            # The last key may go on in the next batch.
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if cut:
+                yield links(rows[:cut])
+            held = rows[cut:]
+        if len(held):
+            yield links(held)
+
+    keyed = fps.select(F.explode(F.array(*cases)).alias("key"), *names)
+    met = keyed.repartition("key").sortWithinPartitions("key", *names)
+    found = met.mapInArrow(verify, ", ".join(f"{s}{k} long" for s in "ab" for k in range(WIDE)))
+    side = lambda s: F.xxhash64(*[f"{s}{k}" for k in range(WIDE)])
+    return found.select(F.least(side("a"), side("b")).alias("a"), F.greatest(side("a"), side("b")).alias("b")).distinct()
+
+
+def similar_links(texts: DataFrame, links: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The links ``a, b`` whose texts (``node, text``) share enough of their five-word shingles."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            hashes, base = hashed_words(batch["text"].cast(pa.binary()).to_pylist())
+            sets = [np.unique(shingle_hashes(hashes[base[d] : base[d + 1]])).view(np.int64) for d in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (batch[c][i].values.to_numpy() for c in ("of_a", "of_b"))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both >= similar * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    sets = cut_lineage(texts.join(wanted, "node", "left_semi").mapInArrow(shingled, "node long, shingles array<long>"))
+    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """One row per document: ``doc_id, component_id``, the smallest id that links of similar texts reach.
+
+    Texts are lower-cased in A-Z; two are linked if the sets of their five-word
+    shingles share at least ``similar`` of what they have together. Candidates are found
+    by one-wildcard segments of three fingerprints, at the similarity of 0.8
+    with a chance of 0.98 and above it with more, and are then compared exactly. A key with
+    many members gives links to leaders and neighbours, not all pairs.
+
+    Texts with equal fingerprints count as similar; so do those without a word. Null ids are reached but never
+    name a group unless it has no other. An empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(text_or_empty(text_col)).alias("text"))
+    names = [f"f{k}" for k in range(WIDE)]
+    node = F.xxhash64(*names).alias("node")
+    marked = cut_lineage(wide_fingerprints(rows).select("doc_id", *names, node))
+    distinct = cut_lineage(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
+    links = cut_lineage(wide_links(distinct))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    chosen = distinct.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id"))
+    # The text of a node's smallest id; of rows that repeat it, the last in order.
+    texts = rows.join(broadcast_if_small(cut_lineage(chosen)), "doc_id").groupBy("node").agg(F.max("text").alias("text"))
+    found = similar_links(texts, links, similar)
+    reach = cut_lineage(components(found))
+    named = distinct.join(reach, "node").select("node", "component", "least")
+    least = named.groupBy("component").agg(F.min("least").alias("linked_id"))
+    linked = cut_lineage(named.join(least, "component").select("node", "linked_id"))
+    ids = distinct.join(broadcast_if_small(linked), "node", "left").select("node", F.coalesce("linked_id", "least").alias("component_id"))
+    return marked.join(broadcast_if_small(cut_lineage(ids)), "node", "left").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The documents that name their group of similar texts, with all their columns; rows without an id stay.
+
+    Of rows that repeat an id all stay or go together.
+    """
+    found = similar_texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col, similar)
+    drop = cut_lineage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(broadcast_if_small(drop), id_col, "left_anti").select(*docs.columns)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that name their group, with all their columns; rows without an id stay.
 

@@ -1,5 +1,6 @@
 """SimHash groups against all pairs."""
 
+import random
 import re
 
 import numpy as np
@@ -103,3 +104,58 @@ def test_dirty_rows(dirty):
     assert kept.columns == dirty.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 4, 6, 7, 8, 9]
     assert simhash.near_duplicates(dirty.limit(0)).count() == 0
+
+
+def edited(seed, n, changes):
+    """Texts and edits of them: pairs of all similarities from 0.6 on."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    out = []
+    for k in range(n):
+        text = [rng.choice(words) for _ in range(rng.choice([30, 60, 120, 400]))]
+        out.append((2 * k, " ".join(text)))
+        for _ in range(max(1, int(len(text) * changes * rng.random()))):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        out.append((2 * k + 1, " ".join(text)))
+    return out
+
+
+def similarity(a, b):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_texts_are_found(spark, monkeypatch):
+    docs = edited(4, 500, 0.05)
+    docs += [(5000 + i, f"{docs[0][1]} {'x ' * i}") for i in range(60)] + [(6000, ""), (6001, None), (6002, "a b"), (6003, "A  b")]
+    want = {k for k in range(0, 1000, 2) if similarity(docs[k][1], docs[k + 1][1]) >= 0.8}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()}
+    assert len(got) == len(docs)
+    linked = {k for k in range(0, 1000, 2) if got[k + 1] == k}
+    # No pair below the similarity, and nearly all above it.
+    assert linked <= want and len(linked) >= 0.95 * len(want) and 100 < len(want) < 450
+    assert got[6001] == 6000 and got[6003] == 6002
+    assert {got[5000 + i] for i in range(5)} == {0}
+    kept = {r.doc_id for r in simhash.drop_similar(df).collect()}
+    assert kept == {k for k, c in got.items() if k == c}
+
+
+def test_members_of_a_crowded_key_stay_connected():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 2**63, (3, simhash.WIDE)).astype(np.uint64)
+    fp = centres[rng.integers(0, 3, 1500)] ^ (np.uint64(1) << rng.integers(0, 64, (1500, simhash.WIDE)).astype(np.uint64))
+    a, b = simhash.leader_links(fp)
+    assert len(a) < 6 * len(fp) and (np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= simhash.WIDE_DISTANCE).all()
+    group = list(range(len(fp)))
+    root = lambda i: i if group[i] == i else root(group[i])
+    for x, y in zip(a.tolist(), b.tolist()):
+        group[root(max(x, y))] = root(min(x, y))
+    assert len({root(i) for i in range(len(fp))}) == 3
+
+
+def test_similar_texts_on_dirty_rows(dirty):
+    kept = simhash.drop_similar(dirty)
+    assert kept.columns == dirty.columns and kept.where("doc_id is null").count() == 1
+    assert sorted(r.doc_id for r in kept.where("doc_id in (1, 2, 3, 4, 5)").collect()) == [1, 4, 4]
+    assert simhash.similar_texts(dirty.limit(0)).count() == 0
