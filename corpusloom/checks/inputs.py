@@ -60,6 +60,19 @@ def stored_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_files(spark, path)
 
 
+def arrivals(rows: DataFrame, by: str, parts: int = 3) -> list[DataFrame]:
+    """The rows in parts of about the same size, in the order of a column; nulls come first."""
+    shares = [(k + 1) / parts for k in range(parts - 1)]
+    cuts = rows.agg(F.percentile_approx(by, shares)).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    out = []
+    for low, high in zip(bounds, bounds[1:]):
+        after = F.lit(True) if low is None else F.col(by) > F.lit(low)
+        until = F.lit(True) if high is None else F.col(by) <= F.lit(high)
+        out.append(rows.where(F.coalesce(after & until, F.lit(low is None))))
+    return out
+
+
 # ---------------------------------------------------------------- responses
 
 

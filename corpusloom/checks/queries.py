@@ -23,7 +23,7 @@ from corpusloom.session import cut_lineage, scratch_path
 from corpusloom.sources import files, store, web
 from corpusloom.sources.tables import spread, table
 from corpusloom.streaming import ingest as stream
-from corpusloom.streaming import quota
+from corpusloom.streaming import quota, state
 
 PAIR_THRESHOLD = 0.30
 RESOLVE_THRESHOLD = 0.35
@@ -705,14 +705,55 @@ def union_page_chunks(spark, sf):
 
 @register
 def stream_ingest(spark, sf):
-    log, checkpoint = scratch_path(spark, "chunk-log"), scratch_path(spark, "ingest-state")
-    documents = stream.document_stream(spark, sf, "documents.parquet")
-    stream.start_ingest(documents, log, checkpoint, inputs.metadata()).awaitTermination()
+    """Documents arrive in three parts; the stream is stopped and started in between."""
+    inbox, log, checkpoint = (scratch_path(spark, n) for n in ("inbox", "chunk-log", "ingest-state"))
+    for part in inputs.arrivals(_documents(spark, sf), "doc_id"):
+        part.write.mode("append").parquet(inbox)
+        stream.start_ingest(stream.document_stream(spark, inbox), log, checkpoint, inputs.metadata()).awaitTermination()
     return stream.read_current(spark, log).select(
         "chunk_id", "doc_id", "chunk_index", "start_char", "end_char", "text", F.col("metadata")["filename"].alias("filename")
     )
 
 
+def _event_stream(spark, sf, start):
+    """Run a stream over the events, which arrive in three parts, stopping it in between."""
+    state.use_state_store(spark)
+    events = table(spark, sf, "events")
+    inbox = scratch_path(spark, "events")
+    for part in inputs.arrivals(events, "ts"):
+        part.write.mode("append").parquet(inbox)
+        start(spark.readStream.schema(events.schema).parquet(inbox)).awaitTermination()
+
+
+@register
+def stream_latest(spark, sf):
+    log, checkpoint = scratch_path(spark, "latest-log"), scratch_path(spark, "latest-state")
+
+    def start(events):
+        rows = events.select("user_id", "event_id", "ts", "event_type", "value")
+        return state.start_last_writes(rows, "user_id", ["ts", "event_id"], log, checkpoint)
+
+    _event_stream(spark, sf, start)
+    rows = store.latest_version(spark.read.parquet(log), "user_id", ["ts", "event_id"])
+    return rows.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@register
+def stream_quota(spark, sf):
+    target, checkpoint = scratch_path(spark, "admitted"), scratch_path(spark, "quota-state")
+
+    def start(events):
+        rows = state.admitted(events, QUOTA)
+        return (
+            rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+
+    _event_stream(spark, sf, start)
+    rows = spark.read.parquet(target)
+    return rows.select("event_id", "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "over_limit")
+
+
 @register
 def quota_flags(spark, sf):
     return quota.quota_flags(table(spark, sf, "events"), QUOTA)

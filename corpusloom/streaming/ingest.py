@@ -18,7 +18,10 @@ def document_stream(
     schema: str = DOCUMENTS,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Parquet files that arrive in a folder."""
+    """Parquet files that arrive in a folder, or one file, as a stream."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(where):
+        folder, pattern = where.getParent().toString(), where.getName()
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
