@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import markup
 from corpusloom.functions import text as tx
@@ -11,7 +14,10 @@ from corpusloom.functions import urls
 from corpusloom.functions.once import compute_once
 from corpusloom.operators.documents import PAGE_BREAK, join_ordered
 from corpusloom.operators.sizing import broadcast_if_small, join_unique
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, scratch_path
+
+# Buckets of a stored page table, the pages that one is meant for, and the tasks that write it.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_PAGES, BUCKET_TASKS = 16, 4096, 4096, 4
 
 MAX_PAGES = 10
 MAX_DEPTH = 2
@@ -111,9 +117,43 @@ def link_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
     return join_unique(keyed, target, "_key", ["page_id", "pos"], ["_key"]).drop("_key")
 
 
+@dataclass(frozen=True)
+class StoredPages:
+    """Pages ``_key, html, bucket`` in folders by the hash of what a fetch asks for."""
+
+    rows: DataFrame
+    buckets: int
+
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def asked(self, frontier: DataFrame) -> DataFrame:
+        """The pages in the buckets that the ``_key`` of the frontier's rows fall into; no other folder is read."""
+        # At most as many numbers as there are buckets.
+        wanted = [r.bucket for r in frontier.select(self.bucket("_key").alias("bucket")).distinct().collect()]
+        return self.rows.where(F.col("bucket").isin(wanted)).drop("bucket")
+
+
+def store_pages(pages: DataFrame, buckets: int | None = None) -> StoredPages:
+    """Write pages ``url, html`` once, so that a level of a crawl reads those it may ask for only.
+
+    There is a bucket for some thousand pages, up to a fixed number, unless ``buckets`` says
+    how many. A bucket is written by several tasks, as one url may have very many pages.
+    """
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, pages.count() // BUCKET_PAGES))
+    keyed = pages.select(fetch_key(F.col("url")).alias("_key"), "html")
+    bucket = F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")
+    dealt = keyed.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("html"), F.lit(BUCKET_TASKS)))
+    path = scratch_path(pages.sparkSession, "pages")
+    dealt.write.partitionBy("bucket").parquet(path)
+    schema = T.StructType([*keyed.schema.fields, T.StructField("bucket", T.IntegerType())])
+    return StoredPages(pages.sparkSession.read.schema(schema).parquet(path), buckets)
+
+
 def crawl(
     starts: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | StoredPages,
     max_pages: int = MAX_PAGES,
     max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
@@ -126,6 +166,9 @@ def crawl(
     queue. A url is visited once per crawl, a page without text or not in the
     table does not count, and a crawl ends with ``max_pages`` pages.
 
+    Pages are stored by the hash of their url first, or were by :func:`store_pages`;
+    a level reads the buckets that its frontier falls into.
+
     Levels are joined one after the other. Per crawl no more than
     ``max_pages`` pages of a level go on, and the rank limit already trims
     every task's rows before the shuffle, so one huge site is no hot spot.
@@ -139,11 +182,12 @@ def crawl(
     )
     frontier = cut_lineage(start_rows)
     seen = frontier.select("crawl_id", "url")
-    fetched = pages.select(fetch_key(F.col("url")).alias("_key"), "html")
+    stored = pages if isinstance(pages, StoredPages) else store_pages(pages)
     results = None
     for depth in range(max_depth + 1):
-        asked = broadcast_if_small(frontier.withColumn("_key", fetch_key(F.col("url"))), ["url", "_key"])
-        found = compute_once(fetched.join(asked, "_key"), text=tx.main_text(F.coalesce("html", F.lit(""))))
+        wanted = frontier.withColumn("_key", fetch_key(F.col("url")))
+        asked = broadcast_if_small(wanted, ["url", "_key"])
+        found = compute_once(stored.asked(wanted).join(asked, "_key"), text=tx.main_text(F.coalesce("html", F.lit(""))))
         texts = found.where(F.col("text") != "")
         order = Window.partitionBy("crawl_id").orderBy("parent", "pos")
         # Pages with one url share a place in the queue, and so a rank.
