@@ -343,20 +343,13 @@ def similar_links(texts: DataFrame, links: DataFrame, similar: float = SIMILAR)
             sets = [np.unique(shingle_hashes(hashes[base[d] : base[d + 1]])).view(np.int64) for d in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (batch[c][i].values.to_numpy() for c in ("of_a", "of_b"))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both >= similar * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
     wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     sets = cut_lineage(texts.join(wanted, "node", "left_semi").mapInArrow(shingled, "node long, shingles array<long>"))
     pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+    # Row by row in the JVM: a batch of such pairs may be of any size.
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.where(both >= similar * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
