@@ -63,15 +63,23 @@ def memberships(
     return powers.select("doc_id", "n_tokens", F.transform("_e", lambda x: x / total).alias("p"))
 
 
-def _lowered(rate: Column, c: np.ndarray) -> Column:
-    """One projected step: the rate less the document's share of each domain's correction, not below zero."""
+def _lowered(rate: Column, c: np.ndarray, least: Column, most: float | None) -> Column:
+    """One projected step: the rate less the document's share of each domain's correction, put back between its bounds."""
     step = F.lit(0.0)
     for k, v in enumerate(c.tolist()):
         step = step + F.col("p")[k] * v
-    return F.greatest(F.lit(0.0), rate - step)
+    moved = F.greatest(least, rate - step)
+    return moved if most is None else F.least(F.lit(float(most)), moved)
 
 
-def document_rates(members: DataFrame, targets: list[float], start: float = 1.0, passes: int = PASSES) -> DataFrame:
+def document_rates(
+    members: DataFrame,
+    targets: list[float],
+    start: float = 1.0,
+    passes: int = PASSES,
+    anchor: int | None = None,
+    most: float | None = None,
+) -> DataFrame:
     """Add ``rate``: non-negative document rates with which the expected tokens of each domain match ``targets``.
 
     Projected gradient descent on the squared misses of the domains' totals, from
@@ -80,32 +88,51 @@ def document_rates(members: DataFrame, targets: list[float], start: float = 1.0,
     A pass is one aggregate of a few sums over a narrow table; the rates are an
     expression over it, written out every few passes. Passes end when all totals
     are within 0.0001 of their targets, relative to all tokens.
+
+    ``most`` bounds the rates from above, inside the descent. With an ``anchor``, the number of a
+    domain, documents that belong to it by half or more keep the full rate, and
+    the targets of the others follow its total in the proportion of ``targets``. What
+    cannot be met under the bounds stays missed: see :func:`shares`.
     """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
     t = F.col("n_tokens")
     moments = members.agg(F.coalesce(F.sum(t), F.lit(0)), *[F.coalesce(F.sum(t * a * b), F.lit(0.0)) for a in p for b in p]).first()
     mass = float(moments[0])
+    start = start if most is None else min(start, float(most))
     if not mass:
         return members.withColumn("rate", F.lit(start))
     joint = np.array([float(v) for v in moments[1:]]).reshape(k, k) / mass
     inverse = np.linalg.inv(joint + 1e-6 * np.eye(k))
     goal = np.array(targets) / mass
+    least = F.lit(0.0) if anchor is None else F.when(p[anchor] >= 0.5, F.lit(start)).otherwise(F.lit(0.0))
 
     state = members.withColumn("rate", F.lit(start))
     rate: Column = F.col("rate")
     for turn in range(passes):
-        totals = state.agg(*[F.sum(t * rate * a) for a in p]).first()
-        miss = np.array([float(v) for v in totals]) / mass - goal
+        totals = np.array([float(v) for v in state.agg(*[F.sum(t * rate * a) for a in p]).first()]) / mass
+        miss = totals - (goal if anchor is None else goal * (totals[anchor] / goal[anchor]))
         if np.abs(miss).max() < TOLERANCE:
             break
-        rate = _lowered(rate, inverse @ miss)
+        rate = _lowered(rate, inverse @ miss, least, most)
         if turn % CUT_EVERY == CUT_EVERY - 1:
             state = cut_lineage(state.withColumn("rate", rate))
             rate = F.col("rate")
     return state.withColumn("rate", rate)
 
 
+def shares(found: DataFrame, weights: dict[str, float], by: str = "copies") -> DataFrame:
+    """``domain, wanted, share``: the part of the expected tokens that each domain has, by ``copies`` or ``rate``, of the rows of :func:`mixed`."""
+    domains = sorted(weights)
+    tokens = [F.sum(F.col("n_tokens") * F.col(by) * F.col("p")[k]).alias(f"t{k}") for k in range(len(domains))]
+    total = F.sum(F.col("n_tokens") * F.col(by)).alias("total")
+    rows = [
+        F.struct(F.lit(d).alias("domain"), F.lit(weights[d] / sum(weights.values())).alias("wanted"), (F.col(f"t{k}") / F.col("total")).alias("share"))
+        for k, d in enumerate(domains)
+    ]
+    return found.agg(*tokens, total).select(F.inline(F.array(*rows)))
+
+
 def mixed(
     docs: DataFrame,
     labels: DataFrame,
@@ -113,7 +140,6 @@ def mixed(
     id_col: str = "doc_id",
     text_col: str = "text",
     anchor: str | None = None,
-    margin: float = 1.1,
     most_copies: int | None = None,
     seed: int = 29,
     buckets: int = hashed.BUCKETS,
@@ -122,10 +148,9 @@ def mixed(
 
     ``labels`` gives ``doc_id, domain`` for some documents; ``weights`` the wanted
     share of the tokens per domain. The targets sum to all tokens, or, with an
-    ``anchor``, to as many as let that domain keep ``margin`` times its own.
-    A rate's fraction becomes a copy by a hash of the id, the same in every run;
-    ``most_copies`` limits them, and with it the target of any domain but the
-    anchor to what its documents have. Domains of other names are not learned from.
+    ``anchor``, follow what that domain has: its documents stay whole. ``most_copies``
+    bounds the rates. A rate's fraction becomes a copy by a hash of the id, the same
+    in every run. Domains of other names are not learned from.
 
     Null texts count as empty and have the rate of an average text. Repeated rows
     are treated alike; an id with several domains has the first in order of name.
@@ -138,23 +163,14 @@ def mixed(
     known = cut_lineage(known.groupBy("doc_id").agg(F.min("domain").alias("domain")))
     members = cut_lineage(memberships(rows, known, domains, buckets))
     own = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
-    total = float(sum(own))
-    if anchor is not None and own[domains.index(anchor)]:
-        i = domains.index(anchor)
-        total = margin * float(own[i]) / share[i]
+    held = domains.index(anchor) if anchor is not None and own[domains.index(anchor)] else None
     if known.isEmpty():
         rated = members.withColumn("rate", F.lit(1.0))
     else:
-        targets = share * total
-        if most_copies is not None:
-            # What a domain cannot give is not asked of it; the anchor's margin stays.
-            most = most_copies * np.array([float(v) for v in own])
-            targets = np.where(np.array(domains) == anchor, targets, np.minimum(targets, most))
-        rated = document_rates(members, targets.tolist())
+        total = float(sum(own)) if held is None else float(own[held]) / share[held]
+        rated = document_rates(members, (share * total).tolist(), anchor=held, most=most_copies)
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    if most_copies is not None:
-        copies = F.least(copies, F.lit(most_copies).cast("long"))
     return rated.withColumn("copies", copies)
 
 

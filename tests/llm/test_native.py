@@ -114,6 +114,18 @@ def test_rates_meet_the_targets(spark):
         assert (rate >= 0).all() and np.abs((n * rate) @ p - goal).max() < 2e-4 * n.sum()
 
 
+def test_rates_stay_within_their_bounds(spark):
+    rng = np.random.default_rng(3)
+    p = np.vstack([rng.dirichlet([9, 0.5, 0.5], 300), rng.dirichlet([0.3, 2, 1], 300)])
+    n = rng.integers(1, 900, 600)
+    members = spark.createDataFrame([(i, int(a), b.tolist()) for i, (a, b) in enumerate(zip(n, p))], "doc_id long, n_tokens long, p array<double>")
+    got = mixing.document_rates(members, [80, 13, 7], anchor=0, most=1).orderBy("doc_id").collect()
+    rate = np.array([r.rate for r in got])
+    assert rate.min() >= 0 and rate.max() <= 1 and (rate[p[:, 0] >= 0.5] == 1).all()
+    totals = (n * rate) @ p
+    assert totals / totals.sum() == pytest.approx([0.8, 0.13, 0.07], abs=0.002)
+
+
 def test_op1_matches_its_weights(spark):
     folder = "/root/testdata/sf0.01"
     rows = queries.op1_mixing(spark, folder).collect()
@@ -121,6 +133,11 @@ def test_op1_matches_its_weights(spark):
     total = sum(r.n_tokens * r.rate for r in rows)
     for name, share in queries.MIXTURE.items():
         assert sum(r.n_tokens * r.rate * r[f"p_{name}"] for r in rows) / total == pytest.approx(share, abs=0.002)
+    # What is given out has the shares too, but for the chance of single documents.
+    found = mixing.mixed(spark.read.parquet(f"{folder}/documents.parquet"), queries.domain_labels(spark.read.parquet(f"{folder}/labels.parquet")), **queries.MIX)
+    for by, apart in (("rate", 0.002), ("copies", 0.012)):
+        for r in mixing.shares(found, queries.MIXTURE, by).collect():
+            assert r.share == pytest.approx(r.wanted, abs=apart)
     known = {r.doc_id: r.domain for r in queries.domain_labels(spark.read.parquet(f"{folder}/labels.parquet")).collect()}
     clean = [r for r in rows if known.get(r.doc_id) == "clean"]
     assert sum(r.copies for r in clean) >= 0.97 * len(clean)
