@@ -773,6 +773,7 @@ def oracle_sql() -> dict[str, str]:
             "blocks",
         ),
     }
+    out["chunk_merge"] = out["chunk_upsert"]
     out["stream_latest"], out["stream_quota"] = out["latest_version"], out["quota_flags"]
     for name in ("similarity_join", "topk_chunks", "nearest_entity", "resolve_entities"):
         out[f"{name}_tiled"] = out[name]

@@ -20,7 +20,7 @@ from corpusloom.operators import embedding as emb
 from corpusloom.operators import extraction, graph, resolution, similarity
 from corpusloom.plans import ingest, retrieve
 from corpusloom.session import cut_lineage, scratch_path
-from corpusloom.sources import files, store, web
+from corpusloom.sources import buckets, files, store, web
 from corpusloom.sources.tables import spread, table
 from corpusloom.streaming import ingest as stream
 from corpusloom.streaming import quota, state
@@ -141,6 +141,20 @@ def chunk_upsert(spark, sf):
     )
 
 
+@register
+def chunk_merge(spark, sf):
+    """The same two arrivals, merged into a table of buckets one after the other."""
+    path = scratch_path(spark, "chunk-table")
+    log = _log(spark, sf)
+    for batch in (0, 1):
+        buckets.merge(log.where(F.col("batch_id") == batch), path, "chunk_id", ingest.ARRIVAL)
+    rows = buckets.current(spark, path, log.schema)
+    return rows.select(
+        "chunk_id", "doc_id", "chunk_index", "start_char", "end_char", "batch_id", "text",
+        F.col("metadata")["filename"].alias("filename"), F.col("metadata")["chunk_index"].alias("meta_index"),
+    )
+
+
 def _entity_versions(spark, sf):
     """Suppliers written once, and again in the order of their lines."""
     first = inputs.entities(spark, sf).withColumn("version", F.lit(0).cast("long"))
