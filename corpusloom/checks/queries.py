@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.checks import inputs
 from corpusloom.functions import text as tx
 from corpusloom.functions import urls
+from corpusloom.operators import cells
 from corpusloom.operators import documents as docs
 from corpusloom.operators import embedding as emb
 from corpusloom.operators import extraction, graph, resolution, similarity
@@ -29,6 +30,7 @@ PAIR_THRESHOLD = 0.30
 RESOLVE_THRESHOLD = 0.35
 GRAPH_THRESHOLD = 0.92
 ENTRY_THRESHOLD = 0.20
+CELL_PROBES = 12
 CRAWL_DEPTH = 2
 CRAWL_PAGES = 100
 CRAWL_LIMIT = 5
@@ -336,6 +338,17 @@ def topk_entities(spark, sf):
     return _centre_hits(spark, sf, 3, PAIR_THRESHOLD).select("query_id", "rank", "vec_id", _score())
 
 
+@register
+def topk_in_cells(spark, sf):
+    """Every vector's nearest three by cells: approximate, and so without SQL."""
+    corpus = table(spark, sf, "embeddings")
+    centres = cells.train_cells(corpus, id_="vec_id")
+    lists = cut_lineage(cells.cell_lists(corpus, centres, id_="vec_id"))
+    asked = corpus.select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = cells.topk_in_cells(asked, lists, centres, 3, CELL_PROBES, corpus_id="vec_id")
+    return rows.select("query_id", "rank", "vec_id", _score())
+
+
 @register
 def nearest_entity_tiled(spark, sf):
     tiles = similarity.Limits(broadcast_rows=0, tile_rows=128, pivots=8)
