@@ -535,9 +535,9 @@ def oracle_sql() -> dict[str, str]:
             "meta",
         ),
         "entity_upsert": sql(
-            """SELECT * FROM (SELECT *, 0 AS version FROM ents UNION ALL SELECT 'supplier/' || l_suppkey, 'Supplier ' || l_suppkey, 'supplier',
-              'last sold part ' || l_partkey, (l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey FROM lineitem)
-            QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY version DESC) = 1""",
+            """SELECT * FROM (SELECT *, 0 AS l_orderkey, 0 AS l_linenumber, 0 AS l_partkey FROM ents UNION ALL SELECT 'supplier/' || l_suppkey,
+              'Supplier ' || l_suppkey, 'supplier', 'last sold part ' || l_partkey, l_orderkey, l_linenumber, l_partkey FROM lineitem)
+            QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) = 1""",
             "ents",
         ),
         "entity_lookup": sql(
@@ -724,8 +724,9 @@ def oracle_sql() -> dict[str, str]:
             WHERE u.role = 'user' GROUP BY u.conv_id"""
         ),
         "duplicate_report": sql(
-            "SELECT chunk_id, count(*) AS copies, min(doc_id * 1048576 + chunk_index) AS first_seen, max(doc_id * 1048576 + chunk_index) AS last_seen "
-            "FROM chunk_id_rows GROUP BY chunk_id",
+            """SELECT chunk_id, count(*) AS copies, min(doc_id) AS first_doc_id, max(doc_id) AS last_doc_id,
+              arg_min(chunk_index, (doc_id, chunk_index)) AS first_chunk_index, arg_max(chunk_index, (doc_id, chunk_index)) AS last_chunk_index
+            FROM chunk_id_rows GROUP BY chunk_id""",
             "chunk_id_rows",
         ),
         "latest_version": sql(

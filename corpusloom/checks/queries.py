@@ -31,6 +31,8 @@ RESOLVE_THRESHOLD = 0.35
 GRAPH_THRESHOLD = 0.92
 ENTRY_THRESHOLD = 0.20
 CELL_PROBES = 12
+# The order in which lines of orders arrive.
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey"]
 CRAWL_DEPTH = 2
 CRAWL_PAGES = 100
 CRAWL_LIMIT = 5
@@ -159,7 +161,8 @@ def chunk_merge(spark, sf):
 
 def _entity_versions(spark, sf):
     """Suppliers written once, and again in the order of their lines."""
-    first = inputs.entities(spark, sf).withColumn("version", F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+    first = inputs.entities(spark, sf).select("*", *[none.alias(c) for c in LINE_ORDER])
     again = (
         table(spark, sf, "lineitem")
         .select(
@@ -167,7 +170,7 @@ def _entity_versions(spark, sf):
             F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("name"),
             F.lit("supplier").alias("type"),
             F.concat(F.lit("last sold part "), F.col("l_partkey").cast("string")).alias("description"),
-            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * (1 << 22) + F.col("l_partkey")).alias("version"),
+            *[F.col(c).cast("long").alias(c) for c in LINE_ORDER],
         )
     )
     return first, again
@@ -176,7 +179,7 @@ def _entity_versions(spark, sf):
 @register
 def entity_upsert(spark, sf):
     first, again = _entity_versions(spark, sf)
-    return store.upsert(first, again, "entity_id", ["version"])
+    return store.upsert(first, again, "entity_id", LINE_ORDER)
 
 
 @register
@@ -650,7 +653,7 @@ def token_usage(spark, sf):
 @register
 def duplicate_report(spark, sf):
     rows = ingest.identified(_chunks(spark, sf))
-    return docs.duplicate_report(rows, F.col("doc_id") * F.lit(1 << 20) + F.col("chunk_index"))
+    return docs.duplicate_report(rows, ["doc_id", "chunk_index"])
 
 
 @register

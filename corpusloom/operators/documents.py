@@ -114,11 +114,11 @@ def ingest_summary(stats: DataFrame, group: str) -> DataFrame:
     )
 
 
-def duplicate_report(chunk_rows: DataFrame, order: Column) -> DataFrame:
-    """Copies per content id, with the first and last arrival."""
-    return chunk_rows.groupBy("chunk_id").agg(
-        F.count("*").alias("copies"), F.min(order).alias("first_seen"), F.max(order).alias("last_seen")
-    )
+def duplicate_report(chunk_rows: DataFrame, order: list[str]) -> DataFrame:
+    """Copies per content id, with the first and last arrival as ``first_`` and ``last_`` of the order columns."""
+    place = F.struct(*order)
+    seen = chunk_rows.groupBy("chunk_id").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last"))
+    return seen.select("chunk_id", "copies", *[F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in ("first", "last") for c in order])
 
 
 def chunk_offsets(chunk_rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
