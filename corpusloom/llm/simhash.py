@@ -201,14 +201,14 @@ def near_duplicates(
 WIDE_SHINGLE = 5
 SIMILAR = 0.8
 # Fingerprints of a text, their segments, and the most bits by which similar texts differ. At a similarity of 0.8
-# a bit differs with a chance of 0.152: of 192 bits 29 do, give or take five; one of the twelve segments of 16 bits
-# differs in one bit at most with a chance of 0.98. Texts that have nothing in common differ in 96, give or take seven.
-WIDE = 3
+# a bit differs with a chance of 0.152: of 128 bits 19 do, give or take four; one of the eight segments of 16 bits
+# differs in one bit at most with a chance of 0.925 (0.97 at 0.85). Texts with nothing in common differ in 64, give or take six.
+WIDE = 2
 WIDE_SEGMENTS = 6
-WIDE_DISTANCE = 42
+WIDE_DISTANCE = 32
 # Members of a key that are compared pair by pair; of more, spanning links are given.
 WIDE_RUN = 32
-_MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+_MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 
 
 def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(rows: DataFrame) -> DataFrame:
-    """``doc_id, f0, f1, f2``: three fingerprints of each text of ``doc_id, text``, zero for one without a word."""
+    """``doc_id, f0, f1``: two fingerprints of each text of ``doc_id, text``, zero for one without a word."""
     schema = T.StructType([rows.schema["doc_id"], *(T.StructField(f"f{k}", T.LongType()) for k in range(WIDE))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +237,8 @@ def wide_fingerprints(rows: DataFrame) -> DataFrame:
                         counts += np.unpackbits(raw, axis=1, bitorder="little").sum(0, dtype=np.int64)
                     out[k, d] = np.packbits(2 * counts > len(mixed), bitorder="little").view(np.uint64)[0]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(f.view(np.int64)) for f in out)], names=schema.names)
+        # Workers live on between stages.
+        pa.default_memory_pool().release_unused()
 
     return rows.select("doc_id", "text").mapInArrow(hashed, schema)
 
@@ -326,6 +328,7 @@ def wide_links(fps: DataFrame) -> DataFrame:
             held = rows[cut:]
         if len(held):
             yield links(held)
+        pa.default_memory_pool().release_unused()
 
     keyed = fps.select(F.explode(F.array(*cases)).alias("key"), *names)
     met = keyed.repartition("key").sortWithinPartitions("key", *names)
@@ -342,6 +345,7 @@ def similar_links(texts: DataFrame, links: DataFrame, similar: float = SIMILAR)
             hashes, base = hashed_words(batch["text"].cast(pa.binary()).to_pylist())
             sets = [np.unique(shingle_hashes(hashes[base[d] : base[d + 1]])).view(np.int64) for d in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        pa.default_memory_pool().release_unused()
 
     wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     sets = cut_lineage(texts.join(wanted, "node", "left_semi").mapInArrow(shingled, "node long, shingles array<long>"))
@@ -357,8 +361,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts are lower-cased in A-Z; two are linked if the sets of their five-word
     shingles share at least ``similar`` of what they have together. Candidates are found
-    by one-wildcard segments of three fingerprints, at the similarity of 0.8
-    with a chance of 0.98 and above it with more, and are then compared exactly. A key with
+    by one-wildcard segments of two fingerprints, at the similarity of 0.8
+    with a chance of 0.925 and above it with more, and are then compared exactly. A key with
     many members gives links to leaders and neighbours, not all pairs.
 
     Texts with equal fingerprints count as similar; so do those without a word. Null ids are reached but never
