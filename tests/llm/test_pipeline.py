@@ -71,7 +71,7 @@ def test_near_keeps_one_of_a_group(outputs):
     for a, b in pairs:
         x, y = sorted((root(a), root(b)))
         group[y] = x
-    assert kept == {k for k in sets if root(k) == k} and len(pairs) > 3
+    assert kept == {k for k in sets if root(k) == k} and len(pairs) > 1
 
 
 def test_mixing_follows_the_copies(spark, folder, outputs):
