@@ -248,7 +248,7 @@ def leader_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Each member is linked to the leaders it is near to, and to its neighbours in
     sorted order; a member near to no leader becomes one. Members are compared with
-    leaders, not all with all.
+    leaders, not all with all. The first of a pair is the earlier one.
     """
     leaders = np.zeros(0, np.int64)
     left, right = [], []
@@ -282,27 +282,33 @@ def leader_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def wide_links(fps: DataFrame) -> DataFrame:
-    """``a, b``: structs of fingerprints that share a one-wildcard segment and differ in few bits of all."""
+def wide_links(fps: DataFrame, wild: bool = True) -> DataFrame:
+    """``a, b, apart``: nodes of ``node, party, f0, f1`` that share a segment and differ in few bits of all.
+
+    With ``wild``, a segment may differ in one bit. Nodes of one party are not
+    linked. ``a`` has the smaller fingerprints; pairs may repeat.
+    """
     names = [f"f{k}" for k in range(WIDE)]
     cases = []
     for k, name in enumerate(names):
         for first, width in segments(WIDE_SEGMENTS):
             segment = F.shiftrightunsigned(name, first).bitwiseAND(F.lit((1 << width) - 1))
-            for bit in range(width):
-                rest = segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit)))
+            for bit in range(width) if wild else [0]:
+                rest = segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit))) if wild else segment
                 cases.append(F.shiftleft(rest, 8).bitwiseOR(F.lit(k * BITS + first + bit)))
+    columns = ["key", *names, "node", "party"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, WIDE + 1), np.int64)
+        held = np.zeros((0, len(columns)), np.int64)
 
         def links(rows: np.ndarray) -> pa.RecordBatch:
-            key, fp = rows[:, 0], rows[:, 1:].view(np.uint64)
+            key, node, party = rows[:, 0], rows[:, -2], rows[:, -1]
+            fp = rows[:, 1:-2].view(np.uint64)
             differ = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             lengths = np.diff(np.r_[starts, len(key)])
             short = np.repeat(lengths <= WIDE_RUN, lengths)
-            left, right = [], []
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lag in range(1, min(WIDE_RUN, int(lengths.max()))):
                 at = np.flatnonzero(short[:-lag] & (key[lag:] == key[:-lag]))
                 at = at[differ(at, at + lag) <= WIDE_DISTANCE]
@@ -312,12 +318,12 @@ def wide_links(fps: DataFrame) -> DataFrame:
                 x, y = leader_links(fp[start : start + n])
                 left.append(start + x)
                 right.append(start + y)
-            a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
-            sides = [pa.array(rows[side, 1 + k]) for side in (a, b) for k in range(WIDE)]
-            return pa.RecordBatch.from_arrays(sides, names=[f"{s}{k}" for s in "ab" for k in range(WIDE)])
+            a, b = np.concatenate(left), np.concatenate(right)
+            a, b = a[party[a] != party[b]], b[party[a] != party[b]]
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(differ(a, b))], names=["a", "b", "apart"])
 
         for batch in batches:
-            rows = np.stack([batch[c].to_numpy() for c in ["key", *names]], axis=1)
+            rows = np.stack([batch[c].to_numpy() for c in columns], axis=1)
             rows = np.concatenate([held, rows])
             if not len(rows):
                 continue
@@ -330,11 +336,15 @@ def wide_links(fps: DataFrame) -> DataFrame:
             yield links(held)
         pa.default_memory_pool().release_unused()
 
-    keyed = fps.select(F.explode(F.array(*cases)).alias("key"), *names)
+    keyed = fps.select(F.explode(F.array(*cases)).alias("key"), *columns[1:])
     met = keyed.repartition("key").sortWithinPartitions("key", *names)
-    found = met.mapInArrow(verify, ", ".join(f"{s}{k} long" for s in "ab" for k in range(WIDE)))
-    side = lambda s: F.xxhash64(*[f"{s}{k}" for k in range(WIDE)])
-    return found.select(F.least(side("a"), side("b")).alias("a"), F.greatest(side("a"), side("b")).alias("b")).distinct()
+    return met.mapInArrow(verify, "a long, b long, apart long")
+
+
+def closest_links(links: DataFrame) -> DataFrame:
+    """``a, b``: of each node's links to earlier nodes the one that differs least, and the one to the first."""
+    kept = links.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("least"), F.min("a").alias("first"))
+    return kept.select(F.explode(F.array_distinct(F.array("least.a", "first"))).alias("a"), "b")
 
 
 def similar_links(texts: DataFrame, links: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -356,6 +366,13 @@ def similar_links(texts: DataFrame, links: DataFrame, similar: float = SIMILAR)
     return pairs.where(both >= similar * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
+def _texts_of(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, text`` of the linked nodes: the text of a node's smallest id; of rows that repeat it, the last in order."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    chosen = distinct.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id"))
+    return rows.join(broadcast_if_small(cut_lineage(chosen)), "doc_id").groupBy("node").agg(F.max("text").alias("text"))
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per document: ``doc_id, component_id``, the smallest id that links of similar texts reach.
 
@@ -363,7 +380,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingles share at least ``similar`` of what they have together. Candidates are found
     by one-wildcard segments of two fingerprints, at the similarity of 0.8
     with a chance of 0.925 and above it with more, and are then compared exactly. A key with
-    many members gives links to leaders and neighbours, not all pairs.
+    many members gives links to leaders and neighbours, not all pairs. Links within a
+    group that is already proven by other links are left out, as they cannot change it.
 
     Texts with equal fingerprints count as similar; so do those without a word. Null ids are reached but never
     name a group unless it has no other. An empty table gives no rows.
@@ -373,13 +391,14 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     node = F.xxhash64(*names).alias("node")
     marked = cut_lineage(wide_fingerprints(rows).select("doc_id", *names, node))
     distinct = cut_lineage(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
-    links = cut_lineage(wide_links(distinct))
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    chosen = distinct.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id"))
-    # The text of a node's smallest id; of rows that repeat it, the last in order.
-    texts = rows.join(broadcast_if_small(cut_lineage(chosen)), "doc_id").groupBy("node").agg(F.max("text").alias("text"))
-    found = similar_links(texts, links, similar)
-    reach = cut_lineage(components(found))
+    # Large groups are settled first by one or two links of each text; the others need not be compared then.
+    links = cut_lineage(closest_links(wide_links(distinct.withColumn("party", F.col("node")), wild=False)))
+    settled = cut_lineage(similar_links(_texts_of(rows, distinct, links), links, similar))
+    parties = cut_lineage(components(settled).withColumnRenamed("component", "party"))
+    apart = distinct.join(broadcast_if_small(parties), "node", "left").withColumn("party", F.coalesce("party", "node"))
+    links = cut_lineage(wide_links(apart).select("a", "b").distinct())
+    found = similar_links(_texts_of(rows, distinct, links), links, similar)
+    reach = cut_lineage(components(settled.unionByName(found)))
     named = distinct.join(reach, "node").select("node", "component", "least")
     least = named.groupBy("component").agg(F.min("least").alias("linked_id"))
     linked = cut_lineage(named.join(least, "component").select("node", "linked_id"))
