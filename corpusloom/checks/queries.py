@@ -18,7 +18,7 @@ from corpusloom.functions import urls
 from corpusloom.operators import cells
 from corpusloom.operators import documents as docs
 from corpusloom.operators import embedding as emb
-from corpusloom.operators import extraction, graph, resolution, similarity
+from corpusloom.operators import extraction, fitted, graph, resolution, similarity
 from corpusloom.plans import ingest, retrieve
 from corpusloom.session import cut_lineage, scratch_path
 from corpusloom.sources import buckets, files, store, web
@@ -248,6 +248,14 @@ def embed_text(spark, sf):
     return rows.select("doc_id", "chunk_index", _vector_text("embedding").alias("embedding"))
 
 
+@register
+def embed_text_fitted(spark, sf):
+    """Chunks embedded by axes fitted on all of them: iterative, and so without SQL."""
+    chunks = cut_lineage(_chunks(spark, sf).select("doc_id", "chunk_index", "text"))
+    rows = emb.embed_text(chunks, loader=fitted.embedder(fitted.fit(chunks, dim=64)))
+    return rows.select("doc_id", "chunk_index", _vector_text("embedding").alias("embedding"))
+
+
 @register
 def entity_text(spark, sf):
     return inputs.entities(spark, sf).select(

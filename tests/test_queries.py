@@ -41,8 +41,9 @@ def test_query_equals_sql(spark, db, folder, name):
     assert ordered(got) == ordered(want)
 
 
-# Compared with plain Python in test_markup.py, as SQL has no fold over tags; measured for recall in test_cells.py.
-WITHOUT_SQL = {"page_main_text", "page_markdown", "topk_in_cells"}
+# Compared with plain Python in test_markup.py, as SQL has no fold over tags; measured for recall in test_cells.py;
+# compared with a dense factorisation in test_fitted.py.
+WITHOUT_SQL = {"page_main_text", "page_markdown", "topk_in_cells", "embed_text_fitted"}
 
 
 def test_every_query_has_its_sql():
