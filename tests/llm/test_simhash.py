@@ -8,7 +8,6 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from corpusloom.llm import components, queries, simhash
 
@@ -155,37 +154,6 @@ def test_members_of_a_crowded_key_stay_connected():
     assert len({root(i) for i in range(len(fp))}) == 3
 
 
-def test_a_large_group_is_settled_by_few_links(spark, monkeypatch):
-    rng = random.Random(9)
-    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
-    docs = []
-    for i in range(700):
-        text = list(base)
-        text[rng.randrange(300)] = f"v{i}"
-        docs.append((i, " ".join(text)))
-    compared = []
-    plain = simhash.similar_links
-
-    def counted(texts, links, similar):
-        compared.append(links.count())
-        return plain(texts, links, similar)
-
-    monkeypatch.setattr(simhash, "similar_links", counted)
-    got = simhash.similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.component_id for r in got} == {0} and len(got) == 700
-    # Each text is compared twice at most, and what this connects is not compared again.
-    assert len(compared) == 2 and compared[0] <= 1400 and compared[1] <= 70
-
-
-def test_links_within_a_party_are_left_out(spark):
-    rng = np.random.default_rng(3)
-    fp = rng.integers(0, 2**63, (1, 2)) ^ (1 << rng.integers(0, 63, (400, 2)))
-    rows = spark.createDataFrame([(i, i % 2, *map(int, f)) for i, f in enumerate(fp)], "node long, party long, f0 long, f1 long")
-    links = simhash.wide_links(rows).collect()
-    assert links and all((r.a + r.b) % 2 and r.apart <= simhash.WIDE_DISTANCE for r in links)
-    assert simhash.wide_links(rows.withColumn("party", F.lit(0).cast("long"))).count() == 0
-
-
 def test_similar_texts_on_dirty_rows(dirty):
     kept = simhash.drop_similar(dirty)
     assert kept.columns == dirty.columns and kept.where("doc_id is null").count() == 1
