@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -17,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from corpusloom.sources import store
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Groups of clients whose events are judged together.
+BUCKETS = 1024
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -70,44 +73,85 @@ def start_last_writes(rows: DataFrame, key: str, version: list[str], log_path: s
     )
 
 
-def admitted(events: DataFrame, limit: int, lateness: str = "1 minute", client: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
+def _filled(rows: DataFrame, name: str) -> Column:
+    """The column with a value in place of nulls, so that whole numbers stay whole in pandas."""
+    kind = rows.schema[name].dataType
+    return F.coalesce(F.col(name), F.lit(0).cast(kind)) if isinstance(kind, (T.NumericType, T.StringType)) else F.col(name)
+
+
+def admitted(
+    events: DataFrame, limit: int, lateness: str = "1 minute", client: str = "user_id", ts: str = "ts", event: str = "event_id", buckets: int = BUCKETS
+) -> DataFrame:
     """``over_limit`` for every event of a stream, as it comes: the first ``limit`` of a client's minute are admitted.
 
-    Events of one batch are taken in the order of their time, and those of one client
-    are held together; a late event is judged by what came before it. The counts of a minute are forgotten when the
+    Events of one batch are taken in the order of their time; a late event is judged by what came before it.
+    Clients are dealt out to ``buckets`` by a hash, fixed for the life of a checkpoint. The events of one bucket in one
+    batch are judged together, and the counts of its minutes are one value of the state, so calls to the
+    state grow with the buckets and not with the events. The counts of a minute are forgotten when the
     watermark has passed it. The time column is read as an instant and is not null.
     """
-    rows = events.select(event, client, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, lateness)
-    schema = T.StructType([rows.schema[event], rows.schema[client], T.StructField("window_start", T.TimestampType()), T.StructField("over_limit", T.BooleanType())])
+    given = events.select(event, client, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, lateness)
+    rows = given.select(
+        _filled(given, event).alias("_event"),
+        F.col(event).isNull().alias("_no_event"),
+        _filled(given, client).alias("_client"),
+        F.col(client).isNull().alias("_no_client"),
+        (F.floor(F.unix_seconds(ts) / 60) * 60).cast("long").alias("_minute"),
+        F.col(ts).alias("_ts"),
+        F.pmod(F.xxhash64(client), F.lit(buckets)).cast("int").alias("_bucket"),
+    )
+    columns, names = rows.columns, ["_event", "_no_event", "_client", "_no_client", "_minute"]
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("over_limit", T.BooleanType())])
+    group = ["_client", "_no_client", "_minute"]
 
     class Quota(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.counts = handle.getMapState("counts", "minute long", "n long")
+            self.counts = handle.getValueState("counts", "held binary")
+
+        def held(self) -> pd.DataFrame | None:
+            return pa.ipc.open_stream(self.counts.get()[0]).read_pandas() if self.counts.exists() else None
+
+        def keep(self, held: pd.DataFrame, timerValues) -> None:
+            """Store what later batches may ask for: events up to the watermark do not come any more."""
+            held = held[(held["_minute"] + 60) * 1000 > timerValues.getCurrentWatermarkInMs()]
+            if not len(held):
+                self.counts.clear()
+                return
+            table, sink = pa.Table.from_pandas(held, preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            self.counts.update((sink.getvalue().to_pybytes(),))
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            found = pd.concat(list(rows)).sort_values([ts, event])
-            starts = found[ts].dt.floor("min")
-            over, held = [], {}
-            for minute in [int(t.timestamp()) for t in starts]:
-                if minute not in held:
-                    old = (minute,)
-                    held[minute] = self.counts.getValue(old)[0] if self.counts.containsKey(old) else 0
-                    self.handle.registerTimer((minute + 60) * 1000)
-                held[minute] += 1
-                over.append(held[minute] > limit)
-            for minute, n in held.items():
-                self.counts.updateValue((minute,), (n,))
-            yield pd.DataFrame({event: found[event], client: found[client], "window_start": starts, "over_limit": over})
+            # By place: the planner may name a column as before.
+            found = pd.concat(list(rows), ignore_index=True).set_axis(columns, axis=1)
+            found = found.sort_values(["_ts", "_no_event", "_event"], ignore_index=True)
+            nth = found.groupby(group, sort=False, dropna=False).cumcount() + 1
+            sizes = found.groupby(group, sort=False, dropna=False).size().rename("n").reset_index()
+            old = self.held()
+            if old is not None:
+                before = found[group].merge(old, on=group, how="left")["n"].fillna(0)
+                nth += before.to_numpy(dtype="int64")
+                sizes = pd.concat([old, sizes]).groupby(group, sort=False, dropna=False)["n"].sum().reset_index()
+            self.keep(sizes, timerValues)
+            self.handle.registerTimer((int(sizes["_minute"].max()) + 60) * 1000)
+            yield found[names].assign(over_limit=nth > limit)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            minute = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 60
-            if self.counts.containsKey((minute,)):
-                self.counts.removeKey((minute,))
-            yield pd.DataFrame(columns=[f.name for f in schema.fields])
+            old = self.held()
+            if old is not None:
+                self.keep(old, timerValues)
+            yield pd.DataFrame(columns=schema.names)
 
         def close(self) -> None:
             pass
 
-    grouped = rows.groupBy(client)
-    return grouped.transformWithStateInPandas(statefulProcessor=Quota(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    grouped = rows.groupBy("_bucket")
+    judged = grouped.transformWithStateInPandas(statefulProcessor=Quota(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return judged.select(
+        F.when(~F.col("_no_event"), F.col("_event")).alias(event),
+        F.when(~F.col("_no_client"), F.col("_client")).alias(client),
+        F.timestamp_seconds("_minute").alias("window_start"),
+        "over_limit",
+    )

@@ -88,3 +88,23 @@ def test_arrivals_are_the_whole_table(spark):
     assert sorted(x or 0 for p in parts for x in p) == [0, 1, 1, 2, 5, 9] and len(parts) == 3
     assert all(max(x or 0 for x in a) < min(b) for a, b in zip(parts, parts[1:]) if b)
     assert sum(p.count() for p in inputs.arrivals(df.limit(0), "n")) == 0
+
+
+def test_quota_calls_the_state_per_bucket(spark, tmp_path, inbox):
+    """Many clients, some without an id, ids beyond 2^53 and a stop: judged in few buckets as one after the other."""
+    big, target, checkpoint = 1 << 60, str(tmp_path / "out"), str(tmp_path / "state")
+    rows = [(big + i if i % 9 else None, None if i % 7 == 0 else big + i % 3, f"2024-01-01 00:00:{i:02d}", "") for i in range(40)]
+    for part in (rows[:25], rows[25:]):
+        query = (
+            state.admitted(inbox(part), 3, buckets=2).writeStream.format("parquet").option("path", target)
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        # Keys that were updated, over the batches of one start: not one per client and minute.
+        assert all(p["stateOperators"][0]["numRowsUpdated"] <= 2 * 2 for p in query.recentProgress)
+    seen, want = {}, []
+    for event, client, _, _ in rows:
+        seen[client] = seen.get(client, 0) + 1
+        want.append((event, client, seen[client] > 3))
+    got = [(r.event_id, r.user_id, r.over_limit) for r in spark.read.parquet(target).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
