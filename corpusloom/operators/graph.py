@@ -136,7 +136,9 @@ def one_hop(relations: DataFrame, entries: DataFrame, entities: DataFrame) -> Da
     ``entries`` carries ``source_id``; edges to targets not stored are skipped.
     """
     targets = entities.select(F.col("entity_id").alias("target_id"), F.col("name").alias("target_name"))
-    return join_unique(relations.join(entries, "source_id"), targets, "target_id", ["source_id"], ["target_id", "target_name"])
+    texts = [c for c, kind in entries.dtypes if kind == "string"]
+    near = relations.join(broadcast_if_small(entries, texts), "source_id")
+    return join_unique(near, targets, "target_id", ["source_id"], ["target_id", "target_name"])
 
 
 # ------------------------------------------------------------------ context

@@ -1,4 +1,8 @@
-"""Joins for hot keys: broadcast what was measured to fit, else salt."""
+"""Joins for hot keys: broadcast what was measured to fit, else salt.
+
+What does not fit must not be broadcast by Spark either, which guesses a frame's
+size from its compressed files: such joins are asked to merge.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +19,17 @@ def broadcast_if_small(df: DataFrame, texts: list[str] = [], limit: int = BROADC
     """Mark a materialised frame of narrow rows for broadcast if it fits.
 
     ``texts`` names the columns of unbounded length, which are measured.
-    Beyond the limit the frame is returned as is and the join shuffles.
+    Beyond the limit the frame is marked for a merge join, which shuffles.
     """
+    return F.broadcast(df) if fits(df, texts, limit) else df.hint("merge")
+
+
+def fits(df: DataFrame, texts: list[str] = [], limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame of narrow rows was measured to be within the limit."""
     width = F.lit(ROW_OVERHEAD)
     for c in texts:
         width = width + F.coalesce(F.octet_length(c), F.lit(0))
-    size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= limit else df
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] <= limit
 
 
 def join_unique(
@@ -39,9 +47,8 @@ def join_unique(
     fit a broadcast, it is repeated per salt, and the rows of a hot key are
     dealt out to that many tasks by the hash of ``salt_by``.
     """
-    small = broadcast_if_small(unique, texts, limit)
-    if small is not unique:
-        return rows.join(small, key)
+    if fits(unique, texts, limit):
+        return rows.join(F.broadcast(unique), key)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     repeated = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+    return salted.join(repeated.hint("merge"), [key, "_salt"]).drop("_salt")

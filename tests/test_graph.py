@@ -173,3 +173,16 @@ def test_later_mentions_follow_the_nearest_leader_so_far(spark):
     assert sorted(names.values()) == ["a", "c"]
     # In block 1 b is a, a loop that is dropped; in block 3 it is c.
     assert [(names[r.source_id], names[r.target_id]) for r in edges.collect()] == [("c", "a")]
+
+
+def test_what_does_not_fit_is_not_broadcast(spark, monkeypatch):
+    """Spark's own guess from compressed files would send it through the driver."""
+    from corpusloom.operators import sizing
+
+    rows = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, k long")
+    names = spark.createDataFrame([(k, f"name {k}") for k in range(3)], "k long, name string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(sizing.join_unique(rows, names, "k", ["id"], ["name"]))
+    assert "Broadcast" not in plan(sizing.join_unique(rows, names, "k", ["id"], ["name"], limit=0))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert "Broadcast" not in plan(rows.join(sizing.broadcast_if_small(names, ["name"], limit=0), "k", how))
