@@ -6,7 +6,7 @@ Two ways to the same rows:
   broadcast as one matrix and the other side is scanned once, without a
   shuffle;
 * otherwise both sides are cut into tiles of bounded size. Every tile is one
-  task's work: a matrix product that emits only rows of the answer. Cells
+  task's work: matrix products by the slab that emit only rows of the answer. Cells
   around a few pivots leave out tiles which the triangle inequality proves
   empty; when that would not pay, everything is one cell. A dense cell is cut
   into more tiles, so a hot group never meets in one task.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ PLANE_MODULUS = 2147483647
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 << 20
 TILE_ROWS = 4096
+# Parts a side is cut into at least if it has as many tiles, and the most rows of a part.
+STRIPES = 8
+STRIPE_ROWS = 16_384
 SLAB_ROWS = 512
 PIVOTS = 64
 # A margin for rounding: pruning must never lose a pair at the threshold.
@@ -220,8 +224,8 @@ def _side(df: DataFrame, id_: str, vec: str, order: str | None) -> DataFrame:
     return df.select(F.col(id_).alias("id"), key.alias("ord"), F.col(vec).alias("vec"))
 
 
-def _parts(table) -> tuple:
-    return _values(table.column("id")), _values(table.column("ord")), unit_matrix(table.column("vec"))
+def _parts(table, id_: str = "id") -> tuple:
+    return _values(table.column(id_)), _values(table.column("ord")), unit_matrix(table.column("vec"))
 
 
 def _small(side: DataFrame, limits: Limits):
@@ -327,37 +331,64 @@ def _in_cells(left: DataFrame, right: DataFrame, threshold: float | None, limits
     return whole_left, whole_right, _cell_counts(whole_left), _cell_counts(whole_right)
 
 
+def _stripes(rows: int, cells: int, limits: Limits) -> int:
+    """Parts a side of a cell is cut into: enough to occupy a cluster, and of bounded size.
+
+    Each row is sent to every part of the other side, so there are no more of them than that, however small a tile is.
+    """
+    parts = max(-(-STRIPES // isqrt(cells)), -(-rows // STRIPE_ROWS))
+    return min(parts, -(-rows // limits.tile_rows))
+
+
 def _tiled(left: DataFrame, right: DataFrame, left_counts, right_counts, kernel, schema, limits: Limits) -> DataFrame:
-    """Run the kernel over every tile; ``cell`` may be any integer key."""
+    """Run the kernel over every tile; ``cell`` may be any integer key.
+
+    A task holds the left rows of a tile and goes through the right ones by the slab,
+    handing on what it finds, so neither a tile's pairs nor its answer are held as a whole.
+    """
     cells = sorted(set(left_counts) & set(right_counts))
     if not cells:
         return left.sparkSession.createDataFrame([], schema)
     kind = left.schema["cell"].dataType.simpleString()
-    rows = [(c, -(-left_counts[c] // limits.tile_rows), -(-right_counts[c] // limits.tile_rows)) for c in cells]
+    rows, tiles = [], 0
+    for c in cells:
+        l, r = (_stripes(n[c], len(cells), limits) for n in (left_counts, right_counts))
+        rows.append((c, l, r, tiles))
+        tiles += l * r
     # One row per cell, and there are no more cells than pivots.
-    blocks = F.broadcast(left.sparkSession.createDataFrame(rows, f"cell {kind}, _l int, _r int"))
-
-    def cut(side, own, other, mine, theirs):
-        return (
-            side.join(blocks, "cell")
-            .withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-            .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop("_l", "_r")
-        )
-
-    return _cogroup(cut(left, "_l", "_r", "lb", "rb"), cut(right, "_r", "_l", "rb", "lb"), kernel, schema)
+    blocks = F.broadcast(left.sparkSession.createDataFrame(rows, f"cell {kind}, _l int, _r int, _first long"))
 
+    def cut(side, own, other, tile, is_right):
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias("_mine")
+        met = side.join(blocks, "cell").select("id", "ord", "vec", "_r", "_first", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_other"))
+        ids = [F.lit(None).alias("left_id"), F.col("id").alias("right_id")] if is_right else [F.col("id").alias("left_id"), F.lit(None).alias("right_id")]
+        return met.select((F.col("_first") + tile).alias("tile"), F.lit(is_right).alias("is_right"), *ids, "ord", "vec")
 
-def _cogroup(left: DataFrame, right: DataFrame, kernel, schema: T.StructType) -> DataFrame:
+    lefts = cut(left, "_l", "_r", F.col("_mine") * F.col("_r") + F.col("_other"), False)
+    rights = cut(right, "_r", "_l", F.col("_other") * F.col("_r") + F.col("_mine"), True)
     arrow = _arrow_schema(schema)
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        batches = []
-        if a.num_rows and b.num_rows:
-            batches = [_batch(arrow, *columns) for columns in kernel(False)(_parts(a), _parts(b))]
-        return pa.Table.from_batches(batches, schema=arrow)
-
-    return _meet(left, right, run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, lot, step = None, [], None, None
+        for batch in batches:
+            tiles, sides = batch["tile"].to_numpy(), batch["is_right"].to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (tiles[1:] != tiles[:-1]) | (sides[1:] != sides[:-1])]) if len(tiles) else []
+            for at, end in zip(starts, [*starts[1:], len(tiles)]):
+                if tiles[at] != tile:
+                    tile, held, lot = tiles[at], [], None
+                if not sides[at]:
+                    held.append(batch.slice(at, end - at))
+                elif held:
+                    if lot is None:
+                        lot, step = _parts(pa.Table.from_batches(held), "left_id"), kernel(True)
+                    for first in range(at, end, SLAB_ROWS):
+                        slab = batch.slice(first, min(SLAB_ROWS, end - first))
+                        for columns in step(lot, _parts(slab, "right_id")):
+                            yield _batch(arrow, *columns)
+
+    tasks = min(2 * tiles, 16 * left.sparkSession.sparkContext.defaultParallelism)
+    met = lefts.unionByName(rights).repartition(tasks, "tile").sortWithinPartitions("tile", "is_right")
+    return met.mapInArrow(run, schema)
 
 
 def _meet(left: DataFrame, right: DataFrame, run, schema: T.StructType) -> DataFrame:

@@ -169,3 +169,12 @@ def test_pairs_of_text_ids(spark):
     for limits in (sim.Limits(), sim.Limits(broadcast_rows=0)):
         got = sim.similar_pairs(df, 0.9, limits=limits).collect()
         assert [(r.id_a, r.id_b) for r in got] == [("a", "b")]
+
+
+def test_rows_are_not_copied_once_per_small_tile():
+    """What is sent to tiles must not grow with the square of the rows."""
+    tiny = sim.Limits(broadcast_rows=0, tile_rows=128, pivots=8)
+    copies = [sim._stripes(n, 1, tiny) for n in (128, 2_000, 20_000, 100_000)]
+    assert copies == [1, 8, 8, 8]
+    assert all(n / sim._stripes(n, 1, tiny) <= sim.STRIPE_ROWS for n in (1 << k for k in range(24)))
+    assert sim._stripes(1_000, 64, tiny) == 1
