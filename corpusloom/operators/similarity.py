@@ -39,6 +39,8 @@ TILE_ROWS = 4096
 # Parts a side is cut into at least if it has as many tiles, and the most rows of a part.
 STRIPES = 8
 STRIPE_ROWS = 16_384
+# Pairs that are worth a task.
+TASK_PAIRS = 1 << 20
 SLAB_ROWS = 512
 PIVOTS = 64
 # A margin for rounding: pruning must never lose a pair at the threshold.
@@ -273,6 +275,13 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType]) for f in schema.fields])
 
 
+def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in slabs, for steps that give a row many times over: a whole batch of copies would be held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLAB_ROWS):
+            yield batch.slice(at, SLAB_ROWS)
+
+
 def _assign(side: DataFrame, pivots: np.ndarray, radius: float | None) -> DataFrame:
     """Home cell of every row or, given a radius, every cell it can reach.
 
@@ -283,9 +292,7 @@ def _assign(side: DataFrame, pivots: np.ndarray, radius: float | None) -> DataFr
     schema = T.StructType([T.StructField("cell", T.IntegerType()), *side.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _slabs(batches):
             unit = unit_matrix(batch.column("vec"))
             square = 1.0 + (unit * unit).sum(axis=1, keepdims=True) - 2.0 * (unit @ pivots.T)
             home = square.argmin(axis=1)
@@ -386,7 +393,8 @@ def _tiled(left: DataFrame, right: DataFrame, left_counts, right_counts, kernel,
                         for columns in step(lot, _parts(slab, "right_id")):
                             yield _batch(arrow, *columns)
 
-    tasks = min(2 * tiles, 16 * left.sparkSession.sparkContext.defaultParallelism)
+    pairs = sum(left_counts[c] * right_counts[c] for c in cells)
+    tasks = min(2 * tiles, 16 * left.sparkSession.sparkContext.defaultParallelism, 1 + pairs // TASK_PAIRS)
     met = lefts.unionByName(rights).repartition(tasks, "tile").sortWithinPartitions("tile", "is_right")
     return met.mapInArrow(run, schema)
 
@@ -578,9 +586,7 @@ def similar_pairs_banded(
     schema_in = T.StructType([T.StructField("cell", T.LongType()), *side.schema.fields])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _slabs(batches):
             keys = plan.keys(unit_matrix(batch.column("vec"))) + np.arange(plan.bands) * width
             rows = np.repeat(np.arange(batch.num_rows), plan.bands)
             picked = batch.take(pa.array(rows))

@@ -178,3 +178,12 @@ def test_rows_are_not_copied_once_per_small_tile():
     assert copies == [1, 8, 8, 8]
     assert all(n / sim._stripes(n, 1, tiny) <= sim.STRIPE_ROWS for n in (1 << k for k in range(24)))
     assert sim._stripes(1_000, 64, tiny) == 1
+
+
+def test_copies_for_cells_are_made_by_the_slab(spark):
+    """A batch of rows that reach every cell is not held that many times over."""
+    assert [b.num_rows for b in sim._slabs(iter([pa.record_batch({"x": range(1200)}), pa.record_batch({"x": pa.array([], pa.int64())})]))] == [512, 512, 176]
+    v = clustered(600)
+    side = sim._side(frame(spark, v), "vec_id", "embedding", "vec_id")
+    pivots = sim.unit_matrix(pa.array([list(map(float, x)) for x in np.eye(8)]))
+    assert sim._cell_counts(sim._assign(side, pivots, 10.0)) == {c: 600 for c in range(8)}
