@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +18,21 @@ ORDER = 6
 # Bytes a word can hold, and the one that ends it.
 ALPHABET = 256 - 6 + 1
 END = b""
-# Words and grams with at least this share of all are at most so many as its inverse, and are sent to every task.
+# Words with at least this share of all are at most so many as its inverse, and are sent to every task.
 HOT_WORDS = 2.5e-6
-HOT_GRAMS = 1e-6
-HOT_PHRASES = 2.5e-7
-# A phrase ends at about one word in so many.
-PHRASE = 64
-# Distinct words a task counts before it hands the counts on.
+# The most grams that are sent to every task; the others are joined.
+HOT_GRAMS = 1_500_000
+# Distinct words, and rows of grams, that a task counts before it hands the counts on.
 COUNTED = 1 << 19
-_LOW = np.uint64(0xFF)
+GRAMS_COUNTED = 1 << 21
+# Parts into which the hash of a gram deals the counts, and how much text is cut into grams at once, each of which takes tens of bytes.
+DEALT = 1 << 10
+SLICE = 1 << 20
+# Grams whose contexts end in the same so many bytes are scored together; counts of shorter contexts are sent to every task.
+TOGETHER = 3
+# Places a gram may have in the table of hot ones, and what an empty place holds: no gram, as grams have seven bytes.
+_PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
+_EMPTY = np.uint64((1 << 64) - 1)
 
 
 def _mask(n_bytes: int) -> np.uint64:
@@ -40,14 +43,15 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each word, and the space that ends it, the ``ORDER`` bytes before and itself as one
     number; and where each word's begin. Spaces stand for what lies before a word."""
     pad = b" " * ORDER
-    data = np.frombuffer(pad + (b" " + pad).join(words) + b" ", np.uint8)
+    # A byte before the first pad, so that eight bytes can be read up to every place.
+    data = b" ".join([b"", pad + (b" " + pad).join(words), b""])
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     begins = np.cumsum(lengths) - lengths
-    at = np.arange(lengths.sum()) + np.repeat(ORDER * np.arange(1, len(words) + 1), lengths)
-    code = np.zeros(len(at), np.uint64)
-    for k in range(ORDER + 1):
-        code = code << np.uint64(8) | data[at - ORDER + k]
-    return code, begins
+    eights = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
+    # Of the places from the first that is not padding on, those of the pads between words.
+    kept = np.ones(len(eights), bool)
+    kept[(begins[1:, None] + ORDER * np.arange(len(words) - 1)[:, None] + np.arange(ORDER)).ravel()] = False
+    return eights[kept].astype(np.uint64) & _mask(ORDER + 1), begins
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,11 +60,21 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return distinct, np.bincount(at, weights=values, minlength=len(distinct)), at
 
 
-def code_lengths(gram: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def running_text(words: list[bytes]) -> bytes:
+    """What is coded of a text, but for the space that ends it: each word and a space. So a text ends where a space follows a space, or at once."""
+    return b" ".join([*words, b""])
+
+
+def shorter_contexts(gram: np.ndarray, count: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context length below ``TOGETHER``: the distinct ends of the grams of one byte more, and their counts."""
+    return [_sums(gram & _mask(order + 1), count)[:2] for order in range(TOGETHER)]
+
+
+def code_lengths(gram: np.ndarray, count: np.ndarray, shorter: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """log10 probability of each gram's last byte after the others.
 
-    All grams must end in the same two context bytes, and be all of that kind.
-    ``pairs[x, y]`` counts byte y after byte x in the whole corpus.
+    Grams whose contexts end in the same ``TOGETHER`` bytes must all be there;
+    ``shorter`` has the counts of the whole corpus after fewer bytes.
 
     The longest context is asked first. A context in which ``n`` bytes of ``q``
     kinds were met gives a byte met ``c`` times ``(2c - 1) / 2n`` and an escape
@@ -73,17 +87,11 @@ def code_lengths(gram: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.n
     # Of the context one byte longer: its place per gram, and the pairs met there.
     above_at = above_pairs = above_contexts = None
     for order in range(ORDER, -1, -1):
-        if order >= 2:
+        if order >= TOGETHER:
             pair, c, pair_at = _sums(gram & _mask(order + 1), count)
-        elif order == 1:
-            x = int(gram[0] >> np.uint64(8) & _LOW)
-            pair = (np.uint64(x) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-            c = pairs[x].astype(float)
-            pair_at = (gram & _LOW).astype(np.int64)
         else:
-            pair = np.arange(256, dtype=np.uint64)
-            c = pairs.sum(0).astype(float)
-            pair_at = (gram & _LOW).astype(np.int64)
+            pair, c = shorter[order]
+            pair_at = np.searchsorted(pair, gram & _mask(order + 1))
         context, n, context_at = _sums(pair >> np.uint64(8), c)
         kinds = np.bincount(context_at, weights=c > 0, minlength=len(context))
         at = context_at[pair_at]
@@ -101,7 +109,7 @@ def code_lengths(gram: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.n
         logs[escape] += np.log10(left_q[escape] / (2 * left_n[escape]))
         seen = c > 0
         above_at, above_pairs, above_contexts = at, pair[seen], context_at[seen]
-    met = int((pairs.sum(0) > 0).sum())
+    met = int((shorter[0][1] > 0).sum())
     logs[open_] -= np.log10(max(1, ALPHABET - met))
     return logs
 
@@ -136,159 +144,174 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return rows.select("text", "learned").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def trained(words: DataFrame) -> DataFrame:
-    """``gram, kinds, log`` for every gram of the words ``word, c``: log10 of its probability, and in how many words it is."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                gram, begins = grams_of(batch["word"].to_pylist())
-                c = np.repeat(batch["c"].to_numpy(), np.diff(np.r_[begins, len(gram)]))
-                distinct, at = np.unique(gram, return_inverse=True)
-                kinds = np.bincount(at, minlength=len(distinct))
-                sums = np.zeros(len(distinct), np.int64)
-                np.add.at(sums, at, c)
-                arrays = [pa.array(distinct.view(np.int64)), pa.array(sums), pa.array(kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["gram", "c", "kinds"])
-
-    met = words.mapInArrow(count, "gram long, c long, kinds long")
-    grams = cut_lineage(met.groupBy("gram").agg(F.sum("c").alias("c"), F.sum("kinds").alias("kinds")))
-    pairs = np.zeros((256, 256))
-    # At most 65,536 rows.
-    last = F.col("gram").bitwiseAND(F.lit(0xFFFF))
-    for row in grams.groupBy(last.alias("pair")).agg(F.sum("c").alias("c")).collect():
-        pairs[row.pair >> 8, row.pair & 255] = row.c
-    held = words.sparkSession.sparkContext.broadcast(pairs)
-
-    def predict(group: pd.DataFrame) -> pd.DataFrame:
-        gram = group["gram"].to_numpy().view(np.uint64)
-        logs = code_lengths(gram, group["c"].to_numpy().astype(float), held.value)
-        return pd.DataFrame({"gram": group["gram"], "kinds": group["kinds"], "log": logs})
-
-    # All contexts of two bytes and more with one end meet in one group; shorter ones are in the table of pairs.
-    end = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    return grams.withColumn("end", end).groupBy("end").applyInPandas(predict, "gram long, kinds long, log double")
-
-
-def word_scores(words: DataFrame) -> DataFrame:
-    """``word, c, log``: log10 of each word's probability, its end included.
-
-    Grams of many words are looked up in the task; the others are joined.
-    """
-    grams = cut_lineage(trained(words))
-    total = grams.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
-    # At most 1 / HOT_GRAMS rows have that share of the total.
-    hot = grams.where(F.col("kinds") >= max(2.0, HOT_GRAMS * total)).select("gram", "log").toPandas()
-    keys = hot["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    held = words.sparkSession.sparkContext.broadcast((keys[order], hot["log"].to_numpy(float)[order]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram, begins = grams_of(batch["word"].to_pylist())
-            at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
-            found = known[at] == gram if len(known) else np.zeros(len(gram), bool)
-            sums = np.add.reduceat(np.where(found, logs[at] if len(known) else 0.0, 0.0), begins)
-            missing = np.add.reduceat(~found, begins, dtype=np.int64)
-            offsets = np.r_[0, np.cumsum(missing)].astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram[~found].view(np.int64)))
-            arrays = [batch["word"], batch["c"], pa.array(sums), rest]
-            yield pa.RecordBatch.from_arrays(arrays, names=["word", "c", "log", "rest"])
-
-    scored = cut_lineage(words.mapInArrow(score, "word binary, c long, log double, rest array<long>"))
-    open_ = scored.where(F.size("rest") > 0).select("word", "c", "log", F.explode("rest").alias("gram"))
-    joined = open_.join(grams.select("gram", F.col("log").alias("more")), "gram")
-    closed = joined.groupBy("word", "c", "log").agg(F.sum("more").alias("more"))
-    return scored.where(F.size("rest") == 0).select("word", "c", "log").unionByName(
-        closed.select("word", "c", (F.col("log") + F.col("more")).alias("log"))
-    )
-
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def phrase_ends(words: list[bytes]) -> np.ndarray:
-    """Where phrases end: after words that the hash of a word and the one before picks, and at the end."""
-    codes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-    before = np.r_[0, codes[:-1]]
-    ends = np.flatnonzero((codes * 31 + before) % PHRASE == 0) + 1
-    return ends if len(ends) and ends[-1] == len(words) else np.r_[ends, len(words)]
 
+def merged_counts(parts: list[Counts]) -> Counts:
+    """Sorted grams with two counts each, summed over the parts, which are sorted too."""
+    gram, c, seen = (np.concatenate(x) for x in zip(*parts))
+    # This kind of sort makes use of sorted runs.
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    return gram[starts], np.add.reduceat(c[order], starts), np.add.reduceat(seen[order], starts)
 
-def phrase_hashes(words: list[bytes], ends: np.ndarray) -> np.ndarray:
-    import xxhash
 
-    of, at, out = xxhash.xxh3_64_intdigest, 0, []
-    for end in ends.tolist():
-        out.append(of(b" ".join(words[at:end])))
-        at = end
-    return np.array(out, np.uint64)
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """``gram, c, seen``: each gram of the running texts, its number in rows that may be ``learned`` from, and in all rows.
 
-
-def phrase_counts(rows: DataFrame) -> DataFrame:
-    """``phrase, c, seen``: hash of each phrase, its number in the rows that may be ``learned`` from, and in all rows."""
+    A task hands on its counts as one row per part, into which a hash deals the grams,
+    and the rows of a part are merged as they come.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            found, learned = [], []
-            for text, learn in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["learned"].to_pylist()):
-                words = [*text.split(), END]
-                found.append(phrase_hashes(words, phrase_ends(words)))
-                learned.append(np.full(len(found[-1]), learn))
-            distinct, at = np.unique(np.concatenate(found), return_inverse=True)
-            c = np.bincount(at[np.concatenate(learned)], minlength=len(distinct))
-            arrays = [pa.array(distinct.view(np.int64)), pa.array(c), pa.array(np.bincount(at))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["phrase", "c", "seen"])
-
-    counts = rows.select("text", "learned").mapInArrow(count, "phrase long, c long, seen long")
-    return counts.groupBy("phrase").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
-
+        def dealt(counts: Counts) -> pa.RecordBatch:
+            part = (counts[0] * np.uint64(_PLACES[0]) >> np.uint64(64 - DEALT.bit_length() + 1)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(DEALT + 1))
+            some = np.flatnonzero(np.diff(bounds))
+            columns = [x[order] for x in counts]
+            packed = [b"".join(x[bounds[k] : bounds[k + 1]].tobytes() for x in columns) for k in some.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+        parts: list[Counts] = []
+        for batch in text_slices(batches, size=SLICE):
+            texts = [running_text(t.split()) for t in batch["text"].cast(pa.binary()).to_pylist()]
+            distinct, seen = np.unique(grams_of(texts)[0], return_counts=True)
+            c = seen.copy()
+            others = [t for t, learned in zip(texts, batch["learned"].to_pylist()) if not learned]
+            if others:
+                unlearned, n = np.unique(grams_of(others)[0], return_counts=True)
+                c[np.searchsorted(distinct, unlearned)] -= n
+            parts.append((distinct, c, seen))
+            if sum(len(p[0]) for p in parts) > GRAMS_COUNTED:
+                parts = [merged_counts(parts)]
+                if len(parts[0][0]) > GRAMS_COUNTED // 2:
+                    yield dealt(parts[0])
+                    parts = []
+        if parts:
+            yield dealt(merged_counts(parts))
+        pa.default_memory_pool().release_unused()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(parts: list[Counts]) -> pa.RecordBatch:
+            gram, c, seen = merged_counts(parts)
+            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(c), pa.array(seen)], names=["gram", "c", "seen"])
+
+        now, parts, held = None, [], 0
+        for batch in batches:
+            for part, packed in zip(batch["part"].to_pylist(), batch["counts"]):
+                if part != now and parts:
+                    yield summed(parts)
+                    parts, held = [], 0
+                now = part
+                gram, c, seen = np.frombuffer(packed.as_buffer(), np.int64).reshape(3, -1)
+                parts.append((gram.view(np.uint64), c, seen))
+                held += len(gram)
+                if held > GRAMS_COUNTED:
+                    parts, held = [merged_counts(parts)], 0
+        if parts:
+            yield summed(parts)
+        pa.default_memory_pool().release_unused()
+
+    counted = rows.select("text", "learned").mapInArrow(count, "part int, counts binary")
+    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "gram long, c long, seen long")
+
+
+def trained(grams: DataFrame) -> DataFrame:
+    """``gram, seen, log``: log10 of the probability of each gram of ``gram, c, seen``, learned from the counts ``c``."""
+    # At most as many rows as there are strings of so many bytes.
+    end = F.col("gram").bitwiseAND(F.lit((1 << 8 * TOGETHER) - 1))
+    ends = grams.groupBy(end.alias("gram")).agg(F.sum("c").alias("c")).toArrow()
+    held = grams.sparkSession.sparkContext.broadcast(
+        shorter_contexts(ends["gram"].to_numpy().view(np.uint64), ends["c"].to_numpy().astype(float))
+    )
 
-class Phrases:
-    """The counts of hot phrases, and what a phrase costs. Sent to every task: at most ``1 / HOT_PHRASES`` numbers.
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored(rows: np.ndarray) -> pa.RecordBatch:
+            logs = code_lengths(rows[:, 1].view(np.uint64), rows[:, 2].astype(float), held.value)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 3]), pa.array(logs)], names=["gram", "seen", "log"])
 
-    ``total`` phrases of ``kinds`` kinds were learned, the others included.
-    """
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, kinds: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts, self.total = hashes[order], counts[order], total
-        self.escape = math.log10(kinds / (2 * total)) if total else 0.0
-
-    def look_up(self, hashes: np.ndarray, n: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a text's distinct phrases and their numbers: which are hot, which of these are known, and the log10
-        probability of each. A learned text's own phrases do not count."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), bool), np.zeros(len(hashes), bool), np.zeros(len(hashes))
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hot = self.hashes[at] == hashes
-        c = np.where(hot, self.counts[at], 0) - n * own
-        known = hot & (c > 0)
-        logs = np.full(len(hashes), self.escape)
-        logs[known] = np.log10((2 * c[known] - 1) / (2 * self.total))
-        return hot, known, n * logs
+        waiting = np.zeros((0, 4), np.int64)
+        for batch in batches:
+            rows = np.stack([batch[k].to_numpy() for k in ("end", "gram", "c", "seen")], axis=1)
+            rows = np.concatenate([waiting, rows])
+            if not len(rows):
+                continue
+            # The last end may go on in the next batch.
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if cut:
+                yield scored(rows[:cut])
+            waiting = rows[cut:]
+        if len(waiting):
+            yield scored(waiting)
+
+    end = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * TOGETHER) - 1))
+    met = grams.select(end.alias("end"), "gram", "c", "seen").repartition("end").sortWithinPartitions("end")
+    return met.mapInArrow(predict, "gram long, seen long, log double")
+
+
+def hot_grams(grams: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A table of the grams seen most often, at most ``most`` (``HOT_GRAMS``): :func:`places` by their hashes."""
+    step = F.floor(8 * F.log2("seen")).cast("int")
+    sizes = sorted(((r.step, r.n) for r in grams.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    held, least = 0, None
+    for at, n in sizes:
+        held += n
+        if held > (HOT_GRAMS if most is None else most):
+            break
+        least = at
+    top = grams.where(step >= least if least is not None else F.lit(False)).select("gram", "seen", "log").toArrow()
+    order = np.argsort(-top["seen"].to_numpy(), kind="stable")
+    return places(top["gram"].to_numpy().view(np.uint64)[order], top["log"].to_numpy()[order])
+
+
+def places(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values at places by the keys' hashes; a key all of whose places are taken by ones before it is left out."""
+    bits = max(4, int(len(keys) * 4 // 3).bit_length())
+    slots, held = np.full(1 << bits, _EMPTY), np.zeros(1 << bits)
+    for place in _PLACES:
+        at = (keys * np.uint64(place) >> np.uint64(64 - bits)).view(np.int64)
+        distinct, first = np.unique(at, return_index=True)
+        free = slots[distinct] == _EMPTY
+        slots[distinct[free]], held[distinct[free]] = keys[first[free]], values[first[free]]
+        rest = np.ones(len(keys), bool)
+        rest[first[free]] = False
+        keys, values = keys[rest], values[rest]
+    return slots, held
+
+
+def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each key, zero if the table has it not; and the indexes of those that it has not."""
+    slots, held = table
+    shift = np.uint64(65 - len(slots).bit_length())
+    at = (keys * np.uint64(_PLACES[0]) >> shift).view(np.int64)
+    hit = slots[at] == keys
+    out = np.where(hit, held[at], 0.0)
+    rest = np.flatnonzero(~hit)
+    for place in _PLACES[1:]:
+        at = (keys[rest] * np.uint64(place) >> shift).view(np.int64)
+        hit = slots[at] == keys[rest]
+        out[rest[hit]] = held[at[hit]]
+        rest = rest[~hit]
+    return out, rest
 
 
 def text_scores(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``.
 
     A text is its words, lower-cased in A-Z, and an end. ``score`` is its log10
-    probability by prediction by partial matching, the longest match first:
-
-    * a phrase met before as a whole (phrases end where the hash of two words says);
-    * after an escape, its words: one seen before by its count;
-    * after another, the word's bytes from a byte-context trie of order six, whose
-      contexts begin at the space before a word, with escapes and exclusion of the
-      bytes already escaped from. So a word's code length is one number, computed
-      once for each distinct word.
-
-    All counts are of rows where ``may_learn`` holds; a text that was learned from
-    does not know its own phrases by itself. ``base_score`` adds the logs of the
-    words' smoothed frequencies.
-
-    Frequent phrases and words are looked up in the task that reads a text; its
-    rarer phrases, each with what its words cost, are sent to their counts, and its
-    rarer words to their scores. Null texts count as empty: an end
+    probability by prediction by partial matching: every byte of the running text,
+    words with a space behind each and a space for the end, is coded after the six
+    bytes before it, across words, from a byte-context trie of order six with
+    escapes and exclusion of the bytes already escaped from. Before a text lie spaces.
+
+    The trie is the table of all grams of seven bytes, and a gram's code length is
+    one number, computed once for each distinct gram. All counts are of rows where ``may_learn``
+    holds. ``base_score`` adds the logs of the words' smoothed frequencies.
+
+    Frequent grams and words are looked up in the task that reads a text; its
+    rarer ones are sent to their scores. Null texts count as empty: an end
     alone. Rows that repeat an id are scored each for itself. Nothing to learn from
     leaves all bytes as likely. An empty table gives no rows.
     """
@@ -300,26 +323,14 @@ def text_scores(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
     )
     words = cut_lineage(vocabulary(rows))
     tokens, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    base = F.log10((F.col("c") + 0.1) / (tokens + 0.1 * (kinds + 1)))
-    unseen = F.col("log") + (math.log10(kinds / (2 * tokens)) if tokens else 0.0)
-    own = F.when(F.col("c") > 0, F.log10((2 * F.col("c") - 1) / (2 * tokens))).otherwise(unseen) if tokens else unseen
-    scores = cut_lineage(word_scores(words).select("word", "c", base.alias("base"), own.alias("log")))
+    scores = words.select("word", "c", F.log10((F.col("c") + 0.1) / (tokens + 0.1 * (kinds + 1))).alias("base"))
     # At most 1 / HOT_WORDS rows.
-    hot = scores.where(F.col("c") >= max(2.0, HOT_WORDS * tokens)).select("word", "base", "log").toPandas()
-
-    met = cut_lineage(phrase_counts(rows))
-    total, forms, seen = met.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("seen"), F.lit(0))).first()
-    # At most 1 / HOT_PHRASES rows; the others are joined.
-    often = F.col("seen") >= max(2.0, HOT_PHRASES * seen)
-    top = met.where(often).select("phrase", "c").toPandas()
+    often = F.col("c") >= max(2.0, HOT_WORDS * tokens)
+    hot = scores.where(often).select("word", "base").toArrow()
+    hot = dict(zip(hot["word"].to_pylist(), hot["base"].to_pylist()))
+    grams = cut_lineage(trained(cut_lineage(gram_counts(rows))))
     # Plain arrays: workers need not be able to import this package.
-    parts = (top["phrase"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total, forms)
-    phrases = Phrases(*parts)
-    held = docs.sparkSession.sparkContext.broadcast(({bytes(w): (b, s) for w, b, s in hot.itertuples(index=False)}, parts))
-    words_type, counts_type = T.ArrayType(T.BinaryType()), T.ArrayType(T.IntegerType())
-    phrase_type = (
-        T.StructType().add("phrase", "long").add("n", "integer").add("spelled", "double").add("words", words_type).add("counts", counts_type)
-    )
+    held = docs.sparkSession.sparkContext.broadcast((hot, hot_grams(grams)))
     schema = T.StructType(
         [
             T.StructField("row", T.LongType()),
@@ -329,110 +340,53 @@ def text_scores(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
             T.StructField("n_known", T.LongType()),
             T.StructField("base_score", T.DoubleType()),
             T.StructField("score", T.DoubleType()),
-            T.StructField("words", words_type),
-            T.StructField("counts", counts_type),
-            T.StructField("coded", counts_type),
-            T.StructField("phrases", T.ArrayType(phrase_type)),
+            T.StructField("words", T.ArrayType(T.BinaryType())),
+            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("grams", T.ArrayType(T.LongType())),
         ]
     )
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts = held.value
-        phrases = Phrases(*parts)
-        for batch in text_slices(batches):
-            sums, rest, counts, coded = [], [], [], []
-            # Of the phrases to be joined, and where each row's begin.
-            open_, open_words, open_counts, begins = [], [], [], [0]
-            for text, learned in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["learned"].to_pylist()):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = held.value
+        for batch in text_slices(batches, size=SLICE):
+            texts, sums, rest, counts = [], [], [], []
+            for text in batch["text"].cast(pa.binary()).to_pylist():
                 found = text.split()
+                texts.append(running_text(found))
                 found.append(END)
-                ends = phrase_ends(found)
-                starts = np.r_[0, ends[:-1]]
-                distinct, first, times = np.unique(phrase_hashes(found, ends), return_index=True, return_counts=True)
-                hot, whole, logs = phrases.look_up(distinct, times, learned)
-                rare: Counter[bytes] = Counter()
-                rare_coded: Counter[bytes] = Counter()
-                n_known, b, s = 0, 0.0, float(logs[hot].sum())
-                of = zip(distinct.view(np.int64).tolist(), starts[first].tolist(), ends[first].tolist(), times.tolist(), hot.tolist(), whole.tolist())
-                for phrase, start, end, n, settled, is_known in of:
-                    others: Counter[bytes] = Counter()
-                    base_sum = spelled = 0.0
-                    for word in found[start:end]:
-                        score = known.get(word)
-                        if score is None:
-                            others[word] += 1
-                        else:
-                            base_sum += score[0]
-                            spelled += score[1]
-                    n_known += n * (end - start - sum(others.values()))
-                    b += n * base_sum
-                    if not settled:
-                        open_.append((phrase, n, spelled))
-                        open_words.append(list(others))
-                        open_counts.append(list(others.values()))
-                        continue
-                    if not is_known:
-                        s += n * spelled
-                    for word, k in others.items():
-                        rare[word] += n * k
-                        rare_coded[word] += 0 if is_known else n * k
-                begins.append(len(open_))
-                rest.append(list(rare))
-                counts.append(list(rare.values()))
-                coded.append(list(rare_coded.values()))
-                sums.append((len(found), n_known, b, s))
-            columns = list(zip(*sums))
-            key, n, spelled = zip(*open_) if open_ else ((), (), ())
-            words_list, counts_list = pa.list_(pa.binary()), pa.list_(pa.int32())
-            columns_of = [
-                pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(spelled, pa.float64()),
-                pa.array(open_words, words_list), pa.array(open_counts, counts_list),
-            ]
-            inner = pa.StructArray.from_arrays(columns_of, names=phrase_type.names)
+                bases = list(map(known.get, found))
+                others: Counter[bytes] = Counter()
+                if None in bases:
+                    others.update(w for w, b in zip(found, bases) if b is None)
+                    bases = [b for b in bases if b is not None]
+                sums.append((len(found), len(bases), float(sum(bases))))
+                rest.append(list(others))
+                counts.append(list(others.values()))
+            gram, begins = grams_of(texts)
+            logs, open_ = look_up(table, gram)
+            offsets = np.r_[np.searchsorted(open_, begins), len(open_)]
+            n_tokens, n_known, base = zip(*sums)
             arrays = [
                 batch["row"], batch["doc_id"], batch["learned"],
-                pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3]),
-                pa.array(rest, words_list), pa.array(counts, counts_list), pa.array(coded, counts_list),
-                pa.ListArray.from_arrays(pa.array(begins, pa.int32()), inner),
+                pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(np.add.reduceat(logs, begins)),
+                pa.array(rest, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(gram[open_].view(np.int64))),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        # Workers live on between stages.
+        pa.default_memory_pool().release_unused()
 
-    looked = cut_lineage(rows.mapInArrow(look_up, schema), "zstd")
-    sent = looked.select("row", "learned", F.explode("phrases").alias("p")).select("row", "learned", "p.*")
-    left = F.col("c") - F.when(F.col("learned"), F.col("n")).otherwise(0)
-    whole = F.log10((2 * F.col("left") - 1) / (2.0 * max(1, total)))
-    # The hot phrases are settled above, so no key of this join has a large share of the rows.
-    told = cut_lineage(
-        sent.join(met.where(~often).select("phrase", "c"), "phrase")
-        .withColumn("left", left)
-        .select(
-            "row",
-            "words",
-            "counts",
-            F.when(F.col("left") > 0, 0).otherwise(F.col("n")).alias("coded"),
-            F.col("n"),
-            (F.col("n") * F.when(F.col("left") > 0, whole).otherwise(F.col("spelled") + phrases.escape)).alias("s"),
-        ),
-        "zstd",
-    )
-    in_hot = looked.select("row", F.explode(F.arrays_zip("words", "counts", "coded")).alias("w"))
-    in_hot = in_hot.select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.coded").alias("m"))
-    in_others = told.select("row", "n", "coded", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    in_others = in_others.select(
-        "row", F.col("w.words").alias("word"), (F.col("n") * F.col("w.counts")).alias("n"), (F.col("coded") * F.col("w.counts")).alias("m")
-    )
+    looked = cut_lineage(rows.mapInArrow(score, schema), "zstd")
+    sent = looked.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    # Hot words and grams are settled above, so no key of these joins has a large share of the rows.
     of_words = (
-        in_hot.unionByName(in_others)
+        sent.select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
         .join(scores, "word")
-        .select(
-            "row",
-            F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("k"),
-            (F.col("n") * F.col("base")).alias("b"),
-            (F.col("m") * F.col("log")).alias("s"),
-        )
+        .select("row", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("k"), (F.col("n") * F.col("base")).alias("b"), F.lit(0.0).alias("s"))
     )
-    of_phrases = told.select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), "s")
-    more = of_words.unionByName(of_phrases).groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
+    of_grams = looked.select("row", F.explode("grams").alias("gram")).join(grams.select("gram", "log"), "gram")
+    more = of_words.unionByName(of_grams.select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), F.col("log").alias("s")))
+    more = more.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     both = looked.select("row", "doc_id", "learned", "n_tokens", "n_known", "base_score", "score").join(more, "row", "left")
     return both.select(
         "doc_id",

@@ -45,49 +45,30 @@ def plain_word(trie, w):
     return sum(plain_log(trie, padded[i - ppm.ORDER : i], padded[i]) for i in range(ppm.ORDER, len(padded)))
 
 
-def phrases_of(words):
-    out, now, before = [], [], 0
-    for w in words:
-        now.append(w)
-        code = zlib.crc32(w)
-        if (code * 31 + before) % ppm.PHRASE == 0:
-            out.append(tuple(now))
-            now = []
-        before = code
-    return out + ([tuple(now)] if now else [])
+def running(words):
+    return b"".join(w + b" " for w in words[:-1])
 
 
 def plain_scores(docs, learned):
-    counts, phrases = Counter(), Counter()
+    counts, texts = Counter(), Counter()
     for key, text in docs:
         if learned(key):
             counts.update(words_of(text))
-            phrases.update(phrases_of(words_of(text)))
-    trie, n, v = plain_trie(counts), sum(counts.values()), len(counts)
-    total = sum(phrases.values())
-    hot = {p: c for p, c in phrases.items() if c >= ppm.HOT_PHRASES * total}
-    escape = math.log10(max(1e-9, 1 - sum(2 * c - 1 for c in hot.values()) / (2 * total)))
+            texts[running(words_of(text))] += 1
+    trie, n, v = plain_trie(texts), sum(counts.values()), len(counts)
     logs = {}
 
-    def word(w):
-        if w not in logs:
-            seen = counts[w]
-            logs[w] = math.log10((2 * seen - 1) / (2 * n)) if seen else math.log10(v / (2 * n)) + plain_word(trie, w)
-        return logs[w]
+    def byte(context, symbol):
+        if (context, symbol) not in logs:
+            logs[context, symbol] = plain_log(trie, context, symbol)
+        return logs[context, symbol]
 
     for key, text in docs:
         ws = words_of(text)
-        of = Counter(phrases_of(ws))
-        score = 0.0
-        for p, times in of.items():
-            c = hot.get(p, 0) - (times if learned(key) else 0)
-            if c > 0:
-                score += times * math.log10((2 * c - 1) / (2 * total))
-            else:
-                score += times * ((escape if hot else 0.0) + sum(map(word, p)))
+        padded = b" " * ppm.ORDER + running(ws) + b" "
         yield key, len(ws), sum(counts[w] > 0 for w in ws), n, sum(
             math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws
-        ), score
+        ), sum(byte(padded[i - ppm.ORDER : i], padded[i]) for i in range(ppm.ORDER, len(padded)))
 
 
 def test_op5_equals_a_plain_trie(spark, folder, documents):
@@ -112,15 +93,18 @@ def test_rare_words_are_joined(spark, monkeypatch):
         assert (r.base_score, r.score) == pytest.approx((base, score))
 
 
-@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
-def test_rare_phrases_are_joined(spark, monkeypatch, share):
+@pytest.mark.parametrize("most", [0, 40, 10**6])
+def test_rare_grams_are_joined(spark, monkeypatch, most):
     passage = " ".join(f"w{i}" for i in range(300))
     docs = [(1, passage), (2, "a cat sat"), (3, f"{passage} unheard"), (4, ""), (5, "a cat sat"), (6, f"{passage} {passage}")]
     docs += [(k, "one and the same line") for k in range(7, 15)] + [(15, "met in no other text"), (16, "one and the same line")]
     held_out = (3, 15, 16)
     want = list(plain_scores(docs, lambda k: k not in held_out))
-    monkeypatch.setattr(ppm, "HOT_PHRASES", share)
+    monkeypatch.setattr(ppm, "HOT_GRAMS", most)
     monkeypatch.setattr(ppm, "HOT_WORDS", 0.02)
+    # Several parts per task, merged and handed on.
+    monkeypatch.setattr(ppm, "GRAMS_COUNTED", 100)
+    monkeypatch.setattr(ppm, "SLICE", 50)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r for r in ppm.text_scores(df, ~F.col("doc_id").isin(*held_out)).collect()}
     for key, n, known, total, base, score in want:
@@ -129,6 +113,27 @@ def test_rare_phrases_are_joined(spark, monkeypatch, share):
         assert (r.base_score, r.score) == pytest.approx((base, score))
 
 
+def test_bytes_are_coded_across_words(spark):
+    docs = [(k, "new york" if k < 6 else "old town") for k in range(12)]
+    docs += [(12, "new york"), (13, "new town"), (14, "york new"), (15, "new\n york")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in ppm.text_scores(df, F.col("doc_id") < 12).collect()}
+    assert got[12].base_score == pytest.approx(got[13].base_score) and got[12].base_score == pytest.approx(got[14].base_score)
+    assert got[12].score > got[13].score + 0.5 and got[12].score > got[14].score + 0.5
+    assert got[15].score == pytest.approx(got[12].score)
+    # A text that was learned is coded by its bytes too, not by the counts of its words.
+    assert got[0].score == pytest.approx(got[12].score) and got[0].score > got[0].base_score + 0.5
+
+
+def test_places():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 56, 5000).astype(np.uint64))
+    table = ppm.places(keys[:4000], np.arange(4000.0))
+    values, rest = ppm.look_up(table, keys)
+    held = np.setdiff1d(np.arange(len(keys)), rest)
+    assert len(held) > 3900 and held.max() < 4000 and (values[held] == held).all() and not values[rest].any()
+    assert ppm.look_up(ppm.places(keys[:0], np.zeros(0)), keys)[1].tolist() == list(range(len(keys)))
+
+
 def test_a_context_shares_out_one():
     trie = plain_trie(Counter({b"the": 5, b"then": 2, b"cat": 1, b"": 3}))
     symbols = [b for b in range(256) if b not in b"\t\n\x0b\x0c\r"]
