@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,6 +209,15 @@ WIDE_SEGMENTS = 6
 WIDE_DISTANCE = 32
 # Members of a key that are compared pair by pair; of more, spanning links are given.
 WIDE_RUN = 32
+# Links of a fingerprint that are compared first.
+CLOSEST = 4
+# Shingles that lead more sets than this go last in the order, the most frequent first to be chosen; how often such are looked for.
+HOT_KEY = 32
+HOT_MOST = 1 << 20
+HOT_ROUNDS = 3
+# Sets of a crowded shingle that make a block; two blocks are compared in a task, so many of their shingles at a time.
+BLOCK = 1024
+COLUMNS = 4096
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 
 
@@ -216,14 +226,45 @@ def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
     return gram_hashes(hashes, max(1, min(WIDE_SHINGLE, len(hashes))))
 
 
-def wide_fingerprints(rows: DataFrame) -> DataFrame:
-    """``doc_id, f0, f1``: two fingerprints of each text of ``doc_id, text``, zero for one without a word."""
-    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(f"f{k}", T.LongType()) for k in range(WIDE))])
+def shingle_set(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """The distinct shingles of a text in order, and a hash of them all."""
+    import xxhash
+
+    found = np.unique(shingle_hashes(hashes))
+    return found, int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
+
+
+def leading(found: np.ndarray, hot: np.ndarray, similar: float) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share, ``hot`` ones last.
+
+    Sets that share ``similar`` of all they have share one of these: the first in order of those
+    they share has behind it, in each of the two, all others that they share.
+    """
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+        late = hot[at] == found
+        found = np.r_[found[~late], found[late]]
+    return found[: len(found) - math.ceil(similar * len(found) - 1e-9) + 1]
+
+
+def wide_fingerprints(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``doc_id, f0, f1, node, size, keys`` of each text of ``doc_id, text``.
+
+    Two fingerprints, zero for one without a word; the hash and size of its set of shingles, and those that lead it.
+    """
+    fields = [rows.schema["doc_id"], *(T.StructField(f"f{k}", T.LongType()) for k in range(WIDE))]
+    schema = T.StructType(fields).add("node", "long").add("size", "integer").add("keys", T.ArrayType(T.LongType()))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             hashes, base = hashed_words(batch["text"].cast(pa.binary()).to_pylist())
             out = np.zeros((WIDE, batch.num_rows), np.uint64)
+            nodes, sizes, keys = [], [], []
+            for d in range(batch.num_rows):
+                found, node = shingle_set(hashes[base[d] : base[d + 1]])
+                nodes.append(node)
+                sizes.append(len(found))
+                keys.append(leading(found, found[:0], similar).view(np.int64))
             for d in np.flatnonzero(np.diff(base)).tolist():
                 grams = shingle_hashes(hashes[base[d] : base[d + 1]])
                 for k, step in enumerate(_MIX):
@@ -236,7 +277,11 @@ def wide_fingerprints(rows: DataFrame) -> DataFrame:
                         raw = mixed[at : at + BIT_ROWS].view(np.uint8).reshape(-1, 8)
                         counts += np.unpackbits(raw, axis=1, bitorder="little").sum(0, dtype=np.int64)
                     out[k, d] = np.packbits(2 * counts > len(mixed), bitorder="little").view(np.uint64)[0]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(f.view(np.int64)) for f in out)], names=schema.names)
+            columns = [
+                batch["doc_id"], *(pa.array(f.view(np.int64)) for f in out),
+                pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         # Workers live on between stages.
         pa.default_memory_pool().release_unused()
 
@@ -283,7 +328,11 @@ def leader_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_links(fps: DataFrame) -> DataFrame:
-    """``a, b``: structs of fingerprints that share a one-wildcard segment and differ in few bits of all."""
+    """``a, b``: hashes of fingerprints that share a one-wildcard segment and differ in few bits of all.
+
+    Each fingerprint gives its closest links only, so that their number grows with the members of
+    a group; what these leave out is for :func:`rest_links`.
+    """
     names = [f"f{k}" for k in range(WIDE)]
     cases = []
     for k, name in enumerate(names):
@@ -314,7 +363,8 @@ def wide_links(fps: DataFrame) -> DataFrame:
                 right.append(start + y)
             a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
             sides = [pa.array(rows[side, 1 + k]) for side in (a, b) for k in range(WIDE)]
-            return pa.RecordBatch.from_arrays(sides, names=[f"{s}{k}" for s in "ab" for k in range(WIDE)])
+            apart = pa.array(differ(a, b), pa.int64())
+            return pa.RecordBatch.from_arrays([*sides, apart], names=[*(f"{s}{k}" for s in "ab" for k in range(WIDE)), "apart"])
 
         for batch in batches:
             rows = np.stack([batch[c].to_numpy() for c in ["key", *names]], axis=1)
@@ -332,23 +382,37 @@ def wide_links(fps: DataFrame) -> DataFrame:
 
     keyed = fps.select(F.explode(F.array(*cases)).alias("key"), *names)
     met = keyed.repartition("key").sortWithinPartitions("key", *names)
-    found = met.mapInArrow(verify, ", ".join(f"{s}{k} long" for s in "ab" for k in range(WIDE)))
+    found = met.mapInArrow(verify, ", ".join(f"{s}{k} long" for s in "ab" for k in range(WIDE)) + ", apart long")
     side = lambda s: F.xxhash64(*[f"{s}{k}" for k in range(WIDE)])
-    return found.select(F.least(side("a"), side("b")).alias("a"), F.greatest(side("a"), side("b")).alias("b")).distinct()
+    ends = cut_lineage(found.select(side("a").alias("a"), side("b").alias("b"), "apart").distinct())
+    either = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nth = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+    first = either.distinct().withColumn("nth", nth).where(F.col("nth") <= CLOSEST)
+    return first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_links(texts: DataFrame, links: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The links ``a, b`` whose texts (``node, text``) share enough of their five-word shingles."""
+def set_rows(rows: DataFrame, chosen: DataFrame, similar: float, hot: np.ndarray | None = None) -> DataFrame:
+    """``node, shingles`` of the nodes ``node, doc_id``; those that lead the set only, where ``hot`` ones are told."""
+    late = rows.sparkSession.sparkContext.broadcast(hot)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             hashes, base = hashed_words(batch["text"].cast(pa.binary()).to_pylist())
-            sets = [np.unique(shingle_hashes(hashes[base[d] : base[d + 1]])).view(np.int64) for d in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            found = [shingle_set(hashes[base[d] : base[d + 1]]) for d in range(batch.num_rows)]
+            sets = [(f if late.value is None else leading(f, late.value, similar)).view(np.int64) for f, _ in found]
+            columns = [pa.array([node for _, node in found], pa.int64()), pa.array([len(f) for f, _ in found], pa.int32()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "shingles"])
         pa.default_memory_pool().release_unused()
 
-    wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    sets = cut_lineage(texts.join(wanted, "node", "left_semi").mapInArrow(shingled, "node long, shingles array<long>"))
+    chosen = broadcast_if_small(cut_lineage(chosen))
+    # Rows that repeat an id may have other texts.
+    texts = rows.join(chosen.select("doc_id"), rows["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select("text")
+    made = texts.mapInArrow(shingled, "node long, size int, shingles array<long>").join(chosen.select("node"), "node", "left_semi")
+    return cut_lineage(made.groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")))
+
+
+def similar_links(sets: DataFrame, links: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The links ``a, b`` whose sets (``node, shingles``) share enough."""
     pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     # Row by row in the JVM: a batch of such pairs may be of any size.
@@ -356,35 +420,192 @@ def similar_links(texts: DataFrame, links: DataFrame, similar: float = SIMILAR)
     return pairs.where(both >= similar * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
+def spanning_links(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Index pairs of sets that share enough, which connect all that such pairs connect: each set is compared with all others."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Shingles of one set alone are shared with none.
+    number = np.cumsum(times > 1) - 1
+    kept = times[column] > 1
+    owner, column = owner[kept], number[column[kept]]
+    both = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        some = (column >= at) & (column < at + COLUMNS)
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[some], column[some] - at] = 1
+        both += has @ has.T
+    near = both >= similar * (size[:, None] + size - both)
+    found, open_ = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if open_[start]:
+            open_[start] = False
+            reached = [start]
+            while reached:
+                i = reached.pop()
+                more = np.flatnonzero(near[i] & open_)
+                open_[more] = False
+                found += [(i, j) for j in more.tolist()]
+                reached += more.tolist()
+    return found
+
+
+def rest_links(rows: DataFrame, nodes: DataFrame, table: DataFrame, known: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links ``a, b`` that, with the ``known`` ones, connect all nodes that pairs of similar sets connect.
+
+    ``nodes`` has ``node, least``, ``table`` has ``node, size, keys``, ``known`` has ``node, component``. Similar
+    sets share one of the shingles that lead them, and meet there. Frequent shingles go last in the order, so that
+    they lead few. Of a shingle with few sets the pairs of different components meet; those that meet
+    often enough are compared one by one: what two sets share is what leads both, and no more than all that does not
+    lead the one whose leading shingles end first. The sets of a crowded shingle are sent to tasks by the block, which compare
+    all with all: rows grow with the members, and what a task holds is two blocks.
+    """
+    late = np.zeros(0, np.uint64)
+    changed = table
+    for _ in range(HOT_ROUNDS):
+        often = changed.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > HOT_KEY)
+        often = often.orderBy(F.desc("count"), "key").limit(HOT_MOST)
+        more = np.setdiff1d(often.select("key").toArrow()["key"].to_numpy().view(np.uint64), late)
+        if not len(more):
+            break
+        late = np.union1d(late, more)
+        fresh = table.sparkSession.createDataFrame(pa.table({"key": more.view(np.int64)}))
+        led = table.select("node", F.explode("keys").alias("key")).join(F.broadcast(fresh), "key", "left_semi")
+        touched = cut_lineage(led.select("node").distinct())
+        chosen = nodes.join(broadcast_if_small(touched), "node", "left_semi").select("node", F.col("least").alias("doc_id"))
+        changed = set_rows(rows, chosen, similar, late).select("node", "size", F.col("shingles").alias("keys"))
+        table = table.join(broadcast_if_small(touched), "node", "left_anti").unionByName(changed)
+
+    names = ["key", "node", "place", "size", "component"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def candidates(held: np.ndarray) -> pa.RecordBatch:
+            group, node, place, size, component = held.T
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            lengths = np.diff(np.r_[starts, len(held)])
+            short = np.repeat(lengths <= WIDE_RUN, lengths)
+            # How many shingles do not lead a set, and how many are behind each place.
+            rest = np.ceil(similar * size - 1e-9) - 1
+            behind = size - place
+            a, b, wants, blocks = [], [], [], []
+            for lag in range(1, min(WIDE_RUN, int(lengths.max()))):
+                at = np.flatnonzero(short[:-lag] & (group[lag:] == group[:-lag]) & (component[lag:] != component[:-lag]))
+                to = at + lag
+                fits = np.minimum(size[at], size[to]) >= similar * np.maximum(size[at], size[to]) - 1e-6
+                at, to = at[fits], to[fits]
+                a.append(np.minimum(node[at], node[to]))
+                b.append(np.maximum(node[at], node[to]))
+                wants.append(similar / (1 + similar) * (size[at] + size[to]) - np.maximum(rest[at], rest[to]) - 1e-6)
+                blocks.append(np.zeros(len(at), np.int64))
+            for start, n in zip(starts[lengths > WIDE_RUN].tolist(), lengths[lengths > WIDE_RUN].tolist()):
+                of = slice(start, start + n)
+                # Sets with too little behind their place to be similar to even the smallest stay away, and those of one component.
+                meets = behind[of] * (1 + similar) / similar - size[of] >= size[of].min() - 1e-6
+                if not (component[of][meets] != component[of][meets][:1]).any():
+                    meets[:] = False
+                a.append(node[of])
+                b.append(group[of])
+                wants.append(np.zeros(n))
+                blocks.append(np.where(meets, -(-int(meets.sum()) // BLOCK), -1))
+            columns = [np.concatenate([*x, np.zeros(0, d)]) for x, d in ((a, np.int64), (b, np.int64), (wants, float), (blocks, np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "wants", "blocks"])
+
+        waiting = np.zeros((0, len(names)), np.int64)
+        for batch in batches:
+            held = np.concatenate([waiting, np.stack([batch[c].to_numpy() for c in names], axis=1)])
+            if not len(held):
+                continue
+            # The last key may go on in the next batch.
+            cut = int(np.searchsorted(held[:, 0], held[-1, 0]))
+            if cut:
+                yield candidates(held[:cut])
+            waiting = held[cut:]
+        if len(waiting):
+            yield candidates(waiting)
+        pa.default_memory_pool().release_unused()
+
+    of = table.join(broadcast_if_small(known), "node", "left").select("node", F.col("size").cast("long").alias("size"), F.coalesce("component", "node").alias("component"), "keys")
+    keyed = of.select(F.posexplode("keys").alias("place", "key"), "node", "size", "component").withColumn("place", F.col("place").cast("long"))
+    met = keyed.select(*names).repartition("key").sortWithinPartitions("key")
+    # Pairs a, b with no blocks, once for each key; of crowded keys the members a of b, of which those with blocks meet.
+    found = met.mapInArrow(meet, "a long, b long, wants double, blocks long")
+    found = cut_lineage(found.groupBy("a", "b", "wants", "blocks").agg(F.count("*").alias("n")))
+    in_crowds = found.where("blocks <> 0").groupBy("a").agg(F.count("*").alias("k"))
+    in_crowds = broadcast_if_small(cut_lineage(in_crowds))
+    pairs = found.where("blocks = 0").join(in_crowds.withColumnRenamed("k", "of_a"), "a", "left")
+    pairs = pairs.join(in_crowds.select(F.col("a").alias("b"), F.col("k").alias("of_b")), "b", "left")
+    crowds = F.least(F.coalesce("of_a", F.lit(0)), F.coalesce("of_b", F.lit(0)))
+    pairs = cut_lineage(pairs.where(F.col("n") + crowds >= F.col("wants")).select("a", "b"))
+    crowded = found.where("blocks > 0").select(F.col("a").alias("node"), F.col("b").alias("key"), "blocks")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
+    sets = set_rows(rows, nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("doc_id")), similar)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(members: dict[int, np.ndarray]) -> pa.RecordBatch:
+            ids = np.array(list(members), np.int64)
+            i, j = np.array(spanning_links(list(members.values()), similar), np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+        now, members = None, {}
+        for batch in batches:
+            ends = batch["shingles"].offsets.to_numpy()
+            flat = batch["shingles"].values.to_numpy()
+            for d, group in enumerate(zip(*(batch[c].to_pylist() for c in ("key", "low", "high")))):
+                if group != now and members:
+                    yield links(members)
+                    members = {}
+                now = group
+                members[batch["node"][d].as_py()] = flat[ends[d] : ends[d + 1]].copy()
+        if members:
+            yield links(members)
+        pa.default_memory_pool().release_unused()
+
+    block, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = crowded.select("key", "node", block.alias("block"), other.alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node")
+    groups = dealt.join(sets, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    near = groups.select("key", "low", "high", "node", "shingles").mapInArrow(compare, "a long, b long")
+    return similar_links(sets, pairs, similar).unionByName(near)
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per document: ``doc_id, component_id``, the smallest id that links of similar texts reach.
 
     Texts are lower-cased in A-Z; two are linked if the sets of their five-word
     shingles share at least ``similar`` of what they have together. Candidates are found
     by one-wildcard segments of two fingerprints, at the similarity of 0.8
-    with a chance of 0.925 and above it with more, and are then compared exactly. A key with
-    many members gives links to leaders and neighbours, not all pairs.
+    with a chance of 0.925 and above it with more, and are then compared exactly. Links that these miss, and those
+    that crowded keys leave out, are found by the shingles that lead the sets: the groups are exact.
 
-    Texts with equal fingerprints count as similar; so do those without a word. Null ids are reached but never
+    Texts with equal sets are similar; so are those without a word. Null ids are reached but never
     name a group unless it has no other. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(text_or_empty(text_col)).alias("text"))
     names = [f"f{k}" for k in range(WIDE)]
-    node = F.xxhash64(*names).alias("node")
-    marked = cut_lineage(wide_fingerprints(rows).select("doc_id", *names, node))
-    distinct = cut_lineage(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
-    links = cut_lineage(wide_links(distinct))
+    marked = cut_lineage(wide_fingerprints(rows, similar))
+    of_node = [F.first(c).alias(c) for c in names]
+    distinct = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *of_node).withColumn("print", F.xxhash64(*names)))
+    first = broadcast_if_small(distinct.select(F.col("node").alias("of"), "least"))
+    table = marked.join(first, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "size", "keys")
+    # One node stands for all with its fingerprints; the others are compared with it.
+    prints = cut_lineage(distinct.groupBy("print", *names).agg(F.min("node").alias("stands")))
+    by_print = prints.select("print", "stands")
+    links = cut_lineage(wide_links(prints))
+    links = links.join(by_print.select(F.col("print").alias("a"), F.col("stands").alias("node_a")), "a")
+    links = links.join(by_print.select(F.col("print").alias("b"), F.col("stands").alias("node_b")), "b")
+    links = links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    alike = distinct.join(broadcast_if_small(by_print), "print").where("node <> stands").select(F.col("stands").alias("a"), F.col("node").alias("b"))
+    links = cut_lineage(links.unionByName(alike))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    chosen = distinct.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id"))
-    # The text of a node's smallest id; of rows that repeat it, the last in order.
-    texts = rows.join(broadcast_if_small(cut_lineage(chosen)), "doc_id").groupBy("node").agg(F.max("text").alias("text"))
-    found = similar_links(texts, links, similar)
-    reach = cut_lineage(components(found))
+    sets = set_rows(rows, distinct.join(ends, "node", "left_semi").select("node", F.col("least").alias("doc_id")), similar)
+    found = cut_lineage(similar_links(sets, links, similar))
+    rest = cut_lineage(rest_links(rows, distinct, table, cut_lineage(components(found)), similar))
+    reach = cut_lineage(components(found.unionByName(rest)))
     named = distinct.join(reach, "node").select("node", "component", "least")
     least = named.groupBy("component").agg(F.min("least").alias("linked_id"))
     linked = cut_lineage(named.join(least, "component").select("node", "linked_id"))
     ids = distinct.join(broadcast_if_small(linked), "node", "left").select("node", F.coalesce("linked_id", "least").alias("component_id"))
-    return marked.join(broadcast_if_small(cut_lineage(ids)), "node", "left").select("doc_id", "component_id")
+    return marked.select("doc_id", "node").join(broadcast_if_small(cut_lineage(ids)), "node", "left").select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:

@@ -154,6 +154,51 @@ def test_members_of_a_crowded_key_stay_connected():
     assert len({root(i) for i in range(len(fp))}) == 3
 
 
+def groups_of(docs, similar=0.8):
+    group = {k: k for k, _ in docs}
+    sets = {k: frozenset(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for k, t in docs}
+    root = lambda k: k if group[k] == k else root(group[k])
+    for a, _ in docs:
+        for b, _ in docs:
+            if a < b and len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {k: root(k) for k in group}
+
+
+@pytest.mark.parametrize("hot, block", [(1024, 1024), (32, 16)])
+def test_groups_of_similar_texts_are_exact(spark, monkeypatch, hot, block):
+    """All pairs, those that no segment brings together too; and a crowded group around a text and a common line."""
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "COLUMNS", 64)
+    docs = edited(7, 250, 0.05)
+    rng = random.Random(3)
+    centre = [f"c{i}" for i in range(150)]
+    for k in range(120):
+        text = list(centre)
+        for _ in range(rng.randrange(1, 8)):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+        docs.append((1000 + k, " ".join(text)))
+    docs += [(2000 + k, "a line that very many of the texts begin with " + " ".join(f"u{k}x{i}" for i in range(20))) for k in range(120)]
+    want = groups_of(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()} == want
+    crowd = {want[1000 + k] for k in range(120)}
+    assert 1 < len(crowd) < 120
+
+
+def test_leading_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    hot = np.arange(0, 400, 3).astype(np.uint64)
+    for _ in range(300):
+        a = rng.choice(400, rng.integers(1, 60), replace=False)
+        b = np.union1d(rng.permutation(a)[: max(1, len(a) - rng.integers(0, 4))], rng.choice(400, rng.integers(0, 4)))
+        a, b = np.unique(a).astype(np.uint64), np.unique(b).astype(np.uint64)
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash.leading(a, hot, 0.8), simhash.leading(b, hot, 0.8)))
+
+
 def test_similar_texts_on_dirty_rows(dirty):
     kept = simhash.drop_similar(dirty)
     assert kept.columns == dirty.columns and kept.where("doc_id is null").count() == 1
