@@ -218,6 +218,8 @@ HOT_ROUNDS = 3
 # Sets of a crowded shingle that make a block; two blocks are compared in a task, so many of their shingles at a time.
 BLOCK = 1024
 COLUMNS = 4096
+# Text that is made into sets at once.
+SET_BYTES = 1 << 20
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 
 
@@ -256,7 +258,7 @@ def wide_fingerprints(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     schema = T.StructType(fields).add("node", "long").add("size", "integer").add("keys", T.ArrayType(T.LongType()))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=SET_BYTES):
             hashes, base = hashed_words(batch["text"].cast(pa.binary()).to_pylist())
             out = np.zeros((WIDE, batch.num_rows), np.uint64)
             nodes, sizes, keys = [], [], []
@@ -396,7 +398,7 @@ def set_rows(rows: DataFrame, chosen: DataFrame, similar: float, hot: np.ndarray
     late = rows.sparkSession.sparkContext.broadcast(hot)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=SET_BYTES):
             hashes, base = hashed_words(batch["text"].cast(pa.binary()).to_pylist())
             found = [shingle_set(hashes[base[d] : base[d + 1]]) for d in range(batch.num_rows)]
             sets = [(f if late.value is None else leading(f, late.value, similar)).view(np.int64) for f, _ in found]
