@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import ascii_lower, text_or_empty, text_slices
+from corpusloom.llm.common import text_or_empty, text_slices
 from corpusloom.session import cut_lineage
 
 ORDER = 6
@@ -28,6 +28,10 @@ GRAMS_COUNTED = 1 << 21
 # Parts into which the hash of a gram deals the counts, and how much text is cut into grams at once, each of which takes tens of bytes.
 DEALT = 1 << 10
 SLICE = 1 << 20
+# Grams that a task sends to their code lengths at a time, code lengths that it holds before it sends them there, and rows whose sums go together.
+SENT = 1 << 20
+HELD = 1 << 18
+ROWS_TOGETHER = 1 << 12
 # Grams whose contexts end in the same so many bytes are scored together; counts of shorter contexts are sent to every task.
 TOGETHER = 3
 # Places a gram may have in the table of hot ones, and what an empty place holds: no gram, as grams have seven bytes.
@@ -60,6 +64,11 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return distinct, np.bincount(at, weights=values, minlength=len(distinct)), at
 
 
+def lowered_words(texts: pa.Array) -> list[list[bytes]]:
+    """The words of each text, lower-cased in A-Z: bytes know no other letters."""
+    return [t.lower().split() for t in texts.cast(pa.binary()).to_pylist()]
+
+
 def running_text(words: list[bytes]) -> bytes:
     """What is coded of a text, but for the space that ends it: each word and a space. So a text ends where a space follows a space, or at once."""
     return b" ".join([*words, b""])
@@ -129,12 +138,12 @@ def vocabulary(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "c"])
 
         for batch in text_slices(batches):
-            for text, learn in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["learned"].to_pylist()):
+            for found, learn in zip(lowered_words(batch["text"]), batch["learned"].to_pylist()):
                 if learn:
-                    learned.update(text.split())
+                    learned.update(found)
                     learned[END] += 1
                 else:
-                    others.update(text.split())
+                    others.update(found)
                     others.add(END)
             if len(learned) + len(others) > COUNTED:
                 yield flush()
@@ -157,6 +166,31 @@ def merged_counts(parts: list[Counts]) -> Counts:
     return gram[starts], np.add.reduceat(c[order], starts), np.add.reduceat(seen[order], starts)
 
 
+def packed(keys: np.ndarray, *others: np.ndarray) -> bytes:
+    """Columns of eight bytes a value: sorted keys as differences, and bytes of the same rank together. Most are zeros, which compress."""
+    rows = np.stack([np.diff(keys, prepend=np.uint64(0)), *[x.view(np.uint64) for x in others]])
+    return rows.view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def unpacked(value: pa.Scalar, columns: int) -> np.ndarray:
+    """The columns of :func:`packed` as unsigned numbers."""
+    ranks = np.frombuffer(value.as_buffer(), np.uint8).reshape(columns, 8, -1)
+    rows = ranks.transpose(0, 2, 1).copy("C").view(np.uint64)[:, :, 0]
+    np.cumsum(rows[0], out=rows[0])
+    return rows
+
+
+def dealt(gram: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
+    """``part, packed``: one row per part into which a hash deals sorted grams, with what belongs to them."""
+    part = (gram * np.uint64(_PLACES[0]) >> np.uint64(64 - DEALT.bit_length() + 1)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(DEALT + 1))
+    some = np.flatnonzero(np.diff(bounds))
+    columns = [x[order] for x in (gram, *others)]
+    rows = [packed(*[x[bounds[k] : bounds[k + 1]] for x in columns]) for k in some.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(rows, pa.binary())], names=["part", "packed"])
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """``gram, c, seen``: each gram of the running texts, its number in rows that may be ``learned`` from, and in all rows.
 
@@ -165,18 +199,13 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def dealt(counts: Counts) -> pa.RecordBatch:
-            part = (counts[0] * np.uint64(_PLACES[0]) >> np.uint64(64 - DEALT.bit_length() + 1)).astype(np.uint16)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(DEALT + 1))
-            some = np.flatnonzero(np.diff(bounds))
-            columns = [x[order] for x in counts]
-            packed = [b"".join(x[bounds[k] : bounds[k + 1]].tobytes() for x in columns) for k in some.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+        def handed_on(counts: Counts) -> pa.RecordBatch:
+            gram, c, seen = counts
+            return dealt(gram, c, seen - c)
 
         parts: list[Counts] = []
         for batch in text_slices(batches, size=SLICE):
-            texts = [running_text(t.split()) for t in batch["text"].cast(pa.binary()).to_pylist()]
+            texts = [running_text(found) for found in lowered_words(batch["text"])]
             distinct, seen = np.unique(grams_of(texts)[0], return_counts=True)
             c = seen.copy()
             others = [t for t, learned in zip(texts, batch["learned"].to_pylist()) if not learned]
@@ -187,10 +216,10 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             if sum(len(p[0]) for p in parts) > GRAMS_COUNTED:
                 parts = [merged_counts(parts)]
                 if len(parts[0][0]) > GRAMS_COUNTED // 2:
-                    yield dealt(parts[0])
+                    yield handed_on(parts[0])
                     parts = []
         if parts:
-            yield dealt(merged_counts(parts))
+            yield handed_on(merged_counts(parts))
         pa.default_memory_pool().release_unused()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +229,13 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
         now, parts, held = None, [], 0
         for batch in batches:
-            for part, packed in zip(batch["part"].to_pylist(), batch["counts"]):
+            for part, counts in zip(batch["part"].to_pylist(), batch["packed"]):
                 if part != now and parts:
                     yield summed(parts)
                     parts, held = [], 0
                 now = part
-                gram, c, seen = np.frombuffer(packed.as_buffer(), np.int64).reshape(3, -1)
-                parts.append((gram.view(np.uint64), c, seen))
+                gram, c, others = unpacked(counts, 3)
+                parts.append((gram, c.view(np.int64), (c + others).view(np.int64)))
                 held += len(gram)
                 if held > GRAMS_COUNTED:
                     parts, held = [merged_counts(parts)], 0
@@ -214,7 +243,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             yield summed(parts)
         pa.default_memory_pool().release_unused()
 
-    counted = rows.select("text", "learned").mapInArrow(count, "part int, counts binary")
+    counted = rows.select("text", "learned").mapInArrow(count, "part int, packed binary")
     return counted.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "gram long, c long, seen long")
 
 
@@ -297,6 +326,110 @@ def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.
     return out, rest
 
 
+def joined_logs(looked: DataFrame, grams: DataFrame) -> DataFrame:
+    """``row, s``: per row of ``row, grams`` the sum of its grams' logs in ``gram, log``.
+
+    A hash deals both into parts, packed, where the logs come before the grams of the
+    texts; a part's logs are held together. Sums of rows go back packed by blocks of rows.
+    """
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            gram, log = (np.concatenate([p[k].to_numpy() for p in parts]) for k in ("gram", "log"))
+            order = np.argsort(gram)
+            return dealt(gram[order].view(np.uint64), log[order])
+
+        parts, held = [], 0
+        for batch in batches:
+            parts.append(batch)
+            held += batch.num_rows
+            if held > HELD:
+                yield sent(parts)
+                parts, held = [], 0
+        if held:
+            yield sent(parts)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            gram, row = (np.concatenate(x) for x in zip(*parts))
+            for at in range(0, len(gram), SENT):
+                order = at + np.argsort(gram[at : at + SENT])
+                yield dealt(gram[order], row[order])
+
+        parts, held = [], 0
+        for batch in batches:
+            row = np.repeat(batch["row"].to_numpy(), batch["grams"].value_lengths().to_numpy(zero_copy_only=False))
+            parts.append((batch["grams"].flatten().to_numpy().view(np.uint64), row))
+            held += len(row)
+            if held > SENT:
+                yield from sent(parts)
+                parts, held = [], 0
+        if held:
+            yield from sent(parts)
+        pa.default_memory_pool().release_unused()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            row, s, _ = _sums(*(np.concatenate(x) for x in zip(*parts)))
+            block = row // ROWS_TOGETHER
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            bounds = [*starts.tolist(), len(row)]
+            rows = [packed(row[a:b].view(np.uint64), s[a:b]) for a, b in zip(bounds, bounds[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(rows, pa.binary())], names=["block", "packed"])
+
+        now, logs, table, parts, held = None, [], None, [], 0
+        for batch in batches:
+            for part, kind, value in zip(batch["part"].to_pylist(), batch["kind"].to_pylist(), batch["packed"]):
+                if part != now:
+                    now, logs, table = part, [], None
+                gram, other = unpacked(value, 2)
+                if kind == 0:
+                    logs.append((gram, other.view(np.float64)))
+                    continue
+                if table is None:
+                    known, log = (np.concatenate(x) for x in zip(*logs))
+                    order = np.argsort(known)
+                    table = known[order], log[order]
+                parts.append((other.view(np.int64), table[1][np.searchsorted(table[0], gram)]))
+                held += len(gram)
+                if held > SENT:
+                    yield summed(parts)
+                    parts, held = [], 0
+        if held:
+            yield summed(parts)
+        pa.default_memory_pool().release_unused()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.concatenate(parts, axis=1)
+            row, s, _ = _sums(rows[0].view(np.int64), rows[1].view(np.float64))
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(s)], names=["row", "s"])
+
+        now, parts, held = None, [], 0
+        for batch in batches:
+            for block, value in zip(batch["block"].to_pylist(), batch["packed"]):
+                if block != now and parts:
+                    yield summed(parts)
+                    parts, held = [], 0
+                now = block
+                parts.append(unpacked(value, 2))
+                held += parts[-1].shape[1]
+                if held > SENT:
+                    # At most so many rows as a block has.
+                    merged = summed(parts)
+                    parts = [np.stack([merged[k].to_numpy().view(np.uint64) for k in ("row", "s")])]
+                    held = merged.num_rows
+        if parts:
+            yield summed(parts)
+
+    # Every gram of a text is there, as grams are counted in all rows.
+    known = grams.select("gram", "log").mapInArrow(hold, "part int, packed binary").withColumn("kind", F.lit(0))
+    asked = looked.select("row", "grams").mapInArrow(send, "part int, packed binary").withColumn("kind", F.lit(1))
+    met = known.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
+    blocks = met.mapInArrow(meet, "block long, packed binary").repartition("block").sortWithinPartitions("block")
+    return blocks.mapInArrow(add, "row long, s double")
+
+
 def text_scores(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -318,7 +451,7 @@ def text_scores(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
-        ascii_lower(text_or_empty(text_col)).alias("text"),
+        text_or_empty(text_col).alias("text"),
         F.coalesce(may_learn, F.lit(True)).alias("learned"),
     )
     words = cut_lineage(vocabulary(rows))
@@ -350,8 +483,7 @@ def text_scores(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
         known, table = held.value
         for batch in text_slices(batches, size=SLICE):
             texts, sums, rest, counts = [], [], [], []
-            for text in batch["text"].cast(pa.binary()).to_pylist():
-                found = text.split()
+            for found in lowered_words(batch["text"]):
                 texts.append(running_text(found))
                 found.append(END)
                 bases = list(map(known.get, found))
@@ -384,8 +516,7 @@ def text_scores(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
         .join(scores, "word")
         .select("row", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("k"), (F.col("n") * F.col("base")).alias("b"), F.lit(0.0).alias("s"))
     )
-    of_grams = looked.select("row", F.explode("grams").alias("gram")).join(grams.select("gram", "log"), "gram")
-    more = of_words.unionByName(of_grams.select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), F.col("log").alias("s")))
+    more = of_words.unionByName(joined_logs(looked, grams).select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), "s"))
     more = more.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     both = looked.select("row", "doc_id", "learned", "n_tokens", "n_known", "base_score", "score").join(more, "row", "left")
     return both.select(

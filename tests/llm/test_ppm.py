@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import ppm, queries
@@ -125,6 +126,31 @@ def test_bytes_are_coded_across_words(spark):
     assert got[0].score == pytest.approx(got[12].score) and got[0].score > got[0].base_score + 0.5
 
 
+def test_packed_columns_come_back_and_are_mostly_zeros():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 30, 5000).astype(np.uint64))
+    columns = keys, rng.integers(-3, 1 << 40, len(keys)), rng.random(len(keys))
+    for n in (1, 7, len(keys)):
+        key, number, real = ppm.unpacked(pa.scalar(ppm.packed(*[c[:n] for c in columns]), pa.binary()), 3)
+        assert (key == keys[:n]).all() and (number.view(np.int64) == columns[1][:n]).all() and (real.view(float) == columns[2][:n]).all()
+    ones = np.ones(len(keys), np.int64)
+    assert len(pa.compress(ppm.packed(keys, ones, 0 * ones), "lz4", asbytes=True)) < 5 * len(keys)
+
+
+def test_grams_of_texts_are_not_exploded(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "HOT_GRAMS", 0)
+    monkeypatch.setattr(ppm, "SENT", 50)
+    monkeypatch.setattr(ppm, "HELD", 50)
+    monkeypatch.setattr(ppm, "ROWS_TOGETHER", 2)
+    docs = [(k, " ".join(f"w{k * j % 17}" for j in range(40))) for k in range(20)]
+    rows = ppm.text_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 0)
+    # Words alone are rows of their own.
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("Generate explode") == 1
+    got = {r.doc_id: r.score for r in rows.collect()}
+    want = {r[0]: r[-1] for r in plain_scores(docs, lambda k: k % 5 != 0)}
+    assert got == pytest.approx(want)
+
+
 def test_places():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 56, 5000).astype(np.uint64))
     table = ppm.places(keys[:4000], np.arange(4000.0))
