@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +18,9 @@ from corpusloom.functions import text as tx
 SUPPORTED = (".pdf", ".docx", ".pptx", ".html", ".htm", ".png", ".jpg", ".jpeg")
 # Endings whose content this library turns into text itself.
 MARKUP = (".html", ".htm")
+# Characters that are escaped in the name of a folder of one value, and the name for an empty one, as Spark's writer has them.
+ESCAPED = "[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]"
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def base_name(path: Column) -> Column:
@@ -49,11 +58,48 @@ def write_files(rows: DataFrame, path: str, name: str = "filename", content: str
     """One text file per row of unique ``name``, in a folder of that name, written by the tasks.
 
     For drop folders and tests; a line feed is put behind each content. Rows
-    without a name or content are left out.
+    without a name or content are left out. Files below a folder that all machines have mounted
+    are written by plain calls, as Hadoop's local file system starts three processes a file; others by Spark's writer.
     """
     kept = rows.where(F.col(name).isNotNull() & F.col(content).isNotNull())
-    named = kept.select(F.col(content).alias("value"), F.col(name).alias("filename"))
-    named.repartition("filename").write.partitionBy("filename").option("compression", "none").text(path)
+    named = kept.select(F.col(content).alias("value"), F.col(name).alias("filename")).repartition("filename")
+    mounted = mounted_path(rows.sparkSession, path)
+    if mounted is None:
+        named.write.partitionBy("filename").option("compression", "none").text(path)
+        return
+    os.makedirs(mounted)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Contents of one name follow each other, and are one file.
+        now = out = None
+        hidden = f".{uuid.uuid4().hex}"
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.name, os.path.join(os.path.dirname(out.name), "part-00000.txt"))
+
+        for batch in batches:
+            for value, filename in zip(batch["value"].cast(pa.binary()), batch["filename"].to_pylist()):
+                if filename != now:
+                    close()
+                    folder = re.sub(ESCAPED, lambda m: f"%{ord(m[0]):02X}", filename) or NO_VALUE
+                    folder = os.path.join(mounted, f"filename={folder}")
+                    os.makedirs(folder, exist_ok=True)
+                    now, out = filename, open(os.path.join(folder, hidden), "wb")
+                out.write(value.as_buffer())
+                out.write(b"\n")
+        close()
+        yield from ()
+
+    named.sortWithinPartitions("filename").mapInArrow(write, "done long").write.format("noop").mode("overwrite").save()
+
+
+def mounted_path(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system has it, if it is one of Hadoop's local file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return at.toUri().getPath() if system.getUri().getScheme() == "file" else None
 
 
 def parse_markup(files: DataFrame, as_markdown: bool = False) -> DataFrame:

@@ -90,3 +90,22 @@ def test_files_as_one_job(spark, tmp_path):
     assert sorted(r.doc_id for r in stored.collect()) == ["a b+c%20.html", "plain.html"] and failed.count() == 4
     marked = ingest.file_chunks(files.read_files(spark, path), as_markdown=True).where("chunk_index = 0")
     assert sorted(r.text for r in marked.collect()) == ["# T\n\nOne. Two.", "- Caf\u00e9."]
+
+
+def test_files_are_written_without_companions(spark, tmp_path, monkeypatch):
+    names = ["".join(map(chr, range(1, 64))), "".join(map(chr, range(64, 160))), "\u00e9 \u6f22 +%2B.html", "", "a/b.html", "..", " x."]
+    rows = [(n, f"text {i}") for i, n in enumerate(names)] + [("a/b.html", "once more"), (None, "x"), ("n", None)]
+    df = spark.createDataFrame(rows, "filename string, content string").repartition(3)
+    files.write_files(df, str(tmp_path / "plain"))
+    assert sorted(p.name for p in (tmp_path / "plain").rglob("*") if p.is_file()) == ["part-00000.txt"] * len(names)
+    monkeypatch.setattr(files, "mounted_path", lambda spark, path: None)
+    files.write_files(df, str(tmp_path / "spark"))
+    got = [{r.filename: sorted(bytes(r.content).split(b"\n")) for r in files.read_files(spark, str(tmp_path / k)).collect()} for k in ("plain", "spark")]
+    assert got[0] == got[1] and len(got[0]) == len(names) and got[0]["a/b.html"] == [b"", b"once more", b"text 4"]
+    with pytest.raises(Exception):
+        files.write_files(df, str(tmp_path / "plain"))
+    monkeypatch.undo()
+    with pytest.raises(FileExistsError):
+        files.write_files(df, str(tmp_path / "plain"))
+    files.write_files(df.limit(0), str(tmp_path / "none"))
+    assert files.read_files(spark, str(tmp_path / "none")).count() == 0
