@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -10,10 +11,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """One task per core for a table that comes in fewer splits than that.
+    """One task per core for a table whose rows come in fewer splits than that.
 
-    Meant for costly text work on small inputs. A table of many splits, which
-    is every large one, is left as it is and not shuffled.
+    Meant for costly text work on small inputs, and on files of few row groups: a
+    split has the groups whose middles lie in it, so most splits of such a file have no
+    rows. A table with rows in many splits is left as it is and not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    if splits < cores:
+        return df.repartition(cores)
+    # Reads no column. Rows are dealt out by their number, since to deal them out in turn Spark would sort them first.
+    if df.select(F.spark_partition_id().alias("split")).distinct().count() >= cores:
+        return df
+    return df.withColumn("_row", F.monotonically_increasing_id()).repartition(splits, "_row").drop("_row")
