@@ -66,8 +66,13 @@ def _score(c: str = "score") -> Column:
 
 def _vector_text(c: str) -> Column:
     """Components in units of 1e-4, as one text."""
-    scaled = F.transform(c, lambda x: F.round(x.cast("double") * 10000, 0).cast("long").cast("string"))
-    return F.array_join(scaled, ",")
+
+    def units(x: Column) -> Column:
+        # As round does, which goes through decimal digits.
+        half_up = F.floor(F.abs(x.cast("double") * 10000) + 0.5)
+        return F.when(x < 0, -half_up).otherwise(half_up).cast("string")
+
+    return F.array_join(F.transform(c, units), ",")
 
 
 def _documents(spark, sf) -> DataFrame:

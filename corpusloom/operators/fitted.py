@@ -28,9 +28,9 @@ BALANCE = 0.5
 # Units of weights and of components in sums: 64-bit sums hold some 10^11 texts of a single word.
 WEIGHT_UNITS = 1 << 10
 VALUE_UNITS = 1 << 16
-# Entries of a slab of rows that are multiplied at a time, and characters that are cut into words at a time.
-SLAB = 1 << 16
-CHARACTERS = 1 << 20
+# Entries of a slab of rows that are multiplied at a time, and characters that are cut into words at a time: what they become stays in a core's cache.
+SLAB = 1 << 11
+CHARACTERS = 1 << 17
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -139,14 +139,16 @@ def corpus_times(counted: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.n
             for at in range(0, whole.num_rows, 1024):
                 e = _entries(whole.slice(at, 1024))
                 w = weights(e, idf)
-                values = np.rint(projected(e, w, basis) * VALUE_UNITS).astype(np.int64)
-                units = np.rint(w * WEIGHT_UNITS).astype(np.int64)
+                # Whole numbers as floating ones, which are multiplied faster: a slab's sums are far below 2^53, and so exact.
+                values = np.rint(projected(e, w, basis) * VALUE_UNITS)
                 order = np.argsort(e.bucket, kind="stable")
+                bucket, owner, units = e.bucket[order], e.owner[order], np.rint(w * WEIGHT_UNITS)[order]
                 for first in range(0, len(order), SLAB):
-                    slab = order[first : first + SLAB]
-                    held = e.bucket[slab]
+                    slab = slice(first, first + SLAB)
+                    held = bucket[slab]
                     starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-                    total[held[starts]] += np.add.reduceat(units[slab, None] * values[e.owner[slab]], starts, axis=0)
+                    sums = np.add.reduceat(units[slab, None] * values[owner[slab]], starts, axis=0)
+                    total[held[starts]] += sums.astype(np.int64)
         some = np.flatnonzero(total.any(1))
         sums = pa.FixedSizeListArray.from_arrays(pa.array(total[some].ravel()), width).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), sums], names=["bucket", "sums"])

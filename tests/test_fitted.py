@@ -1,6 +1,7 @@
 """The fitted embedder against a dense factorisation."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,21 @@ def test_the_same_rows_give_the_same_model(spark):
     assert (one.idf == two.idf).all() and (one.axes == two.axes).all()
 
 
+def test_products_are_made_by_slabs_that_fit_a_cache():
+    entries = fitted.word_counts([" ".join(f"w{i * j}" for j in range(700)) for i in range(1, 101)])
+    axes = np.random.default_rng(1).standard_normal((fitted.BUCKETS, 80))
+    weight = fitted.weights(entries, np.ones(fitted.BUCKETS))
+    assert len(entries.bucket) > 50_000
+    tracemalloc.start()
+    got = fitted.projected(entries, weight, axes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 << 20
+    whole = np.zeros((100, fitted.BUCKETS))
+    whole[entries.owner, entries.bucket] = weight
+    assert np.allclose(got, whole @ axes)
+
+
 def test_odd_texts(spark):
     odd = [None, "", " \t\n", "One", "one ONE one", "x" * 100_000, "a " * 50_000, "\ud800 b", "É é"]
     df = spark.createDataFrame([(t,) for t in odd if t != "\ud800 b"], "text string")
