@@ -166,10 +166,16 @@ def merged_counts(parts: list[Counts]) -> Counts:
     return gram[starts], np.add.reduceat(c[order], starts), np.add.reduceat(seen[order], starts)
 
 
-def packed(keys: np.ndarray, *others: np.ndarray) -> bytes:
-    """Columns of eight bytes a value: sorted keys as differences, and bytes of the same rank together. Most are zeros, which compress."""
-    rows = np.stack([np.diff(keys, prepend=np.uint64(0)), *[x.view(np.uint64) for x in others]])
-    return rows.view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1).tobytes()
+def packed(bounds: np.ndarray, keys: np.ndarray, *others: np.ndarray) -> list[bytes]:
+    """Columns of eight bytes a value, cut at the bounds into values of their own.
+
+    Keys, sorted between bounds, are kept as differences, and bytes of the same rank together: most are zeros, which compress.
+    """
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[bounds[:-1]] = keys[bounds[:-1]]
+    columns = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) for x in (steps, *others)]
+    ranks = [np.ascontiguousarray(x[:, k]).data for x in columns for k in range(8)]
+    return [b"".join([r[at:to] for r in ranks]) for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def unpacked(value: pa.Scalar, columns: int) -> np.ndarray:
@@ -186,8 +192,7 @@ def dealt(gram: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(DEALT + 1))
     some = np.flatnonzero(np.diff(bounds))
-    columns = [x[order] for x in (gram, *others)]
-    rows = [packed(*[x[bounds[k] : bounds[k + 1]] for x in columns]) for k in some.tolist()]
+    rows = packed(np.r_[bounds[some], len(gram)], *[x[order] for x in (gram, *others)])
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(rows, pa.binary())], names=["part", "packed"])
 
 
@@ -373,8 +378,7 @@ def joined_logs(looked: DataFrame, grams: DataFrame) -> DataFrame:
             row, s, _ = _sums(*(np.concatenate(x) for x in zip(*parts)))
             block = row // ROWS_TOGETHER
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            bounds = [*starts.tolist(), len(row)]
-            rows = [packed(row[a:b].view(np.uint64), s[a:b]) for a, b in zip(bounds, bounds[1:])]
+            rows = packed(np.r_[starts, len(row)], row.view(np.uint64), s)
             return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(rows, pa.binary())], names=["block", "packed"])
 
         now, logs, table, parts, held = None, [], None, [], 0

@@ -130,11 +130,12 @@ def test_packed_columns_come_back_and_are_mostly_zeros():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 30, 5000).astype(np.uint64))
     columns = keys, rng.integers(-3, 1 << 40, len(keys)), rng.random(len(keys))
-    for n in (1, 7, len(keys)):
-        key, number, real = ppm.unpacked(pa.scalar(ppm.packed(*[c[:n] for c in columns]), pa.binary()), 3)
-        assert (key == keys[:n]).all() and (number.view(np.int64) == columns[1][:n]).all() and (real.view(float) == columns[2][:n]).all()
+    bounds = np.array([0, 1, 8, 500, len(keys)])
+    for at, to, value in zip(bounds, bounds[1:], ppm.packed(bounds, *columns)):
+        key, number, real = ppm.unpacked(pa.scalar(value, pa.binary()), 3)
+        assert (key == keys[at:to]).all() and (number.view(np.int64) == columns[1][at:to]).all() and (real.view(float) == columns[2][at:to]).all()
     ones = np.ones(len(keys), np.int64)
-    assert len(pa.compress(ppm.packed(keys, ones, 0 * ones), "lz4", asbytes=True)) < 5 * len(keys)
+    assert len(pa.compress(ppm.packed(bounds[[0, -1]], keys, ones, 0 * ones)[0], "lz4", asbytes=True)) < 5 * len(keys)
 
 
 def test_grams_of_texts_are_not_exploded(spark, monkeypatch):
