@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import re
+import string
 import struct
 import sys
+from operator import attrgetter
 
 import numpy as np
 
@@ -14,6 +17,9 @@ REMEMBERED = 1 << 20
 PIECE = 1 << 16
 
 _two_spaces = re.compile(r"\s\s")
+_other_spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+# Neither letters nor digits, nor what begins an English ending.
+_marks = "".join(c for c in string.punctuation if c not in "'_")
 _closing = re.compile(r"(?<=[a-zA-Z])[^\w\s']+$")
 # Letters of this range are letters to the tokenizer as well, whatever its tables.
 _plain_letters = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
@@ -45,10 +51,15 @@ class Words(dict):
         return found
 
     def encode(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            # Most words: one part of letters.
+            return packed(self.model.tokenize("\u0120" + word))
         # Marks after a letter are a part of their own.
-        end = _closing.search(word)
-        if end is not None:
-            at = end.start()
+        at = len(word.rstrip(_marks))
+        if at == len(word) or not _plain_letters(word[at - 1 : at]):
+            end = None if word[-1:].isalnum() else _closing.search(word)
+            at = end.start() if end else len(word)
+        if at < len(word):
             marks = self.marks.get(word[at:])
             if marks is None:
                 marks = self.ids(word[at:])
@@ -98,7 +109,7 @@ class Encoder:
             if self.added and self.added.search(text):
                 # Added tokens have ids of their own and change how their neighbours are cut.
                 out.append(self.words.ids(text))
-            elif _two_spaces.search(text) or text[:1].isspace():
+            elif spaces_meet(text) or text[:1].isspace():
                 out.append(b"".join(map(self.words.ids, cut_freely(text))))
             else:
                 # The first word of a text has no space in front: a line feed stands there for now.
@@ -107,19 +118,30 @@ class Encoder:
         return out
 
 
+def spaces_meet(text: str) -> bool:
+    """Whether two white spaces stand side by side; texts that have spaces and line feeds alone need no pattern."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    return any(c in text for c in _other_spaces) and bool(_two_spaces.search(text))
+
+
+_id = attrgetter("id")
+
+
 def packed(merged: list) -> bytes:
-    return struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+    return struct.pack(f"<{len(merged)}I", *map(_id, merged))
 
 
 def byte_letters(text: str) -> str:
     """The UTF-8 bytes of a text as the tokenizer's vocabulary writes them: printable ones of Latin-1 as
     themselves, the others as the letters from U+0100 on, in order."""
-    return text.encode().decode("latin-1").translate(_byte_letters)
+    return codecs.charmap_decode(text.encode(), "strict", _byte_letters)[0]
 
 
-def _byte_table() -> dict[int, int]:
+def _byte_table() -> str:
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    others = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    return "".join(chr(others.get(b, b)) for b in range(256))
 
 
 _byte_letters = _byte_table()

@@ -1,5 +1,6 @@
 """Token files and packing against direct encoding."""
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -32,6 +33,21 @@ def test_added_tokens_keep_their_id(plain):
     assert got == [plain(t) for t in texts] and got[0].count(50256) == 1
 
 
+def test_marks_after_a_letter_are_asked_for_apart(plain, monkeypatch):
+    asked, ids = [], tokens.Words.ids
+    encoder = tokens.Encoder(PATH)
+    monkeypatch.setattr(tokens.Words, "ids", lambda self, text: asked.append(text) or ids(self, text))
+    text = "été, mot. on mot, été. été***\nfin***"
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == plain(text)
+    # Words of letters go to the merges alone, whatever letter stands before the marks.
+    assert sorted(asked) == ["***", ",", "."]
+
+
+@given(st.text(alphabet=st.sampled_from(list("ab \n\t\x1c\xa0\u2003")), max_size=12))
+def test_white_spaces_that_meet_are_seen(text):
+    assert tokens.spaces_meet(text) == bool(re.search(r"\s\s", text))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab.,'s \n\t\r é1#🙂\x1c")), max_size=40))
 def test_remembered_words_give_the_ids_of_the_text(text):
