@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm import tokens
 from corpusloom.llm.common import ascii_lower, text_or_empty, text_slices
 from corpusloom.llm.components import components
 from corpusloom.llm.word_hashes import gram_hashes, hashed_words
@@ -215,9 +216,11 @@ CLOSEST = 4
 HOT_KEY = 32
 HOT_MOST = 1 << 20
 HOT_ROUNDS = 3
-# Sets of a crowded shingle that make a block; two blocks are compared in a task, so many of their shingles at a time.
+# Sets of a crowded shingle that make a block; two blocks are compared in a task, so many of their shingles at a time,
+# and so many sets with all.
 BLOCK = 1024
-COLUMNS = 4096
+COLUMNS = 1024
+ROWS = 128
 # Text that is made into sets at once.
 SET_BYTES = 1 << 20
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
@@ -258,6 +261,7 @@ def wide_fingerprints(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     schema = T.StructType(fields).add("node", "long").add("size", "integer").add("keys", T.ArrayType(T.LongType()))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in text_slices(batches, size=SET_BYTES):
             hashes, base = hashed_words(batch["text"].cast(pa.binary()).to_pylist())
             out = np.zeros((WIDE, batch.num_rows), np.uint64)
@@ -301,7 +305,7 @@ def leader_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left, right = [], []
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        apart = np.zeros((len(i), len(j)), np.int64)
+        apart = np.zeros((len(i), len(j)), np.uint8)
         for k in range(fp.shape[1]):
             apart += np.bitwise_count(fp[i, k][:, None] ^ fp[j, k])
         return apart <= WIDE_DISTANCE
@@ -398,6 +402,7 @@ def set_rows(rows: DataFrame, chosen: DataFrame, similar: float, hot: np.ndarray
     late = rows.sparkSession.sparkContext.broadcast(hot)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in text_slices(batches, size=SET_BYTES):
             hashes, base = hashed_words(batch["text"].cast(pa.binary()).to_pylist())
             found = [shingle_set(hashes[base[d] : base[d + 1]]) for d in range(batch.num_rows)]
@@ -431,13 +436,20 @@ def spanning_links(sets: list[np.ndarray], similar: float) -> list[tuple[int, in
     number = np.cumsum(times > 1) - 1
     kept = times[column] > 1
     owner, column = owner[kept], number[column[kept]]
-    both = np.zeros((len(sets), len(sets)))
+    both = np.zeros((len(sets), len(sets)), np.int32)
+    shared = np.empty(both.shape, np.float32)
     for at in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
         some = (column >= at) & (column < at + COLUMNS)
         has = np.zeros((len(sets), COLUMNS), np.float32)
         has[owner[some], column[some] - at] = 1
-        both += has @ has.T
-    near = both >= similar * (size[:, None] + size - both)
+        np.matmul(has, has.T, out=shared)
+        np.add(both, shared, out=both, casting="unsafe")
+    del shared
+    near = np.empty(both.shape, bool)
+    for at in range(0, len(sets), ROWS):
+        of = slice(at, at + ROWS)
+        near[of] = both[of] >= similar * (size[of, None] + size - both[of])
+    del both
     found, open_ = [], np.ones(len(sets), bool)
     for start in range(len(sets)):
         if open_[start]:
@@ -548,6 +560,7 @@ def rest_links(rows: DataFrame, nodes: DataFrame, table: DataFrame, known: DataF
             i, j = np.array(spanning_links(list(members.values()), similar), np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
+        tokens.forget()
         now, members = None, {}
         for batch in batches:
             ends = batch["shingles"].offsets.to_numpy()

@@ -170,3 +170,8 @@ def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     if found is None:
         found = kept[path, remembered] = Encoder(path, remembered)
     return found
+
+
+def forget() -> None:
+    """Drop the worker's encoders, for steps that need their room: workers live on between stages."""
+    sys.__dict__.pop("_corpusloom_encoders", None)

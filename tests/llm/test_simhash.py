@@ -2,14 +2,16 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import components, queries, simhash
+from corpusloom.llm import components, queries, simhash, tokens
 
 
 def plain_fingerprint(text):
@@ -204,3 +206,24 @@ def test_similar_texts_on_dirty_rows(dirty):
     assert kept.columns == dirty.columns and kept.where("doc_id is null").count() == 1
     assert sorted(r.doc_id for r in kept.where("doc_id in (1, 2, 3, 4, 5)").collect()) == [1, 4, 4]
     assert simhash.similar_texts(dirty.limit(0)).count() == 0
+
+
+def test_blocks_of_sets_are_compared_in_little_memory():
+    rng = np.random.default_rng(5)
+    pool = np.arange(400, dtype=np.int64)
+    sets = [np.unique(np.r_[rng.choice(pool, 300, replace=False) if i % 2 else pool[:300], rng.integers(400, 1 << 40, i % 50)]) for i in range(2 * simhash.BLOCK)]
+    tracemalloc.start()
+    found = simhash.spanning_links(sets, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    assert all(len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) for i, j in found)
+    assert len(found) == len({j for _, j in found}) >= simhash.BLOCK - 50
+
+
+def test_remembered_tokens_are_dropped():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = tokens.encoder(path)
+    assert tokens.encoder(path) is first
+    tokens.forget()
+    assert tokens.encoder(path) is not first
